@@ -1,0 +1,19 @@
+"""Join helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """Mark ``df`` for broadcast only when it provably has at most ``max_rows`` rows.
+
+    The check reads at most ``max_rows + 1`` rows.  Beyond the bound the side is
+    left to the planner: a shuffled sort-merge join (AQE may still switch to a
+    broadcast from runtime sizes, and splits skewed partitions).
+    """
+    if max_rows <= 0:
+        return df
+    rows = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if rows <= max_rows else df
