@@ -110,131 +110,63 @@ def q_filter_combined(spark, sf_dir):
     return _analysis(spark, sf_dir, COMBINED_PARAMS).filtered
 
 
-def q_filter_options(spark, sf_dir):
-    return filter_options(_analysis(spark, sf_dir).date_filtered)
+def _rfm(a: Analysis) -> DataFrame:
+    return P.rfm_scores(a.customers)
 
 
-def q_customer_aggregates(spark, sf_dir):
-    return _analysis(spark, sf_dir).customers
+def _clv(a: Analysis) -> DataFrame:
+    return P.customer_clv(a.customers)
 
 
-def q_customer_kpis(spark, sf_dir):
-    a = _analysis(spark, sf_dir)
-    return P.customer_kpis(a.filtered, a.customers, a.params.churn_threshold)
-
-
-def q_top10_revenue(spark, sf_dir):
-    return P.top10_revenue(_analysis(spark, sf_dir).customers)
-
-
-def q_monthly_trend(spark, sf_dir):
-    return P.monthly_trend(_analysis(spark, sf_dir).filtered)
-
-
-def q_monthly_trend_long(spark, sf_dir):
-    return P.monthly_trend_long(_analysis(spark, sf_dir).filtered)
-
-
-def q_rfm_scores(spark, sf_dir):
-    return P.rfm_scores(_analysis(spark, sf_dir).customers)
-
-
-def q_rfm_segments(spark, sf_dir):
-    return P.rfm_segments(q_rfm_scores(spark, sf_dir))
-
-
-def q_top10_rfm(spark, sf_dir):
-    return P.top10_rfm(q_rfm_scores(spark, sf_dir))
-
-
-def q_cohort_retention(spark, sf_dir):
-    return P.cohort_retention(_analysis(spark, sf_dir).customers)
-
-
-def q_churn_by_region(spark, sf_dir):
-    a = _analysis(spark, sf_dir)
-    return P.churn_by_region(a.customers, a.params.churn_threshold)
-
-
-def q_monthly_churn_trend(spark, sf_dir):
-    a = _analysis(spark, sf_dir)
-    return P.monthly_churn_trend(a.filtered, a.customers, a.params.churn_threshold)
-
-
-def q_churned_customer_details(spark, sf_dir):
-    a = _analysis(spark, sf_dir)
-    return P.churned_customer_details(a.customers, a.params.churn_threshold)
-
-
-def q_new_vs_returning(spark, sf_dir):
-    return P.new_vs_returning(_analysis(spark, sf_dir).filtered)
-
-
-def q_customer_clv(spark, sf_dir):
-    return P.customer_clv(_analysis(spark, sf_dir).customers)
-
-
-def q_top10_clv(spark, sf_dir):
-    return P.top10_clv(q_customer_clv(spark, sf_dir))
-
-
-def q_gross_margin(spark, sf_dir):
-    return P.gross_margin(q_customer_clv(spark, sf_dir))
-
-
-def q_profit_vs_volume(spark, sf_dir):
-    return P.profit_vs_volume(q_customer_clv(spark, sf_dir))
-
-
-def q_pareto(spark, sf_dir):
-    return P.pareto(_analysis(spark, sf_dir).customers)
-
-
-def q_tenure_histogram(spark, sf_dir):
-    return P.tenure_histogram(_analysis(spark, sf_dir).customers)
-
-
-def q_order_frequency_histogram(spark, sf_dir):
-    return P.order_frequency_histogram(_analysis(spark, sf_dir).customers)
-
-
-def q_weekday_revenue(spark, sf_dir):
-    return P.weekday_revenue(_analysis(spark, sf_dir).filtered)
-
-
-def q_top_customers_per_region(spark, sf_dir):
-    a = _analysis(spark, sf_dir)
+def _top(a: Analysis) -> DataFrame:
     return P.top_customers_per_region(a.filtered, a.params.top_n)
 
 
-def q_recommend_customers(spark, sf_dir):
-    a = _analysis(spark, sf_dir)
-    top = P.top_customers_per_region(a.filtered, a.params.top_n)
-    return P.recommend_customers(
-        a.filtered, top, a.params.min_lineitem_revenue, a.params.broadcast_max_rows
-    )
-
-
-def q_customer_profile(spark, sf_dir):
-    return P.customer_profile(_analysis(spark, sf_dir).customers)
-
-
-def q_customer_monthly_history(spark, sf_dir):
-    return P.customer_monthly_history(_analysis(spark, sf_dir).filtered)
-
-
-def q_customer_monthly_history_long(spark, sf_dir):
-    return P.customer_monthly_history_long(_analysis(spark, sf_dir).filtered)
-
+# Reports over an Analysis (raw sources or a persisted fact).
+REPORTS: dict[str, Callable[[Analysis], DataFrame]] = {
+    "filter_options": lambda a: filter_options(a.date_filtered),
+    "customer_aggregates": lambda a: a.customers,
+    "customer_kpis": lambda a: P.customer_kpis(a.filtered, a.customers, a.params.churn_threshold),
+    "top10_revenue": lambda a: P.top10_revenue(a.customers),
+    "monthly_trend": lambda a: P.monthly_trend(a.filtered),
+    "monthly_trend_long": lambda a: P.monthly_trend_long(a.filtered),
+    "rfm_scores": _rfm,
+    "rfm_segments": lambda a: P.rfm_segments(_rfm(a)),
+    "top10_rfm": lambda a: P.top10_rfm(_rfm(a)),
+    "cohort_retention": lambda a: P.cohort_retention(a.customers, a.params.churn_threshold),
+    "churn_by_region": lambda a: P.churn_by_region(a.customers, a.params.churn_threshold),
+    "monthly_churn_trend": lambda a: P.monthly_churn_trend(a.filtered, a.customers, a.params.churn_threshold),
+    "churned_customer_details": lambda a: P.churned_customer_details(a.customers, a.params.churn_threshold),
+    "new_vs_returning": lambda a: P.new_vs_returning(a.filtered),
+    "customer_clv": _clv,
+    "top10_clv": lambda a: P.top10_clv(_clv(a)),
+    "gross_margin": lambda a: P.gross_margin(_clv(a)),
+    "profit_vs_volume": lambda a: P.profit_vs_volume(_clv(a)),
+    "pareto": lambda a: P.pareto(a.customers),
+    "tenure_histogram": lambda a: P.tenure_histogram(a.customers),
+    "order_frequency_histogram": lambda a: P.order_frequency_histogram(a.customers),
+    "weekday_revenue": lambda a: P.weekday_revenue(a.filtered),
+    "top_customers_per_region": _top,
+    "recommend_customers": lambda a: P.recommend_customers(
+        a.filtered, _top(a), a.params.min_lineitem_revenue, a.params.broadcast_max_rows
+    ),
+    "customer_profile": lambda a: P.customer_profile(a.customers),
+    "customer_monthly_history": lambda a: P.customer_monthly_history(a.filtered),
+    "customer_monthly_history_long": lambda a: P.customer_monthly_history_long(a.filtered),
+    "product_category_mix": lambda a: P.product_category_mix(a.filtered),
+    "export_customer_details": lambda a: P.export_customer_details(a.customers),
+}
 
-def q_product_category_mix(spark, sf_dir):
-    return P.product_category_mix(_analysis(spark, sf_dir).filtered)
 
+def _over_fixture(report: Callable[[Analysis], DataFrame]) -> QueryFn:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return report(_analysis(spark, sf_dir))
 
-def q_export_customer_details(spark, sf_dir):
-    return P.export_customer_details(_analysis(spark, sf_dir).customers)
+    return run
 
 
 QUERIES: dict[str, QueryFn] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }
+QUERIES.update({name: _over_fixture(fn) for name, fn in REPORTS.items()})
+QUERIES = dict(sorted(QUERIES.items()))

@@ -13,7 +13,18 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     left to the planner: a shuffled sort-merge join (AQE may still switch to a
     broadcast from runtime sizes, and splits skewed partitions).
     """
-    if max_rows <= 0:
-        return df
-    rows = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if rows <= max_rows else df
+    return bounded_broadcast_all([df], max_rows)[0]
+
+
+def bounded_broadcast_all(dfs: list[DataFrame], max_rows: int) -> list[DataFrame]:
+    """:func:`bounded_broadcast` for several tables, checked in one Spark job."""
+    if max_rows <= 0 or not dfs:
+        return list(dfs)
+    probes = [
+        df.limit(max_rows + 1).select(F.lit(i).alias("_t")) for i, df in enumerate(dfs)
+    ]
+    union = probes[0]
+    for probe in probes[1:]:
+        union = union.unionByName(probe)
+    counts = {row["_t"]: row["_n"] for row in union.groupBy("_t").agg(F.count(F.lit(1)).alias("_n")).collect()}
+    return [F.broadcast(df) if counts.get(i, 0) <= max_rows else df for i, df in enumerate(dfs)]

@@ -26,20 +26,22 @@ def rfm_scores(customers: DataFrame, fm_direction: str = "as_reference") -> Data
       "as_reference"``); ``"high_is_good"`` flips them to 4.
     * Tied quartile edges never fail; the first matching band wins.
     """
-    q = customers.agg(
-        F.percentile(F.col("DaysSinceLastOrder"), [0.25, 0.5, 0.75]).alias("q")
-    ).first()["q"] or [None, None, None]
     base = customers.withColumns({
         "Recency": F.col("DaysSinceLastOrder"),
         "Frequency": F.col("TotalOrders"),
         "Monetary": F.col("TotalRevenue"),
     })
+    # The first ranking checkpoints the customer table, so the percentile
+    # pass and the second ranking read it back instead of recomputing it.
     by_freq = global_rank(
         base,
         [F.desc_nulls_last("Frequency"), F.desc_nulls_last("Monetary"), F.asc_nulls_last("CustomerId")],
         rank_col="_frank",
         count_col="_n",
     )
+    q = by_freq.agg(
+        F.percentile(F.col("Recency"), [0.25, 0.5, 0.75]).alias("q")
+    ).first()["q"] or [None, None, None]
     by_money = global_rank(
         by_freq, [F.desc_nulls_last("Monetary"), F.asc_nulls_last("CustomerId")], rank_col="_mrank"
     )

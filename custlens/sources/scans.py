@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custlens.config import Params
+from custlens.functions.text import normalize_key
 from custlens.schemas import FACT_SOURCES, SCAN_COLUMNS, SOURCE_SCHEMAS
 
 log = logging.getLogger(__name__)
@@ -116,11 +117,17 @@ def scan_order_lines(lines: DataFrame, params: Params) -> DataFrame:
 
 
 def scan_packs(packs: DataFrame, lines_raw: DataFrame, params: Params) -> DataFrame:
-    """Packs of order lines created in the fetch range (semi-join)."""
-    in_range = scan_order_lines(lines_raw, params).select("OrderLineId")
-    return packs.join(
-        in_range, packs["PickedForOrderLine"] == in_range["OrderLineId"], "left_semi"
-    ).select(SCAN_COLUMNS["packs"])
+    """Packs of order lines created in the fetch range (semi-join).
+
+    Keys are compared after normalisation (stripped strings), the same rule the
+    fact build uses to attach packs to lines, so both paths keep the same packs.
+    """
+    lines = scan_order_lines(lines_raw, params)
+    in_range = lines.select(
+        normalize_key(F.col("OrderLineId"), lines.schema["OrderLineId"].dataType).alias("_line")
+    )
+    key = normalize_key(F.col("PickedForOrderLine"), packs.schema["PickedForOrderLine"].dataType)
+    return packs.join(in_range, key == in_range["_line"], "left_semi").select(SCAN_COLUMNS["packs"])
 
 
 def scan_sources(

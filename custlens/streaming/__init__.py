@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The analysed application has no unbounded source, watermark, event-time window
+or stateful operator; every report is a batch computation over a persisted
+fact.  Nothing here is needed to reproduce it.  Because all plans in
+:mod:`custlens.plans` are plain DataFrame transformations, a caller who wants
+periodic refreshes can run the batch fact build inside a Structured Streaming
+``foreachBatch`` sink without changes to this library.
+"""
