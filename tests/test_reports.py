@@ -1,0 +1,209 @@
+"""Report semantics on hand-made report inputs (FIXTURES.md §4)."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from custlens import plans as P
+from custlens.config import Params
+from custlens.operators.customers import customer_aggregates
+from custlens.operators.filters import apply_filters, filter_in, filter_options
+from tests.helpers import report_rows
+
+D = dt.date
+AS_OF = D(2001, 8, 2)
+
+
+def test_customer_aggregate_measures(spark):
+    df = report_rows(spark, [
+        dict(OrderId="o1", Date=D(2001, 1, 15), Revenue=100.0, Cost=60.0, WeightLb=10.0),
+        dict(OrderId="o1", Date=D(2001, 1, 15), Revenue=50.0, Cost=10.0, WeightLb=5.0),
+        dict(OrderId="o2", Date=D(2001, 5, 4), Revenue=25.0, Cost=5.0, WeightLb=0.125 * 2,
+             ShipDate=dt.datetime(2001, 5, 6)),
+        dict(CustomerId="2", CustomerName="Beta", OrderId=None, Date=D(2001, 8, 10), Revenue=7.0),
+    ])
+    rows = {r.CustomerId: r for r in customer_aggregates(df, AS_OF).collect()}
+    a = rows["1"]
+    assert (a.TotalRevenue, a.TotalCost, a.TotalOrders, a.TotalWeight) == (175.0, 75.0, 2, 15.25)
+    assert a.AvgOrderWt == 7.62  # 7.625 rounds half to even
+    assert (a.FirstOrder, a.LastOrder) == (D(2001, 1, 15), D(2001, 5, 4))
+    assert a.DaysSinceLastOrder == (AS_OF - D(2001, 5, 4)).days
+    assert a.MonthsActive == (AS_OF - D(2001, 1, 15)).days // 30
+    assert a.RepeatRate == round(2 / a.MonthsActive, 2)
+    assert a.DeliveryTime == dt.datetime(2001, 5, 6)
+    b = rows["2"]
+    # no order id -> 0 orders, AvgOrderWt 0; last order after as_of clips to 0, months to 1
+    assert (b.TotalOrders, b.AvgOrderWt, b.DaysSinceLastOrder, b.MonthsActive, b.RepeatRate) == (0, 0.0, 0, 1, 0.0)
+
+
+def test_kpis_and_empty_input(spark):
+    df = report_rows(spark, [
+        dict(CustomerId="1", OrderId="o1", Revenue=100.0, Date=D(2001, 1, 1)),
+        dict(CustomerId="1", OrderId="o1", Revenue=50.0, Date=D(2001, 1, 1)),
+        dict(CustomerId="2", OrderId="o2", Revenue=30.0, Date=D(2001, 7, 30)),
+        dict(CustomerId="2", OrderId=None, Revenue=20.0, Date=D(2001, 7, 30)),
+    ])
+    cust = customer_aggregates(df, AS_OF)
+    k = P.customer_kpis(df, cust).first()
+    assert (k.TotalCustomers, k.TotalRevenue, k.TotalOrders) == (2, 200.0, 2)
+    assert k.AvgOrderValue == (150.0 + 30.0) / 2
+    assert k.ChurnRatePct == 50.0
+    empty = df.where("false")
+    k0 = P.customer_kpis(empty, customer_aggregates(empty, AS_OF)).first()
+    assert (k0.TotalCustomers, k0.TotalRevenue, k0.TotalOrders, k0.AvgOrderValue, k0.ChurnRatePct) == (0, 0.0, 0, 0.0, 0.0)
+
+
+def test_monthly_trend_gap_fill_and_leap_february(spark):
+    df = report_rows(spark, [
+        dict(OrderId="a", Date=D(2000, 1, 31), Revenue=10.0),
+        dict(OrderId="b", Date=D(2000, 2, 29), Revenue=5.0),
+        dict(OrderId="b", Date=D(2000, 2, 29), Revenue=5.0),
+        dict(OrderId="c", Date=D(2000, 5, 2), Revenue=1.0),
+    ])
+    rows = sorted(tuple(r) for r in P.monthly_trend(df).collect())
+    assert rows == [(D(2000, 1, 1), 10.0, 1), (D(2000, 2, 1), 10.0, 1), (D(2000, 3, 1), 0.0, 0),
+                    (D(2000, 4, 1), 0.0, 0), (D(2000, 5, 1), 1.0, 1)]
+    long = P.monthly_trend_long(df)
+    assert long.count() == 10 and set(long.columns) == {"month_ts", "Metric", "Value"}
+    single = P.monthly_trend(report_rows(spark, [dict()])).collect()
+    assert len(single) == 1
+
+
+def test_churn_boundaries(spark):
+    # month end 2001-06-30; LastOrder 2001-04-01 is exactly 90 days before -> not churned,
+    # 2001-03-31 is 91 days before -> churned.
+    df = report_rows(spark, [
+        dict(CustomerId="a", Date=D(2001, 4, 1)),
+        dict(CustomerId="b", Date=D(2001, 3, 31)),
+        dict(CustomerId="c", Date=D(2001, 6, 1)),
+    ])
+    cust = customer_aggregates(df, D(2001, 6, 30))
+    trend = {r.Month: r.ChurnedCustomers for r in P.monthly_churn_trend(df, cust, 90).collect()}
+    assert trend == {D(2001, 3, 31): 0, D(2001, 4, 30): 0, D(2001, 5, 31): 0, D(2001, 6, 30): 1}
+    by_region = P.churn_by_region(cust, 90).collect()
+    assert [(r.RegionName, r.ChurnCount) for r in by_region] == [("EAST", 1)]  # a is exactly 90 days
+    cohort = {r.CohortMonth: r for r in P.cohort_retention(cust, 90).collect()}
+    assert cohort[D(2001, 3, 1)].StillActive90 == 0 and cohort[D(2001, 4, 1)].StillActive90 == 1
+    details = P.churned_customer_details(cust, 90).collect()
+    assert [r.CustomerId for r in details] == ["b"]
+    assert details[0].GrossProfit == details[0].TotalRevenue - details[0].TotalCost
+
+
+def test_new_vs_returning_first_day_orders(spark):
+    df = report_rows(spark, [
+        dict(CustomerId="1", OrderId="o1", Date=D(2001, 1, 1), Revenue=10.0),
+        dict(CustomerId="1", OrderId="o2", Date=D(2001, 1, 1), Revenue=20.0),
+        dict(CustomerId="1", OrderId="o3", Date=D(2001, 2, 1), Revenue=5.0),
+        dict(CustomerId="2", OrderId="o4", Date=D(2001, 3, 1), Revenue=1.0),
+    ])
+    got = {r.Type: r.Revenue for r in P.new_vs_returning(df).collect()}
+    assert got == {"New Customer Revenue": 31.0, "Returning Customer Revenue": 5.0}
+    empty = {r.Type: r.Revenue for r in P.new_vs_returning(df.where("false")).collect()}
+    assert empty == {"New Customer Revenue": 0.0, "Returning Customer Revenue": 0.0}
+
+
+def test_top_n_and_recommendations(spark):
+    rows = [
+        # region EAST: A 1000 (top), B 900 (top, tie broken by name vs C), C 900 -> not top
+        dict(RegionName="EAST", CustomerName="A", CustomerId="a", OrderId="1", Revenue=1000.0),
+        dict(RegionName="EAST", CustomerName="C", CustomerId="c", OrderId="2", Revenue=900.0),
+        dict(RegionName="EAST", CustomerName="B", CustomerId="b", OrderId="3", Revenue=900.0),
+        # D: one line above the threshold and small ones; only the large line counts
+        dict(RegionName="EAST", CustomerName="D", CustomerId="d", OrderId="4", Revenue=600.0, ItemCount=3.0),
+        dict(RegionName="EAST", CustomerName="D", CustomerId="d", OrderId="5", Revenue=100.0),
+        dict(RegionName="EAST", CustomerName="D", CustomerId="d", OrderId="6", Revenue=100.0),
+        # E: exactly at the threshold -> never recommended
+        dict(RegionName="EAST", CustomerName="E", CustomerId="e", OrderId="7", Revenue=500.0),
+        # null region: present in top-N, never recommended
+        dict(RegionName=None, CustomerName="F", CustomerId="f", OrderId="8", Revenue=5000.0),
+        # null name in WEST is in its top-N and excluded null-safely
+        dict(RegionName="WEST", CustomerName=None, CustomerId="g", OrderId="9", Revenue=800.0),
+        dict(RegionName="WEST", CustomerName="H", CustomerId="h", OrderId="10", Revenue=700.0),
+    ]
+    df = report_rows(spark, rows)
+    top = P.top_customers_per_region(df, 2)
+    got_top = sorted((r.RegionName or "", r.CustomerName or "") for r in top.collect())
+    assert got_top == [("", "F"), ("EAST", "A"), ("EAST", "B"), ("WEST", ""), ("WEST", "H")]
+    rec = {(r.RegionName, r.CustomerName): r for r in P.recommend_customers(df, top, 500.0).collect()}
+    assert set(rec) == {("EAST", "C"), ("EAST", "D")}
+    d = rec[("EAST", "D")]
+    assert (d.TotalRevenue, d.OrderFrequency, d.TotalQuantity) == (600.0, 1, 3.0)
+
+
+def test_clv_margin_zero_revenue_and_orders(spark):
+    df = report_rows(spark, [
+        dict(CustomerId="z", OrderId=None, Revenue=0.0, Cost=5.0, Date=D(2001, 1, 1)),
+        dict(CustomerId="y", OrderId="o", Revenue=200.0, Cost=150.0, Date=D(2000, 8, 2)),
+    ])
+    clv = {r.CustomerId: r for r in P.customer_clv(customer_aggregates(df, AS_OF)).collect()}
+    z, y = clv["z"], clv["y"]
+    assert (z.AvgOrderValue, z.OrdersPerYear, z.CLV, z.GrossMarginPct) == (0.0, 0.0, 0.0, 0.0)
+    assert y.AvgOrderValue == 200.0 and y.GrossMarginPct == 25.0
+    months = (AS_OF - D(2000, 8, 2)).days // 30
+    assert y.OrdersPerYear == 1 / months * 12
+    assert y.CLV == round(200.0 * (1 / months * 12) * 3, 2)
+
+
+def test_pareto_histogram_weekday(spark):
+    df = report_rows(spark, [
+        dict(CustomerId=str(i), OrderId=f"o{i}-{j}", Revenue=float(10 * i), Date=D(2001, 1, 1 + j))
+        for i in range(1, 8) for j in range(i)
+    ])
+    cust = customer_aggregates(df, AS_OF)
+    pareto = sorted(P.pareto(cust).collect(), key=lambda r: r.Rank)
+    assert [r.CustomerId for r in pareto] == [str(i) for i in range(7, 0, -1)]
+    assert pareto[-1].CumulativePct == 1.0
+    assert all(a.CumulativeRevenue <= b.CumulativeRevenue for a, b in zip(pareto, pareto[1:]))
+    hist = sorted(tuple(r) for r in P.order_frequency_histogram(cust).collect())
+    # orders 1..7: span 6 -> step 0.5 (ceil(6/0.5)=12 <= 20), max in the last bin
+    assert hist[0] == (1.0, 1.5, 1) and hist[-1] == (6.5, 7.0, 1) and len(hist) == 7
+    week = P.weekday_revenue(df).collect()
+    assert week[0].Weekday == "Monday" and [r.Weekday for r in week][-1] == "Sunday"
+    assert sum(r.Revenue for r in week) == sum(r.Revenue for r in df.collect())
+
+
+def test_drilldown_profile_history_category(spark):
+    df = report_rows(spark, [
+        dict(CustomerId="1", CustomerName="Same", OrderId="a", Revenue=10.0, Date=D(2001, 1, 5),
+             ProductName="Beef – Rib"),
+        dict(CustomerId="2", CustomerName="Same", OrderId="b", Revenue=99.0, Date=D(2001, 3, 5),
+             ProductName="Beef – Loin – Eye"),
+        dict(CustomerId="2", CustomerName="Same", OrderId="c", Revenue=1.0, Date=D(2001, 5, 5),
+             ProductName=None),
+    ])
+    cust = customer_aggregates(df, AS_OF)
+    prof = P.customer_profile(cust, "Same").collect()
+    assert [r.CustomerId for r in prof] == ["2"]
+    hist = sorted(tuple(r) for r in P.customer_monthly_history(df, "2").collect())
+    assert hist == [("2", D(2001, 3, 31), 99.0, 1), ("2", D(2001, 4, 30), 0.0, 0), ("2", D(2001, 5, 31), 1.0, 1)]
+    mix = sorted(((r.CustomerId, r.ProductCategory or "", r.Spend)
+                  for r in P.product_category_mix(df).collect()))
+    assert mix == [("1", "Beef", 10.0), ("2", "", 1.0), ("2", "Beef", 99.0)]
+
+
+def test_filters_and_options(spark):
+    df = report_rows(spark, [
+        dict(RegionName="EAST", ShippingMethodName="AIR", CustomerName="A", Date=D(2001, 1, 1)),
+        dict(RegionName="WEST", ShippingMethodName="GROUND", CustomerName="B", Date=D(2001, 6, 30)),
+        dict(RegionName=None, ShippingMethodName="AIR", CustomerName=None, Date=D(2001, 7, 1)),
+        dict(RegionName="WEST", Date=None),
+    ])
+    assert filter_in(df, "RegionName", ["All", "EAST"]).count() == 4
+    assert filter_in(df, "RegionName", []).count() == 4
+    assert filter_in(df, "RegionName", ["NOWHERE"]).count() == 0
+    p = Params(start=D(2001, 1, 1), end=D(2001, 6, 30), as_of=AS_OF, regions=("WEST", "EAST"),
+               shipping_methods=("GROUND",))
+    assert [r.CustomerName for r in apply_filters(df, p).collect()] == ["B"]
+    dated = apply_filters(df, p.replace(regions=("All",), shipping_methods=()))
+    opts = sorted(tuple(r) for r in filter_options(dated).collect())
+    assert opts == [("CustomerName", "A"), ("CustomerName", "B"), ("RegionName", "EAST"),
+                    ("RegionName", "WEST"), ("ShippingMethodName", "AIR"), ("ShippingMethodName", "GROUND")]
+
+
+def test_export_columns(spark):
+    cust = customer_aggregates(report_rows(spark, [dict()]), AS_OF)
+    out = P.export_customer_details(cust)
+    assert out.columns[:6] == ["CustomerId", "CustomerName", "RegionName", "TotalRevenue", "TotalCost", "GrossProfit"]
+    assert len(out.columns) == 15
+    partial = P.export_customer_details(cust.drop("TotalCost", "City"))
+    assert partial.first().GrossProfit == 0.0 and "City" not in partial.columns
