@@ -148,7 +148,7 @@ REPORTS: dict[str, Callable[[Analysis], DataFrame]] = {
     "weekday_revenue": lambda a: P.weekday_revenue(a.filtered),
     "top_customers_per_region": _top,
     "recommend_customers": lambda a: P.recommend_customers(
-        a.filtered, _top(a), a.params.min_lineitem_revenue, a.params.broadcast_max_rows
+        a.filtered, a.params.top_n, a.params.min_lineitem_revenue
     ),
     "customer_profile": lambda a: P.customer_profile(a.customers),
     "customer_monthly_history": lambda a: P.customer_monthly_history(a.filtered),

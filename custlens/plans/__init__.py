@@ -15,7 +15,11 @@ from custlens.plans.drilldown import (
 from custlens.plans.exports import export_customer_details
 from custlens.plans.kpis import customer_kpis, top10_revenue
 from custlens.plans.pareto import pareto
-from custlens.plans.recommend import recommend_customers, top_customers_per_region
+from custlens.plans.recommend import (
+    compute_recommendations,
+    recommend_customers,
+    top_customers_per_region,
+)
 from custlens.plans.rfm import rfm_scores, rfm_segments, top10_rfm
 from custlens.plans.trend import monthly_trend, monthly_trend_long
 
@@ -24,6 +28,7 @@ __all__ = [
     "churn_by_region",
     "churned_customer_details",
     "cohort_retention",
+    "compute_recommendations",
     "customer_clv",
     "customer_kpis",
     "customer_monthly_history",

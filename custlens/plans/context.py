@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from custlens.config import Params
 from custlens.operators.conform import conform_fact
-from custlens.operators.customers import customer_aggregates
+from custlens.operators.customers import customer_aggregates, order_level
 from custlens.operators.fact import build_fact
 from custlens.operators.filters import apply_filters, filter_date_range
 from custlens.sources.fixture import fixture_sources
@@ -70,6 +70,11 @@ class Analysis:
     def filtered(self) -> DataFrame:
         return apply_filters(self.report_input, self.params)
 
+    @cached_property
+    def orders(self) -> DataFrame:
+        """Report input reduced to one row per (CustomerId, OrderId)."""
+        return order_level(self.filtered)
+
     @cached_property
     def customers(self) -> DataFrame:
-        return customer_aggregates(self.filtered, self.params.as_of)
+        return customer_aggregates(self.filtered, self.params.as_of, orders=self.orders)

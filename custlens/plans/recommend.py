@@ -1,56 +1,74 @@
-"""Top customers per region and new-customer recommendations."""
+"""Top customers per region and new-customer recommendations."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from custlens.operators.joins import bounded_broadcast
+_KEYS = ["RegionName", "CustomerName"]
+
+
+def _top_n(totals: DataFrame, n: int) -> DataFrame:
+    """``row_number <= n`` per region: planned with a partial WindowGroupLimit
+    before the shuffle, so a region holding a large share of customers sends
+    at most n rows per map task."""
+    w = Window.partitionBy("RegionName").orderBy(
+        F.desc_nulls_last("TotalRevenue"), F.asc_nulls_last("CustomerName")
+    )
+    return (
+        totals.withColumn("_rn", F.row_number().over(w))
+        .where(F.col("_rn") <= n)
+        .select("RegionName", "CustomerName", "TotalRevenue")
+    )
 
 
 def top_customers_per_region(df: DataFrame, n: int = 50) -> DataFrame:
-    """The n highest-revenue (RegionName, CustomerName) groups per region.
+    """The n highest-revenue (RegionName, CustomerName) groups per region.
 
     Grouping is by *name*, not id.  Null regions and names are groups of their
-    own.  Ties keep names in ascending order (nulls last).  ``row_number <= n``
-    is planned with a partial WindowGroupLimit before the shuffle, so a region
-    holding a large share of customers sends at most n rows per map task.
+    own.  Ties keep names in ascending order (nulls last).
     """
-    g = df.groupBy("RegionName", "CustomerName").agg(F.sum("Revenue").alias("TotalRevenue"))
-    w = Window.partitionBy("RegionName").orderBy(
-        F.desc_nulls_last("TotalRevenue"), F.asc_nulls_last("CustomerName")
-    )
-    return g.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
-
-
-def recommend_customers(
-    df: DataFrame,
-    top: DataFrame,
-    min_lineitem_revenue: float = 500.0,
-    broadcast_max_rows: int = 250_000,
-) -> DataFrame:
-    """Per region, customers outside its top-N with line items above the threshold.
-
-    Totals cover only the qualifying lines (Revenue strictly above the
-    threshold).  Lines without a region are never recommended.  The exclusion
-    matches names null-safely.  Lines are aggregated before the anti-join, so
-    the join runs at (region, customer) grain; the top-N side (at most N rows
-    per region) is broadcast when its size check passes.
+    totals = df.groupBy(*_KEYS).agg(F.sum("Revenue").alias("TotalRevenue"))
+    return _top_n(totals, n)
+
+
+def compute_recommendations(
+    df: DataFrame, top_n: int = 50, min_lineitem_revenue: float = 500.0
+) -> dict[str, DataFrame]:
+    """``{"top": top-N per region, "recommended": new customers}``.
+
+    One (region, customer) aggregation of the lines feeds both results: the
+    total revenue ranks the top-N, and conditional aggregates over the lines
+    above the threshold give the recommendation totals.  Both outputs read the
+    same shuffle, so the lines are scanned once.
+
+    Recommendations (R5): per region, customers outside its top-N with at
+    least one line strictly above the threshold; totals cover only those
+    lines.  Lines without a region are never recommended.  The exclusion
+    matches names null-safely.  The anti-join runs at (region, customer)
+    grain against at most N rows per region; AQE turns it into a broadcast
+    join from the exact runtime size of the top-N, with no extra job.
     """
-    qualifying = df.where(
-        F.col("RegionName").isNotNull() & (F.col("Revenue") > F.lit(min_lineitem_revenue))
-    )
-    totals = qualifying.groupBy("RegionName", "CustomerName").agg(
+    qualifies = F.col("Revenue") > F.lit(float(min_lineitem_revenue))
+    totals = df.groupBy(*_KEYS).agg(
         F.sum("Revenue").alias("TotalRevenue"),
-        F.count_distinct("OrderId").alias("OrderFrequency"),
-        F.sum("ItemCount").alias("TotalQuantity"),
-    )
-    exclude = bounded_broadcast(
-        top.select(F.col("RegionName").alias("_r"), F.col("CustomerName").alias("_c")),
-        broadcast_max_rows,
+        F.sum(F.when(qualifies, F.col("Revenue"))).alias("_q_revenue"),
+        F.count_distinct(F.when(qualifies, F.col("OrderId"))).alias("_q_orders"),
+        F.sum(F.when(qualifies, F.col("ItemCount"))).alias("_q_items"),
+        F.count_if(qualifies).alias("_q_lines"),
     )
-    cond = (totals["RegionName"] == exclude["_r"]) & totals["CustomerName"].eqNullSafe(exclude["_c"])
-    return totals.join(exclude, cond, "left_anti").select(
-        "RegionName", "CustomerName", "TotalRevenue",
-        F.col("OrderFrequency").cast("bigint"), "TotalQuantity",
+    top = _top_n(totals, top_n)
+    candidates = totals.where(F.col("RegionName").isNotNull() & (F.col("_q_lines") > 0)).select(
+        "RegionName", "CustomerName",
+        F.col("_q_revenue").alias("TotalRevenue"),
+        F.col("_q_orders").cast("bigint").alias("OrderFrequency"),
+        F.col("_q_items").alias("TotalQuantity"),
     )
+    exclude = top.select(F.col("RegionName").alias("_r"), F.col("CustomerName").alias("_c"))
+    cond = (candidates["RegionName"] == exclude["_r"]) & candidates["CustomerName"].eqNullSafe(exclude["_c"])
+    return {"top": top, "recommended": candidates.join(exclude, cond, "left_anti")}
+
+
+def recommend_customers(df: DataFrame, top_n: int = 50, min_lineitem_revenue: float = 500.0) -> DataFrame:
+    """The recommendation table of :func:`compute_recommendations`."""
+    return compute_recommendations(df, top_n, min_lineitem_revenue)["recommended"]

@@ -124,7 +124,9 @@ def test_top_n_and_recommendations(spark):
     top = P.top_customers_per_region(df, 2)
     got_top = sorted((r.RegionName or "", r.CustomerName or "") for r in top.collect())
     assert got_top == [("", "F"), ("EAST", "A"), ("EAST", "B"), ("WEST", ""), ("WEST", "H")]
-    rec = {(r.RegionName, r.CustomerName): r for r in P.recommend_customers(df, top, 500.0).collect()}
+    both = P.compute_recommendations(df, 2, 500.0)
+    assert sorted(map(tuple, both["top"].collect()), key=str) == sorted(map(tuple, top.collect()), key=str)
+    rec = {(r.RegionName, r.CustomerName): r for r in both["recommended"].collect()}
     assert set(rec) == {("EAST", "C"), ("EAST", "D")}
     d = rec[("EAST", "D")]
     assert (d.TotalRevenue, d.OrderFrequency, d.TotalQuantity) == (600.0, 1, 3.0)
