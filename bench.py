@@ -49,6 +49,9 @@ def _session(cpus: int, scratch: str) -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.local.dir", os.path.join(scratch, "local"))
+        # One machine: list the month directories of the stored fact on the
+        # driver instead of through a Spark job (a cluster keeps the default).
+        .config("spark.sql.sources.parallelPartitionDiscovery.threshold", "1024")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -105,10 +108,20 @@ def main() -> None:
     for key in HEADLINE:
         times[key] = _timed(report_fn(key), runs)
 
+    def dashboard() -> None:
+        # Every headline report over one analysis whose filtered input and
+        # customer table are persisted once (an interactive session).
+        a = Analysis(spark, params, fact=read_fact(spark, fact_path, params.start, params.end)).cache()
+        for key in HEADLINE:
+            _noop(REPORTS[key](a))
+        a.unpersist()
+
+    times["dashboard_all_reports_cached"] = _timed(dashboard, max(1, runs - 1))
+
     fact_rows = read_fact(spark, fact_path).count()
     print(json.dumps({
         "metric": "sum_of_median_query_seconds",
-        "value": round(sum(times.values()), 3),
+        "value": round(sum(v for k, v in times.items() if k != "dashboard_all_reports_cached"), 3),
         "unit": "sec",
         "queries": times,
         "sf": sf,

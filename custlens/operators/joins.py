@@ -6,13 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark ``df`` for broadcast only when it provably has at most ``max_rows`` rows.
+def capped_counts(dfs: list[DataFrame], caps: list[int]) -> list[int]:
+    """``min(rows(df), cap)`` for every table, computed in one Spark job.
+
+    Each table contributes at most ``cap`` rows (a limit), so the job reads no
+    more than needed to decide the bound.
+    """
+    probes = [df.limit(cap).select(F.lit(i).alias("_t")) for i, (df, cap) in enumerate(zip(dfs, caps))]
+    union = probes[0]
+    for probe in probes[1:]:
+        union = union.unionByName(probe)
+    got = {r["_t"]: r["_n"] for r in union.groupBy("_t").agg(F.count(F.lit(1)).alias("_n")).collect()}
+    return [got.get(i, 0) for i in range(len(dfs))]
+
 
-    The check reads at most ``max_rows + 1`` rows.  Beyond the bound the side is
-    left to the planner: a shuffled sort-merge join (AQE may still switch to a
-    broadcast from runtime sizes, and splits skewed partitions).
+def broadcast_if_within(dfs: list[DataFrame], counts: list[int], max_rows: int) -> list[DataFrame]:
+    """Broadcast hint for tables whose capped count proves at most ``max_rows`` rows.
+
+    Beyond the bound a table is left to the planner: a shuffled sort-merge join
+    (AQE may still switch to a broadcast from runtime sizes, and splits skewed
+    partitions).
     """
+    return [F.broadcast(df) if max_rows > 0 and n <= max_rows else df for df, n in zip(dfs, counts)]
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """Mark ``df`` for broadcast only when it provably has at most ``max_rows`` rows."""
     return bounded_broadcast_all([df], max_rows)[0]
 
 
@@ -20,11 +39,5 @@ def bounded_broadcast_all(dfs: list[DataFrame], max_rows: int) -> list[DataFrame
     """:func:`bounded_broadcast` for several tables, checked in one Spark job."""
     if max_rows <= 0 or not dfs:
         return list(dfs)
-    probes = [
-        df.limit(max_rows + 1).select(F.lit(i).alias("_t")) for i, df in enumerate(dfs)
-    ]
-    union = probes[0]
-    for probe in probes[1:]:
-        union = union.unionByName(probe)
-    counts = {row["_t"]: row["_n"] for row in union.groupBy("_t").agg(F.count(F.lit(1)).alias("_n")).collect()}
-    return [F.broadcast(df) if counts.get(i, 0) <= max_rows else df for i, df in enumerate(dfs)]
+    counts = capped_counts(dfs, [max_rows + 1] * len(dfs))
+    return broadcast_if_within(dfs, counts, max_rows)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from custlens.config import Params
@@ -78,3 +79,17 @@ class Analysis:
     @cached_property
     def customers(self) -> DataFrame:
         return customer_aggregates(self.filtered, self.params.as_of, orders=self.orders)
+
+    def cache(self) -> "Analysis":
+        """Persist the filtered input and the customer table for several reports.
+
+        For interactive sessions that run many reports on one parameter set;
+        MEMORY_AND_DISK, so lost blocks are recomputed from the stored fact.
+        """
+        self.filtered.persist(StorageLevel.MEMORY_AND_DISK)
+        self.customers.persist(StorageLevel.MEMORY_AND_DISK)
+        return self
+
+    def unpersist(self) -> None:
+        self.customers.unpersist()
+        self.filtered.unpersist()
