@@ -10,6 +10,7 @@ import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from custlens import plans as P
 from custlens.config import DRIVER_PARAMS, Params, ensure_checkpoint_dir
@@ -125,7 +126,9 @@ def _top(a: Analysis) -> DataFrame:
 # Reports over an Analysis (raw sources or a persisted fact).
 REPORTS: dict[str, Callable[[Analysis], DataFrame]] = {
     "filter_options": lambda a: filter_options(a.date_filtered),
-    "customer_aggregates": lambda a: a.customers,
+    "customer_aggregates": lambda a: a.customers.orderBy(
+        F.desc_nulls_last("TotalRevenue"), F.asc_nulls_last("CustomerId")
+    ),
     "customer_kpis": lambda a: P.customer_kpis(a.filtered, a.customers, a.params.churn_threshold),
     "top10_revenue": lambda a: P.top10_revenue(a.customers),
     "monthly_trend": lambda a: P.monthly_trend(a.filtered),

@@ -18,7 +18,7 @@ def churn_by_region(customers: DataFrame, threshold: int = 90) -> DataFrame:
     """Churned customers per region (null region kept as its own row)."""
     return churned(customers, threshold).groupBy("RegionName").agg(
         F.count_distinct("CustomerId").alias("ChurnCount")
-    )
+    ).orderBy(F.desc("ChurnCount"), F.asc_nulls_last("RegionName"))
 
 
 def monthly_churn_trend(df: DataFrame, customers: DataFrame, churn_days: int = 90) -> DataFrame:

@@ -45,8 +45,10 @@ def top10_clv(clv: DataFrame, k: int = 10) -> DataFrame:
 
 
 def gross_margin(clv: DataFrame) -> DataFrame:
-    """Gross margin % per customer (0 when revenue is 0)."""
-    return clv.select("CustomerId", "CustomerName", "TotalRevenue", "TotalCost", "GrossMarginPct", "CLV")
+    """Gross margin % per customer (0 when revenue is 0), highest first."""
+    return clv.select(
+        "CustomerId", "CustomerName", "TotalRevenue", "TotalCost", "GrossMarginPct", "CLV"
+    ).orderBy(F.desc("GrossMarginPct"), F.asc_nulls_last("CustomerId"))
 
 
 def profit_vs_volume(clv: DataFrame) -> DataFrame:

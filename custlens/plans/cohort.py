@@ -22,4 +22,4 @@ def cohort_retention(customers: DataFrame, active_days: int = 90) -> DataFrame:
     )
     return g.withColumn(
         "RetentionRate", rint2(safe_divide(F.col("StillActive90"), F.col("TotalCustomers")))
-    )
+    ).orderBy(F.asc_nulls_last("CohortMonth"))

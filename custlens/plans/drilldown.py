@@ -81,4 +81,6 @@ def product_category_mix(df: DataFrame, customer_id: str | None = None) -> DataF
     """
     return _with_id(df, customer_id).groupBy(
         "CustomerId", product_category(F.col("ProductName")).alias("ProductCategory")
-    ).agg(F.sum("Revenue").alias("Spend"), F.sum("WeightLb").alias("Weight"))
+    ).agg(F.sum("Revenue").alias("Spend"), F.sum("WeightLb").alias("Weight")).orderBy(
+        "CustomerId", F.desc("Spend"), F.asc_nulls_last("ProductCategory")
+    )

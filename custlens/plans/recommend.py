@@ -15,10 +15,13 @@ def _top_n(totals: DataFrame, n: int) -> DataFrame:
     w = Window.partitionBy("RegionName").orderBy(
         F.desc_nulls_last("TotalRevenue"), F.asc_nulls_last("CustomerName")
     )
-    return (
-        totals.withColumn("_rn", F.row_number().over(w))
-        .where(F.col("_rn") <= n)
-        .select("RegionName", "CustomerName", "TotalRevenue")
+    return totals.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+
+
+def _sorted_top(top: DataFrame) -> DataFrame:
+    """T5: regions ascending (nulls last), revenue rank within the region."""
+    return top.orderBy(F.asc_nulls_last("RegionName"), F.asc("_rn")).select(
+        "RegionName", "CustomerName", "TotalRevenue"
     )
 
 
@@ -29,7 +32,7 @@ def top_customers_per_region(df: DataFrame, n: int = 50) -> DataFrame:
     own.  Ties keep names in ascending order (nulls last).
     """
     totals = df.groupBy(*_KEYS).agg(F.sum("Revenue").alias("TotalRevenue"))
-    return _top_n(totals, n)
+    return _sorted_top(_top_n(totals, n))
 
 
 def compute_recommendations(
@@ -66,7 +69,11 @@ def compute_recommendations(
     )
     exclude = top.select(F.col("RegionName").alias("_r"), F.col("CustomerName").alias("_c"))
     cond = (candidates["RegionName"] == exclude["_r"]) & candidates["CustomerName"].eqNullSafe(exclude["_c"])
-    return {"top": top, "recommended": candidates.join(exclude, cond, "left_anti")}
+    recommended = candidates.join(exclude, cond, "left_anti").orderBy(
+        F.asc("RegionName"), F.desc_nulls_last("TotalRevenue"), F.desc_nulls_last("OrderFrequency"),
+        F.asc_nulls_last("CustomerName"),
+    )
+    return {"top": _sorted_top(top), "recommended": recommended}
 
 
 def recommend_customers(df: DataFrame, top_n: int = 50, min_lineitem_revenue: float = 500.0) -> DataFrame:

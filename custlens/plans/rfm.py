@@ -74,7 +74,9 @@ def rfm_scores(customers: DataFrame, fm_direction: str = "as_reference") -> Data
 
 def rfm_segments(rfm: DataFrame) -> DataFrame:
     """Customers per segment (non-null ids counted)."""
-    return rfm.groupBy("RFM_Segment").agg(F.count("CustomerId").alias("Count"))
+    return rfm.groupBy("RFM_Segment").agg(F.count("CustomerId").alias("Count")).orderBy(
+        F.desc("Count"), F.asc("RFM_Segment")
+    )
 
 
 def top10_rfm(rfm: DataFrame, k: int = 10) -> DataFrame:
