@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from custlens.functions.dates import weekday_index, weekday_name
 from custlens.operators.ordering import histogram
+from custlens.plans.common import sort_bounded
 
 MAX_BINS = 20
 
@@ -16,7 +17,7 @@ def weekday_revenue(df: DataFrame) -> DataFrame:
     g = df.groupBy(
         weekday_name(F.col("Date")).alias("Weekday"), weekday_index(F.col("Date")).alias("_idx")
     ).agg(F.sum("Revenue").alias("Revenue"))
-    return g.orderBy(F.asc_nulls_last("_idx")).select("Weekday", "Revenue")
+    return sort_bounded(g, F.asc_nulls_last("_idx")).select("Weekday", "Revenue")
 
 
 def tenure_histogram(customers: DataFrame, max_bins: int = MAX_BINS) -> DataFrame:

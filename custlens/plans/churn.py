@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from custlens.functions.dates import month_end, month_start
 from custlens.operators.ordering import month_spine
+from custlens.plans.common import sort_bounded
 
 
 def churned(customers: DataFrame, threshold: int) -> DataFrame:
@@ -18,7 +19,7 @@ def churn_by_region(customers: DataFrame, threshold: int = 90) -> DataFrame:
     """Churned customers per region (null region kept as its own row)."""
     return churned(customers, threshold).groupBy("RegionName").agg(
         F.count_distinct("CustomerId").alias("ChurnCount")
-    ).orderBy(F.desc("ChurnCount"), F.asc_nulls_last("RegionName"))
+    ).transform(lambda d: sort_bounded(d, F.desc("ChurnCount"), F.asc_nulls_last("RegionName")))
 
 
 def monthly_churn_trend(df: DataFrame, customers: DataFrame, churn_days: int = 90) -> DataFrame:

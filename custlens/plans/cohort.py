@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from custlens.functions.dates import month_start
 from custlens.functions.numeric import rint2, safe_divide
+from custlens.plans.common import sort_bounded
 
 
 def cohort_retention(customers: DataFrame, active_days: int = 90) -> DataFrame:
@@ -22,4 +23,4 @@ def cohort_retention(customers: DataFrame, active_days: int = 90) -> DataFrame:
     )
     return g.withColumn(
         "RetentionRate", rint2(safe_divide(F.col("StillActive90"), F.col("TotalCustomers")))
-    ).orderBy(F.asc_nulls_last("CohortMonth"))
+    ).transform(lambda d: sort_bounded(d, F.asc_nulls_last("CohortMonth")))

@@ -17,3 +17,16 @@ def unpivot_metrics(df: DataFrame, ids: list[str], metrics: list[str]) -> DataFr
     """Wide -> long (``Metric``, ``Value``) with values as doubles."""
     wide = df.select(*ids, *[df[m].cast("double").alias(m) for m in metrics])
     return wide.unpivot(ids, metrics, "Metric", "Value")
+
+
+def sort_bounded(df: DataFrame, *order: Column) -> DataFrame:
+    """Order a result whose size is bounded by a dimension (weekdays, RFM
+    segments, regions, calendar months, N per region).
+
+    The bounded rows are moved into one partition and sorted there: no
+    range-sampling job, and every upstream stage keeps its parallelism
+    (``coalesce(1)`` would pull the producing stage into one task).  Never use
+    this on customer- or fact-scale results; those use ``orderBy`` (a
+    distributed range sort).
+    """
+    return df.repartition(1).sortWithinPartitions(*order)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from custlens.plans.common import sort_bounded
+
 _KEYS = ["RegionName", "CustomerName"]
 
 
@@ -20,7 +22,7 @@ def _top_n(totals: DataFrame, n: int) -> DataFrame:
 
 def _sorted_top(top: DataFrame) -> DataFrame:
     """T5: regions ascending (nulls last), revenue rank within the region."""
-    return top.orderBy(F.asc_nulls_last("RegionName"), F.asc("_rn")).select(
+    return sort_bounded(top, F.asc_nulls_last("RegionName"), F.asc("_rn")).select(
         "RegionName", "CustomerName", "TotalRevenue"
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custlens.operators.ordering import global_rank, quartile_of_rank
-from custlens.plans.common import top_k
+from custlens.plans.common import sort_bounded, top_k
 
 # Segment thresholds on RFM_Score (3..12) and their names.
 SEGMENTS = [(10, "Champion"), (8, "Loyal"), (6, "At Risk")]
@@ -74,9 +74,8 @@ def rfm_scores(customers: DataFrame, fm_direction: str = "as_reference") -> Data
 
 def rfm_segments(rfm: DataFrame) -> DataFrame:
     """Customers per segment (non-null ids counted)."""
-    return rfm.groupBy("RFM_Segment").agg(F.count("CustomerId").alias("Count")).orderBy(
-        F.desc("Count"), F.asc("RFM_Segment")
-    )
+    counts = rfm.groupBy("RFM_Segment").agg(F.count("CustomerId").alias("Count"))
+    return sort_bounded(counts, F.desc("Count"), F.asc("RFM_Segment"))
 
 
 def top10_rfm(rfm: DataFrame, k: int = 10) -> DataFrame:
