@@ -129,16 +129,18 @@ REPORTS: dict[str, Callable[[Analysis], DataFrame]] = {
     "customer_aggregates": lambda a: a.customers.orderBy(
         F.desc_nulls_last("TotalRevenue"), F.asc_nulls_last("CustomerId")
     ),
-    "customer_kpis": lambda a: P.customer_kpis(a.filtered, a.customers, a.params.churn_threshold),
+    # KPI churn, cohort activity and the monthly churn trend use a fixed 90 days;
+    # only churn-by-region and the churned export follow the chosen threshold.
+    "customer_kpis": lambda a: P.customer_kpis(a.filtered, a.customers),
     "top10_revenue": lambda a: P.top10_revenue(a.customers),
     "monthly_trend": lambda a: P.monthly_trend(a.filtered),
     "monthly_trend_long": lambda a: P.monthly_trend_long(a.filtered),
     "rfm_scores": _rfm,
     "rfm_segments": lambda a: P.rfm_segments(_rfm(a)),
     "top10_rfm": lambda a: P.top10_rfm(_rfm(a)),
-    "cohort_retention": lambda a: P.cohort_retention(a.customers, a.params.churn_threshold),
+    "cohort_retention": lambda a: P.cohort_retention(a.customers),
     "churn_by_region": lambda a: P.churn_by_region(a.customers, a.params.churn_threshold),
-    "monthly_churn_trend": lambda a: P.monthly_churn_trend(a.filtered, a.customers, a.params.churn_threshold),
+    "monthly_churn_trend": lambda a: P.monthly_churn_trend(a.filtered, a.customers),
     "churned_customer_details": lambda a: P.churned_customer_details(a.customers, a.params.churn_threshold),
     "new_vs_returning": lambda a: P.new_vs_returning(a.filtered),
     "customer_clv": _clv,

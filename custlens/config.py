@@ -38,6 +38,8 @@ class Params:
     customers: tuple[str, ...] = ("All",)
     top_n: int = 50
     min_lineitem_revenue: float = 500.0
+    # Days-since-last-order threshold of the churn-by-region report and the
+    # churned-customer export (the original offers 90, 180 or 365).
     churn_threshold: int = 90
     # Lookups with at most this many rows are broadcast; larger ones are
     # shuffled (sort-merge, with AQE skew handling).
