@@ -6,7 +6,7 @@ from the whole supplied tables with the driver parameters.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,10 +74,11 @@ def q_delivery_metrics(spark, sf_dir):
 
 
 def q_fact_roundtrip(spark, sf_dir):
-    """Write the fact partitioned by month under the checkpoint folder, read it back."""
+    """Write the fact partitioned by month under the shared checkpoint folder and
+    read it back.  Each call writes its own directory, so a DataFrame returned
+    by an earlier call keeps its files."""
     root = ensure_checkpoint_dir(spark)
-    tag = hashlib.sha1(f"{sf_dir}|{DRIVER_PARAMS}".encode()).hexdigest()[:12]
-    path = f"{root.rstrip('/')}/fact_roundtrip/{tag}"
+    path = f"{root.rstrip('/')}/fact_roundtrip/{uuid.uuid4().hex}"
     write_fact(_analysis(spark, sf_dir).fact, path)
     return read_fact(spark, path)
 

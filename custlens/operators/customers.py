@@ -14,15 +14,12 @@ _ATTRS = ["CustomerName", "RegionName", "Address", "City", "Province", "PostalCo
 
 
 def order_level(df: DataFrame) -> DataFrame:
-    """Lines reduced to one row per (CustomerId, OrderId).
+    """Lines reduced to one row per (CustomerId, OrderId), numeric measures only.
 
-    Partially aggregated before its shuffle, so a customer or order holding a
-    large share of all lines is pre-combined in every map task.  This is the
-    same two-shuffle shape Spark plans for a distinct count, written out so
-    the order level is available by name.
+    Hash aggregation, partial before its shuffle, so a customer or order
+    holding a large share of all lines is pre-combined in every map task.
     """
     return df.groupBy("CustomerId", "OrderId").agg(
-        *[F.min(c).alias(c) for c in _ATTRS],
         F.sum("Revenue").alias("Revenue"),
         F.sum("Cost").alias("Cost"),
         F.sum("WeightLb").alias("WeightLb"),
@@ -36,29 +33,43 @@ def customer_aggregates(df: DataFrame, as_of: dt.date, orders: DataFrame | None
     """Per-customer totals, first/last order and activity measures.
 
     * Grouped by ``CustomerId``; a null id forms its own group.
-    * Attributes (name, region, address, ...) depend only on the customer, so
-      ``min`` stands in for "first non-null": deterministic and partially
-      aggregable.
-    * ``TotalOrders`` counts the customer's non-null order ids: one row per
-      (customer, order) pair from :func:`order_level`, so no distinct
-      aggregate is needed.
+    * Measures: lines -> (customer, order) -> customer, two hash aggregations
+      with partial aggregation before each shuffle; ``TotalOrders`` counts the
+      customer's non-null order ids (one row per pair), so no distinct aggregate.
+    * Attributes (name, region, address, ...) come from the customer lookup and
+      depend only on the customer; ``min`` stands in for "first non-null"
+      (deterministic).  A ``min`` over strings cannot use the hash aggregate
+      (variable-width buffer) and would sort every line, so the attributes are
+      first reduced by a key-only hash ``distinct`` of (customer, attributes)
+      -- about one row per customer -- and only that customer-scale union
+      with the measures is aggregated with ``min``.
     * ``DeliveryTime`` is the latest ship date; null for the null-id group.
     * ``as_of`` replaces the clock; both date measures are whole days.
     """
     orders = order_level(df) if orders is None else orders
-    as_of_lit = F.lit(as_of)
-    agg = orders.groupBy("CustomerId").agg(
-        F.min("CustomerName").alias("CustomerName"),
-        F.min("RegionName").alias("RegionName"),
+    measures = orders.groupBy("CustomerId").agg(
         F.sum("Revenue").alias("TotalRevenue"),
         F.sum("Cost").alias("TotalCost"),
         F.count("OrderId").alias("TotalOrders"),
         F.sum("WeightLb").alias("TotalWeight"),
         F.min("FirstDate").alias("FirstOrder"),
         F.max("LastDate").alias("LastOrder"),
-        *[F.min(c).alias(c) for c in _ATTRS[2:]],
-        F.when(F.col("CustomerId").isNotNull(), F.max("LastShip")).alias("DeliveryTime"),
+        F.max("LastShip").alias("DeliveryTime"),
     )
+    combos = df.select("CustomerId", *_ATTRS).distinct()
+    measure_cols = [f.name for f in measures.schema.fields if f.name != "CustomerId"]
+    types = {f.name: f.dataType for f in measures.schema.fields}
+    rows = measures.select(
+        "CustomerId", *[F.lit(None).cast("string").alias(c) for c in _ATTRS], *measure_cols
+    ).unionByName(combos.select(
+        "CustomerId", *_ATTRS, *[F.lit(None).cast(types[c]).alias(c) for c in measure_cols]
+    ))
+    # Exactly one measures row per customer, so max() just carries its values.
+    agg = rows.groupBy("CustomerId").agg(
+        *[F.min(c).alias(c) for c in _ATTRS],
+        *[F.max(c).alias(c) for c in measure_cols],
+    ).withColumn("DeliveryTime", F.when(F.col("CustomerId").isNotNull(), F.col("DeliveryTime")))
+    as_of_lit = F.lit(as_of)
     months_active = clip_lower(F.floor(F.datediff(as_of_lit, F.col("FirstOrder")) / 30), 1)
     out = agg.withColumns({
         "TotalOrders": F.col("TotalOrders").cast("bigint"),

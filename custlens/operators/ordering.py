@@ -37,26 +37,36 @@ def global_rank(
 
     Plan: range exchange on the order keys (sampled bounds, so equal-size
     partitions even when one value holds many rows, as long as the keys end in
-    a unique column) -> reliable checkpoint, which fixes the partition
-    assignment and cuts lineage (a recomputation could sample other bounds)
-    -> local ``row_number``/running sum per range partition -> join with the
-    per-partition offsets, a table of at most ``num_partitions`` rows that is
-    broadcast.
+    a unique column) -> sort within each partition and number the rows there
+    (``monotonically_increasing_id`` follows the sorted row order inside a
+    task) -> reliable checkpoint, which fixes the partition assignment and
+    the numbering and cuts lineage (a recomputation could sample other
+    bounds) -> join with the per-partition offsets, a table of at most
+    ``num_partitions`` rows that is broadcast.  Only a running sum needs a
+    window, partitioned by range partition.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = F.spark_partition_id()
     staged = (
         df.repartitionByRange(n_parts, *order)
-        .withColumn(_PART, F.spark_partition_id())
+        .sortWithinPartitions(*order)
+        .withColumns({
+            _PART: part,
+            # ids are (partition index << 33) + position within the partition
+            "__gr_lrank": F.monotonically_increasing_id() - F.shiftleft(part.cast("bigint"), 33) + 1,
+        })
         .checkpoint(eager=True)
     )
 
-    local_w = Window.partitionBy(_PART).orderBy(*order)
-    local = staged.withColumn("__gr_lrank", F.row_number().over(local_w))
+    local = staged
     part_aggs = [F.count(F.lit(1)).alias("__gr_pn")]
     if sum_col is not None:
-        running = local_w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        running = (
+            Window.partitionBy(_PART).orderBy("__gr_lrank")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
         local = local.withColumn("__gr_lcum", F.sum(sum_col).over(running))
         part_aggs.append(F.sum(sum_col).alias("__gr_ps"))
 

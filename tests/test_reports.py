@@ -209,3 +209,21 @@ def test_export_columns(spark):
     assert len(out.columns) == 15
     partial = P.export_customer_details(cust.drop("TotalCost", "City"))
     assert partial.first().GrossProfit == 0.0 and "City" not in partial.columns
+
+
+def test_conform_parses_text_columns(spark):
+    from custlens.operators.conform import conform_fact
+
+    df = spark.createDataFrame(
+        [("1", "2001-02-03", "2001-02-04 05:06:07", "12.5", "1d", " 3 ", None, None),
+         ("2", "bad", "2001-13-01 00:00:00", "abc", "NaN", "1e2", "  x ", None)],
+        "CustomerId string, Date string, ShipDate string, Revenue string, Cost string, "
+        "WeightLb string, Address1 string, Address2 string",
+    )
+    rows = {r.CustomerId: r for r in conform_fact(df).collect()}
+    a, b = rows["1"], rows["2"]
+    assert (a.Date, a.ShipDate) == (D(2001, 2, 3), dt.datetime(2001, 2, 4, 5, 6, 7))
+    assert (a.Revenue, a.Cost, a.WeightLb, a.ItemCount) == (12.5, 0.0, 3.0, 0.0)
+    assert (a.Address1, a.Address2, a.Address) == ("", "", "")
+    assert (b.Date, b.ShipDate, b.Revenue, b.Cost, b.WeightLb) == (None, None, 0.0, 0.0, 100.0)
+    assert b.Address == "x" and b.RegionName is None  # backfilled column
