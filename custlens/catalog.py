@@ -141,6 +141,9 @@ REPORTS: dict[str, Callable[[Analysis], DataFrame]] = {
     "top10_rfm": lambda a: P.top10_rfm(_rfm(a)),
     "cohort_retention": lambda a: P.cohort_retention(a.customers),
     "churn_by_region": lambda a: P.churn_by_region(a.customers, a.params.churn_threshold),
+    # the other two thresholds the original lets the user pick
+    "churn_by_region_180": lambda a: P.churn_by_region(a.customers, 180),
+    "churn_by_region_365": lambda a: P.churn_by_region(a.customers, 365),
     "monthly_churn_trend": lambda a: P.monthly_churn_trend(a.filtered, a.customers),
     "churned_customer_details": lambda a: P.churned_customer_details(a.customers, a.params.churn_threshold),
     "new_vs_returning": lambda a: P.new_vs_returning(a.filtered),

@@ -43,7 +43,8 @@ def filter_options(date_filtered: DataFrame) -> DataFrame:
 
     One pass over the fact: each row emits up to three (Field, Value) pairs and
     a single distinct aggregation (partial before the shuffle) dedups them.
-    The lists come from the date-filtered data only and do not cascade.
+    The lists come from the date-filtered data only and do not cascade; they
+    are sorted (a distributed sort: the customer list grows with the data).
     """
     pairs = F.explode(F.array(
         F.struct(F.lit("RegionName").alias("Field"), F.col("RegionName").alias("Value")),
@@ -55,4 +56,5 @@ def filter_options(date_filtered: DataFrame) -> DataFrame:
         .select("opt.Field", "opt.Value")
         .where(F.col("Value").isNotNull())
         .distinct()
+        .orderBy("Field", "Value")
     )

@@ -256,9 +256,10 @@ SELECT CAST(date_trunc('month', FirstOrder) AS DATE) AS CohortMonth, count(Custo
        round_even(CAST(count(*) FILTER (WHERE DaysSinceLastOrder <= {churn}) AS DOUBLE)
                   / NULLIF(count(CustomerId), 0) * 100, 0) / 100 AS RetentionRate
 FROM cust GROUP BY 1""")
-    q["churn_by_region"] = _sql(f"""
+    for suffix, days in (("", churn), ("_180", 180), ("_365", 365)):
+        q["churn_by_region" + suffix] = _sql(f"""
 SELECT RegionName, count(DISTINCT CustomerId) AS ChurnCount FROM cust
-WHERE DaysSinceLastOrder > {churn} GROUP BY RegionName""")
+WHERE DaysSinceLastOrder > {days} GROUP BY RegionName""")
     q["monthly_churn_trend"] = _sql(f"""
 SELECT last_day(m) AS Month,
        (SELECT count(DISTINCT CustomerId) FROM cust

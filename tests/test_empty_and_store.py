@@ -50,3 +50,16 @@ def test_load_or_build(spark, scratch):
     load_or_build(spark, path, build, rebuild=True)
     assert len(calls) == 2
     assert read_fact(spark, path, dt.date(2001, 3, 1), dt.date(2001, 12, 31)).count() == 0
+
+
+def test_export_sinks(spark, scratch):
+    from custlens.sources.store import write_table
+
+    df = spark.createDataFrame([("1", 2.5), ("2", None)], "CustomerId string, GrossProfit double")
+    write_table(df, f"{scratch}/csv", "csv")
+    back = spark.read.option("header", "true").csv(f"{scratch}/csv")
+    assert back.columns == ["CustomerId", "GrossProfit"] and back.count() == 2
+    write_table(df, f"{scratch}/pq", "parquet")
+    assert sorted(map(tuple, spark.read.parquet(f"{scratch}/pq").collect()), key=str) == [("1", 2.5), ("2", None)]
+    with pytest.raises(ValueError):
+        write_table(df, f"{scratch}/x", "xlsx")
