@@ -145,22 +145,33 @@ def histogram(df: DataFrame, value_col: str, max_bins: int = 20) -> DataFrame:
     library): step from :func:`nice_step`, ``lo = floor(min/step)*step``, bins
     ``[lo + i*step, lo + (i+1)*step)`` with the maximum falling into the last
     bin.  Only non-empty bins are returned (``BinStart``, ``BinEnd``,
-    ``Count``).  The two extremes are the only values brought to the driver.
+    ``Count``).
+
+    The input is read once: it is reduced to counts per distinct value (partial
+    aggregation; far fewer rows than the input) and that table is checkpointed.
+    The extremes -- the only values brought to the driver -- and the bins are
+    then computed from the checkpoint.
     """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     value = F.col(value_col).cast("double")
-    stats = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
+    counts = (
+        df.where(value.isNotNull())
+        .groupBy(value.alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .checkpoint(eager=True)
+    )
+    stats = counts.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi")).first()
     lo_v, hi_v = stats["lo"], stats["hi"]
-    spark = df.sparkSession
     if lo_v is None:
         return spark.createDataFrame([], "BinStart double, BinEnd double, Count bigint")
     step = nice_step(hi_v - lo_v, max_bins)
     lo = math.floor(lo_v / step) * step
     n_bins = max(1, math.ceil((hi_v - lo) / step))
-    idx = F.least(F.floor((value - F.lit(lo)) / F.lit(step)), F.lit(n_bins - 1))
+    idx = F.least(F.floor((F.col("_v") - F.lit(lo)) / F.lit(step)), F.lit(n_bins - 1))
     start = F.lit(lo) + idx * F.lit(step)
     return (
-        df.where(value.isNotNull())
-        .groupBy(start.alias("BinStart"))
-        .agg(F.count(F.lit(1)).alias("Count"))
-        .select("BinStart", (F.col("BinStart") + F.lit(step)).alias("BinEnd"), "Count")
+        counts.groupBy(start.alias("BinStart"))
+        .agg(F.sum("_n").alias("Count"))
+        .select("BinStart", (F.col("BinStart") + F.lit(step)).alias("BinEnd"), F.col("Count").cast("bigint"))
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import logging
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
@@ -52,9 +53,16 @@ def read_fact(
 
 
 def fact_exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001 - Hadoop FS check
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
-    return fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))
+    """True when a completed write left its ``_SUCCESS`` marker at ``path``.
+
+    Resolving a file source lists the path without running a job and raises
+    when it does not exist; a write that failed midway has no marker.
+    """
+    try:
+        spark.read.text(f"{path.rstrip('/')}/_SUCCESS")
+        return True
+    except AnalysisException:
+        return False
 
 
 def load_or_build(spark: SparkSession, path: str, build, rebuild: bool = False) -> DataFrame:
