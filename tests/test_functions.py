@@ -90,3 +90,15 @@ def test_product_category(spark):
     values = ["Beef – Ribeye", "Pork – Loin – Chop", "Lamb - Leg", None, "Plain"]
     got = [r[0] for r in _col(spark, values, "string").select(product_category(F.col("v"))).collect()]
     assert got == ["Beef", "Pork", "Lamb - Leg", None, "Plain"]
+
+
+def test_rint2_and_strip_parity_on_many_values(spark):
+    rng = np.random.default_rng(5)
+    xs = np.concatenate([rng.normal(0, 1e4, 3000), rng.integers(-10**6, 10**6, 1000) / 1000.0 + 0.005])
+    df = spark.createDataFrame([(float(x),) for x in xs], "v double")
+    got = [r[0] for r in df.select(rint2(F.col("v"))).collect()]
+    assert got == [float(np.round(x, 2)) for x in xs]
+    ws = [" ", "\t", "\n", " ", " ", "　", "\x1f", "\u0085", "x", "y z"]
+    texts = ["".join(rng.choice(ws, size=int(rng.integers(0, 6)))) for _ in range(2000)]
+    sdf = spark.createDataFrame([(t,) for t in texts], "v string")
+    assert [r[0] for r in sdf.select(py_strip(F.col("v"))).collect()] == [t.strip() for t in texts]
