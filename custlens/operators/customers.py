@@ -29,6 +29,32 @@ def order_level(df: DataFrame) -> DataFrame:
     )
 
 
+def _customer_key() -> dict:
+    """Join key for the null-aware customer match: the id with nulls as '' plus
+    a null flag.  Both parts are plain equalities, so the optimizer can drop
+    the attribute join when no attribute is used (a null-safe ``<=>`` join
+    blocks that)."""
+    return {"__ck": F.coalesce(F.col("CustomerId"), F.lit("")), "__ck_null": F.col("CustomerId").isNull()}
+
+
+def customer_attributes(df: DataFrame) -> DataFrame:
+    """One row per customer key with its descriptive attributes.
+
+    Attributes come from the customer lookup and depend only on the customer;
+    ``min`` stands in for "first non-null" (deterministic).  A ``min`` over
+    strings cannot use the hash aggregate (variable-width buffer) and would
+    sort every line, so the lines are first reduced by a key-only hash
+    ``distinct`` of (customer, attributes) -- about one row per customer, map
+    side deduplicated -- and only that customer-scale table is aggregated with
+    ``min``.
+    """
+    combos = df.withColumns(_customer_key()).select("__ck", "__ck_null", *_ATTRS).distinct()
+    # min_by(c, c) is min(c).  Written this way because Catalyst drops a
+    # distinct below duplicate-insensitive aggregates such as min, which would
+    # put the string aggregation back over every line.
+    return combos.groupBy("__ck", "__ck_null").agg(*[F.min_by(c, c).alias(c) for c in _ATTRS])
+
+
 def customer_aggregates(df: DataFrame, as_of: dt.date, orders: DataFrame | None = None) -> DataFrame:
     """Per-customer totals, first/last order and activity measures.
 
@@ -36,13 +62,9 @@ def customer_aggregates(df: DataFrame, as_of: dt.date, orders: DataFrame | None
     * Measures: lines -> (customer, order) -> customer, two hash aggregations
       with partial aggregation before each shuffle; ``TotalOrders`` counts the
       customer's non-null order ids (one row per pair), so no distinct aggregate.
-    * Attributes (name, region, address, ...) come from the customer lookup and
-      depend only on the customer; ``min`` stands in for "first non-null"
-      (deterministic).  A ``min`` over strings cannot use the hash aggregate
-      (variable-width buffer) and would sort every line, so the attributes are
-      first reduced by a key-only hash ``distinct`` of (customer, attributes)
-      -- about one row per customer -- and only that customer-scale union
-      with the measures is aggregated with ``min``.
+    * Attributes: :func:`customer_attributes`, attached by a left join at
+      customer scale that Catalyst removes when a report uses no attribute
+      (KPIs, histograms, churn trend read the fact once).
     * ``DeliveryTime`` is the latest ship date; null for the null-id group.
     * ``as_of`` replaces the clock; both date measures are whole days.
     """
@@ -54,21 +76,9 @@ def customer_aggregates(df: DataFrame, as_of: dt.date, orders: DataFrame | None
         F.sum("WeightLb").alias("TotalWeight"),
         F.min("FirstDate").alias("FirstOrder"),
         F.max("LastDate").alias("LastOrder"),
-        F.max("LastShip").alias("DeliveryTime"),
-    )
-    combos = df.select("CustomerId", *_ATTRS).distinct()
-    measure_cols = [f.name for f in measures.schema.fields if f.name != "CustomerId"]
-    types = {f.name: f.dataType for f in measures.schema.fields}
-    rows = measures.select(
-        "CustomerId", *[F.lit(None).cast("string").alias(c) for c in _ATTRS], *measure_cols
-    ).unionByName(combos.select(
-        "CustomerId", *_ATTRS, *[F.lit(None).cast(types[c]).alias(c) for c in measure_cols]
-    ))
-    # Exactly one measures row per customer, so max() just carries its values.
-    agg = rows.groupBy("CustomerId").agg(
-        *[F.min(c).alias(c) for c in _ATTRS],
-        *[F.max(c).alias(c) for c in measure_cols],
-    ).withColumn("DeliveryTime", F.when(F.col("CustomerId").isNotNull(), F.col("DeliveryTime")))
+        F.when(F.col("CustomerId").isNotNull(), F.max("LastShip")).alias("DeliveryTime"),
+    ).withColumns(_customer_key())
+    agg = measures.join(customer_attributes(df), ["__ck", "__ck_null"], "left").drop("__ck", "__ck_null")
     as_of_lit = F.lit(as_of)
     months_active = clip_lower(F.floor(F.datediff(as_of_lit, F.col("FirstOrder")) / 30), 1)
     out = agg.withColumns({

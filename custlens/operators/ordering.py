@@ -125,6 +125,37 @@ def month_spine(bounds: DataFrame, start_col: str, end_col: str, month_col: str)
     return bounds.select(*keep, F.explode(months).alias(month_col))
 
 
+def fill_month_gaps(
+    per_month: DataFrame, keys: list[str], month_col: str, measures: list[str]
+) -> DataFrame:
+    """Add zero-valued rows for months missing between each key's first and
+    last month, in one pass over ``per_month`` (one row per key and month).
+
+    The first and last month are attached with a window over the key; the row
+    of each key's first month then emits every month of the span (its own with
+    its values, the others with zeros) while other rows emit only themselves,
+    and a sum per (key, month) merges them.  A second read of ``per_month``
+    to find the bounds would be pruned differently by Catalyst and recompute
+    it from the fact.  Rows per key are bounded by the calendar span.
+    """
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    bounded = per_month.withColumns({
+        "__fm_s": F.min(month_col).over(w),
+        "__fm_e": F.max(month_col).over(w),
+    })
+    months = F.when(
+        F.col(month_col) == F.col("__fm_s"),
+        F.sequence(F.col("__fm_s"), F.col("__fm_e"), F.expr("INTERVAL 1 MONTH")),
+    ).otherwise(F.array(F.col(month_col)))
+    exploded = bounded.select(*keys, F.col(month_col).alias("__fm_own"), *measures,
+                              F.explode(months).alias(month_col))
+    own = F.col(month_col) == F.col("__fm_own")
+    return exploded.groupBy(*keys, month_col).agg(*[
+        F.sum(F.when(own, F.col(m)).otherwise(F.lit(0).cast(per_month.schema[m].dataType))).alias(m)
+        for m in measures
+    ])
+
+
 def nice_step(span: float, max_bins: int) -> float:
     """Smallest step of the form {1, 2, 5} x 10^k with ceil(span/step) <= max_bins."""
     if not span or span <= 0 or math.isnan(span):

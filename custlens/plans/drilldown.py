@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from custlens.functions.dates import month_end, month_start
 from custlens.functions.text import product_category
-from custlens.operators.ordering import month_spine
+from custlens.operators.ordering import fill_month_gaps
 from custlens.plans.common import unpivot_metrics
 
 
@@ -45,24 +45,18 @@ def customer_monthly_history(df: DataFrame, customer_id: str | None = None) -> D
     """Per customer and month, revenue and distinct orders, labelled by
     month *end*, gap-filled between that customer's own first and last month.
 
-    The spine has one row per customer-month of activity span (bounded by the
-    calendar per customer); it is unioned as zeros and re-aggregated.
+    Gap filling is :func:`fill_month_gaps`: one shuffle by customer for the
+    bounds window, after which the final sum needs no further exchange; rows
+    per customer are bounded by the calendar span.
     """
     d = _with_id(df, customer_id).where(F.col("Date").isNotNull())
     per_month = d.groupBy("CustomerId", month_start(F.col("Date")).alias("_m")).agg(
         F.sum("Revenue").alias("MonthlyRevenue"),
         F.count_distinct("OrderId").alias("MonthlyOrders"),
     )
-    bounds = per_month.groupBy("CustomerId").agg(F.min("_m").alias("_s"), F.max("_m").alias("_e"))
-    zeros = month_spine(bounds, "_s", "_e", "_m").select(
-        "CustomerId", "_m", F.lit(0.0).alias("MonthlyRevenue"),
-        F.lit(0).cast("bigint").alias("MonthlyOrders"),
-    )
-    return (
-        per_month.unionByName(zeros)
-        .groupBy("CustomerId", "_m")
-        .agg(F.sum("MonthlyRevenue").alias("MonthlyRevenue"), F.sum("MonthlyOrders").alias("MonthlyOrders"))
-        .select("CustomerId", month_end(F.col("_m")).alias("month_ts"), "MonthlyRevenue", "MonthlyOrders")
+    filled = fill_month_gaps(per_month, ["CustomerId"], "_m", ["MonthlyRevenue", "MonthlyOrders"])
+    return filled.select(
+        "CustomerId", month_end(F.col("_m")).alias("month_ts"), "MonthlyRevenue", "MonthlyOrders"
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custlens.functions.dates import month_start
-from custlens.operators.ordering import month_spine
+from custlens.operators.ordering import fill_month_gaps
 from custlens.plans.common import unpivot_metrics
 
 
@@ -14,9 +14,9 @@ def monthly_trend(df: DataFrame) -> DataFrame:
     """Revenue and distinct orders per calendar month, labelled by month start.
 
     Every month between the first and last month with data appears; empty ones
-    carry 0 revenue and 0 orders.  Gap filling is a union with a zero-valued
-    month spine followed by a re-aggregation, so no join is needed; the spine
-    is bounded by the calendar span.
+    carry 0 revenue and 0 orders (:func:`fill_month_gaps`: no join, one pass
+    over the month rows; the window over them is one task over at most one
+    row per calendar month).
     """
     per_month = (
         df.where(F.col("Date").isNotNull())
@@ -26,15 +26,7 @@ def monthly_trend(df: DataFrame) -> DataFrame:
             F.count_distinct("OrderId").alias("MonthOrders"),
         )
     )
-    bounds = per_month.agg(F.min("month_ts").alias("_s"), F.max("month_ts").alias("_e"))
-    zeros = month_spine(bounds.where(F.col("_s").isNotNull()), "_s", "_e", "month_ts").select(
-        "month_ts", F.lit(0.0).alias("MonthRevenue"), F.lit(0).cast("bigint").alias("MonthOrders")
-    )
-    return (
-        per_month.unionByName(zeros)
-        .groupBy("month_ts")
-        .agg(F.sum("MonthRevenue").alias("MonthRevenue"), F.sum("MonthOrders").alias("MonthOrders"))
-    )
+    return fill_month_gaps(per_month, [], "month_ts", ["MonthRevenue", "MonthOrders"])
 
 
 def monthly_trend_long(df: DataFrame) -> DataFrame:

@@ -23,7 +23,8 @@ BOUNDED_SINGLE = {
     "customer_kpis": 1, "load_sources": 9, "monthly_churn_trend": 2, "monthly_trend": 1,
     "monthly_trend_long": 1, "new_vs_returning": 1, "pareto": 1, "rfm_scores": 1,
     "rfm_segments": 2, "top10_rfm": 1, "churn_by_region": 1, "cohort_retention": 1,
-    "weekday_revenue": 1, "top_customers_per_region": 1,
+    "weekday_revenue": 1, "top_customers_per_region": 1, "churn_by_region_180": 1,
+    "churn_by_region_365": 1,
 }
 
 
