@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from custlens import plans as P
 from custlens.config import DRIVER_PARAMS, Params, ensure_checkpoint_dir
-from custlens.operators.fact import LOOKUPS, _lookup_table, packs_by_line
+from custlens.operators.fact import LOOKUPS, lookup_table, packs_by_line
 from custlens.operators.filters import filter_in, filter_options
 from custlens.plans.context import Analysis
 from custlens.sources.fixture import fixture_sources
@@ -56,7 +56,7 @@ def q_load_sources(spark, sf_dir):
 
 def q_normalize_keys(spark, sf_dir):
     cols = dict((name, c) for name, _, c in LOOKUPS)["customers"]
-    return _lookup_table(_raw(spark, sf_dir)["customers"], cols)
+    return lookup_table(_raw(spark, sf_dir)["customers"], cols)
 
 
 def q_packs_by_line(spark, sf_dir):
