@@ -10,7 +10,13 @@ from custlens.operators.filters import (
     filter_options,
 )
 from custlens.operators.joins import bounded_broadcast
-from custlens.operators.ordering import global_rank, histogram, month_spine, quartile_of_rank
+from custlens.operators.ordering import (
+    fill_month_gaps,
+    global_rank,
+    histogram,
+    month_spine,
+    quartile_of_rank,
+)
 
 __all__ = [
     "add_measures",
@@ -22,6 +28,7 @@ __all__ = [
     "filter_date_range",
     "filter_in",
     "filter_options",
+    "fill_month_gaps",
     "global_rank",
     "histogram",
     "month_spine",
