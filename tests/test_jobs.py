@@ -17,3 +17,21 @@ def test_build_fact_then_reports(spark, scratch):
     assert [p.rsplit("/", 1)[1] for p in written] == ["top10_revenue", "weekday_revenue"]
     top = spark.read.option("header", "true").csv(written[0])
     assert top.count() == 10 and "RetentionRate" in top.columns
+
+
+def test_build_fact_from_parquet_sources_matches_fixture(spark, scratch):
+    from custlens.config import Params
+    from custlens.plans.context import Analysis
+    from custlens.sources.fixture import fixture_sources
+    from custlens.sources.store import read_fact
+
+    for name, df in fixture_sources(spark, SF).items():
+        df.write.mode("overwrite").parquet(f"{scratch}/sources/{name}")
+    fact = f"{scratch}/fact"
+    jobs.main(["build-fact", "--sources", f"{scratch}/sources", "--fact", fact, *ARGS], spark=spark)
+    params = Params(fetch_start="1996-01-01", fetch_end="2001-06-30", start="1996-01-01",
+                    end="2001-06-30", as_of="2001-08-02", packed_status="F")
+    expected = Analysis.from_fixture(spark, SF, params).fact
+    got = read_fact(spark, fact)
+    assert got.count() == expected.count() > 0
+    assert got.exceptAll(expected.select(got.columns)).count() == 0
