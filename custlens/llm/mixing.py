@@ -58,9 +58,9 @@ def uniform(doc_id: Column, text: Column) -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, and the exponential key of each row."""
+    """doc_id, source, text digest, size, and the exponential key of each row."""
     return docs.select(
-        "doc_id", "source", n_words(F.col("text")).alias("size"),
+        "doc_id", "source", F.md5(F.col("text").cast("binary")).alias("digest"), n_words(F.col("text")).alias("size"),
         (-F.log(uniform(F.col("doc_id"), F.col("text"))) / quality(F.col("text"))).alias("key"))
 
 
@@ -97,7 +97,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget_share
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget_share: float = BUDGET_SHARE,
         max_epochs: float = MAX_EPOCHS) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken for every row of ``docs``."""
+    """doc_id, source, digest (of the text), size, source_size, target and taken for every
+    row of ``docs``."""
     # Numbered once, so that equal rows stay apart in every later step.
     rows = persisted(sized(docs).withColumn("row", F.monotonically_increasing_id()))
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
@@ -128,7 +129,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget_share: flo
                 F.col("line.bucket").alias("line_bucket"), F.col("line.before").alias("line_before")))
     joined = rows.join(plan, named).drop("source_name")
     base = F.col("epochs") * F.col("size")
-    out = ["doc_id", "source", "size", "source_size", "target", "taken", "row"]
+    out = ["doc_id", "source", "digest", "size", "source_size", "target", "taken"]
     on_line = F.col("bucket").eqNullSafe(F.col("line_bucket"))
     sure = joined.where(~on_line).withColumn(
         "taken", base + F.when(F.col("bucket") < F.col("line_bucket"), F.col("size")).otherwise(0)).select(*out)
@@ -136,4 +137,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget_share: flo
     left = F.col("rest") - F.col("line_before") - F.coalesce(F.sum("size").over(before), F.lit(0))
     line = joined.where(on_line).withColumn("part", F.least(F.col("size"), F.greatest(left, F.lit(0)))).withColumn(
         "taken", base + F.col("part")).select(*out)
-    return sure.unionByName(line).drop("row")
+    return sure.unionByName(line)
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents the mix takes, with their columns and ``taken`` words.
+
+    Rows equal in doc_id, source and text share the words taken from them evenly
+    (rounded down).
+    """
+    key = ["doc_id", "source", "digest"]
+    taken = mix(docs, **options).groupBy(*key).agg((F.sum("taken") / F.count(F.lit(1))).cast("long").alias("mix_taken"))
+    taken = taken.where("mix_taken > 0").select(*[F.col(c).alias(f"mix_{c}") for c in key], "mix_taken")
+    same = (
+        F.col("doc_id").eqNullSafe(F.col("mix_doc_id")) & F.col("source").eqNullSafe(F.col("mix_source"))
+        & F.md5(F.col("text").cast("binary")).eqNullSafe(F.col("mix_digest"))
+    )
+    names = [F.col(f"`{c}`") for c in docs.columns if c != "taken"]
+    return docs.join(taken, same).select(*names, F.col("mix_taken").alias("taken"))
