@@ -7,10 +7,11 @@ import os
 import pytest
 
 import __spark_entry__ as E
+from custlens.catalog import QUERIES
 from tools.compare import digest, duck
 
 SF_DIR = os.environ.get("CUSTLENS_TEST_SF", "/root/testdata/sf0.001")
-KEYS = sorted(E.queries())
+KEYS = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +20,8 @@ def con():
 
 
 def test_every_query_has_oracle_sql():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(QUERIES) <= set(E.oracle_sql())
+    assert set(QUERIES) <= set(E.queries())
 
 
 def test_entry_smoke(spark):
