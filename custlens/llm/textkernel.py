@@ -53,10 +53,10 @@ def word_byte_table(kind: str) -> np.ndarray:
         t[97:123] = np.arange(97, 123)
         t[65:91] = np.arange(97, 123)
     elif kind == "space":
-        t[1:] = np.arange(1, 256)
-        t[0] = 1
+        t[:] = np.arange(256)
         t[32] = 0
         t[9:14] = 0
+        t[0] = 32  # a value that no other word byte has
     else:
         raise ValueError(kind)
     return t
