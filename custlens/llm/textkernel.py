@@ -112,7 +112,8 @@ def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray):
     place = np.arange(len(kept), dtype=np.int64) - np.repeat(first, lens)
     part = _POW[place & 0xFFFF] * (kept.astype(np.uint64) + _U(1))
     if int(lens.max()) > 0xFFFF:  # positions beyond the table get another factor
-        part = part * mix64((place >> 16).astype(np.uint64) + _U(1))
+        far = place > 0xFFFF
+        part[far] *= mix64((place[far] >> 16).astype(np.uint64))
     hashes = mix64(np.add.reduceat(part, first) + lens.astype(np.uint64))
     return hashes, np.searchsorted(starts, offs).astype(np.int64), starts, ends
 
