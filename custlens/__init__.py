@@ -7,10 +7,9 @@ Layout
 ``functions``  column-expression helpers (strip, tolerant casts, rounding, dates).
 ``operators``  the fact build, conforming, filters, the customer aggregate and
                the distributed ordering helpers (global rank / prefix sums,
-               month spines, histogram bins, size-checked broadcast).
+               month spines, histogram bins).
 ``plans``      one function per report; each takes DataFrames and returns a
                DataFrame.
-``streaming``  intentionally empty: the analysed application has no streams.
 """
 
 from custlens.config import Params, ensure_checkpoint_dir

@@ -14,21 +14,33 @@ from pyspark.sql import functions as F
 
 from custlens import plans as P
 from custlens.config import DRIVER_PARAMS, Params, ensure_checkpoint_dir
-from custlens.operators.fact import LOOKUPS, lookup_table, packs_by_line
+from custlens.operators.fact import attributes, build_fact, packs_by_line
 from custlens.operators.filters import filter_in, filter_options
 from custlens.plans.context import Analysis
 from custlens.sources.fixture import fixture_sources
-from custlens.sources.scans import scan_order_lines, scan_orders, scan_packs, scan_sources, source_row_counts
-from custlens.sources.store import read_fact, write_fact
+from custlens.schemas import SCAN_COLUMNS
+from custlens.sources.scans import (
+    parquet_sources, scan_order_lines, scan_orders, scan_packs, scan_sources, source_row_counts,
+)
+from custlens.sources.store import load_or_build, read_fact, write_fact
 
 # Filter selections used by the filter operator queries.
 FILTER_REGIONS = ("AMERICA", "EUROPE")
 FILTER_METHODS = ("URGENT", "HIGH")
 FILTER_CUSTOMERS = ("Customer#000000001", "Customer#000000010", "Customer#000000100")
 
+# A report range narrower than the fetch range, cutting months in the middle.
+RANGE_PARAMS = DRIVER_PARAMS.replace(start="1997-03-05", end="2000-02-20")
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def _shared_path(spark: SparkSession, what: str) -> str:
+    """A new folder under the shared checkpoint folder; a DataFrame returned by an
+    earlier call keeps its files."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}/{uuid.uuid4().hex}"
+
+
 def _analysis(spark: SparkSession, sf_dir: str, params: Params = DRIVER_PARAMS) -> Analysis:
     return Analysis.from_fixture(spark, sf_dir, params)
 
@@ -47,7 +59,7 @@ def q_scan_order_lines(spark, sf_dir):
 
 def q_scan_packs(spark, sf_dir):
     raw = _raw(spark, sf_dir)
-    return scan_packs(raw["packs"], raw["order_lines"], DRIVER_PARAMS)
+    return scan_packs(raw["packs"], raw["order_lines"], DRIVER_PARAMS).select(SCAN_COLUMNS["packs"])
 
 
 def q_load_sources(spark, sf_dir):
@@ -55,8 +67,7 @@ def q_load_sources(spark, sf_dir):
 
 
 def q_normalize_keys(spark, sf_dir):
-    cols = dict((name, c) for name, _, c in LOOKUPS)["customers"]
-    return lookup_table(_raw(spark, sf_dir)["customers"], cols)
+    return attributes(_raw(spark, sf_dir), "customers")
 
 
 def q_packs_by_line(spark, sf_dir):
@@ -74,21 +85,38 @@ def q_delivery_metrics(spark, sf_dir):
 
 
 def q_fact_roundtrip(spark, sf_dir):
-    """Write the fact partitioned by month under the shared checkpoint folder and
-    read it back.  Each call writes its own directory, so a DataFrame returned
-    by an earlier call keeps its files."""
-    root = ensure_checkpoint_dir(spark)
-    path = f"{root.rstrip('/')}/fact_roundtrip/{uuid.uuid4().hex}"
+    """Write the fact partitioned by month under the shared checkpoint folder and read it back."""
+    path = _shared_path(spark, "fact_roundtrip")
     write_fact(_analysis(spark, sf_dir).fact, path)
     return read_fact(spark, path)
 
 
+def q_load_or_build_fact(spark, sf_dir):
+    """A fact built for a narrow fetch range, then asked for the whole range: the
+    stored one does not cover it and is rebuilt, so no row is missing."""
+    path = _shared_path(spark, "load_or_build")
+    narrow = DRIVER_PARAMS.replace(fetch_start="2000-01-01", start="2000-01-01")
+    for params in (narrow, DRIVER_PARAMS):
+        fact = load_or_build(spark, path, lambda p=params: _analysis(spark, sf_dir, p).fact, params)
+    return fact
+
+
+def q_fact_from_parquet(spark, sf_dir):
+    """The fact from sources stored as Parquet, with keys stored as numbers."""
+    path = _shared_path(spark, "sources")
+    numeric = {"OrderId": "bigint", "CustomerId": "double", "ShipperId": "int"}
+    for name, df in _raw(spark, sf_dir).items():
+        kinds = {c: F.col(c).cast(t) for c, t in numeric.items() if c in df.columns}
+        df.withColumns(kinds).write.parquet(f"{path}/{name}")
+    return build_fact(scan_sources(spark, parquet_sources(spark, path), DRIVER_PARAMS), DRIVER_PARAMS)
+
+
 def q_conform_fact(spark, sf_dir):
     return _analysis(spark, sf_dir).report_input
 
 
 def q_filter_date_range(spark, sf_dir):
-    return _analysis(spark, sf_dir).date_filtered
+    return _analysis(spark, sf_dir, RANGE_PARAMS).date_filtered
 
 
 def q_filter_regions(spark, sf_dir):
@@ -103,8 +131,9 @@ def q_filter_customers(spark, sf_dir):
     return filter_in(_analysis(spark, sf_dir).report_input, "CustomerName", FILTER_CUSTOMERS)
 
 
-COMBINED_PARAMS = DRIVER_PARAMS.replace(
-    regions=FILTER_REGIONS, shipping_methods=FILTER_METHODS, customers=("All",) + FILTER_CUSTOMERS,
+COMBINED_PARAMS = RANGE_PARAMS.replace(
+    regions=FILTER_REGIONS, shipping_methods=FILTER_METHODS,
+    customers=tuple(f"Customer#{i:09d}" for i in range(1, 101)),
 )
 
 
@@ -132,7 +161,7 @@ REPORTS: dict[str, Callable[[Analysis], DataFrame]] = {
     ),
     # KPI churn, cohort activity and the monthly churn trend use a fixed 90 days;
     # only churn-by-region and the churned export follow the chosen threshold.
-    "customer_kpis": lambda a: P.customer_kpis(a.filtered, a.customers),
+    "customer_kpis": lambda a: P.customer_kpis(a.orders, a.customers),
     "top10_revenue": lambda a: P.top10_revenue(a.customers),
     "monthly_trend": lambda a: P.monthly_trend(a.filtered),
     "monthly_trend_long": lambda a: P.monthly_trend_long(a.filtered),
@@ -144,7 +173,7 @@ REPORTS: dict[str, Callable[[Analysis], DataFrame]] = {
     # the other two thresholds the original lets the user pick
     "churn_by_region_180": lambda a: P.churn_by_region(a.customers, 180),
     "churn_by_region_365": lambda a: P.churn_by_region(a.customers, 365),
-    "monthly_churn_trend": lambda a: P.monthly_churn_trend(a.filtered, a.customers),
+    "monthly_churn_trend": lambda a: P.monthly_churn_trend(a.customers),
     "churned_customer_details": lambda a: P.churned_customer_details(a.customers, a.params.churn_threshold),
     "new_vs_returning": lambda a: P.new_vs_returning(a.filtered),
     "customer_clv": _clv,
@@ -160,6 +189,8 @@ REPORTS: dict[str, Callable[[Analysis], DataFrame]] = {
         a.filtered, a.params.top_n, a.params.min_lineitem_revenue
     ),
     "customer_profile": lambda a: P.customer_profile(a.customers),
+    "customer_drilldown": lambda a: P.customer_drilldown(
+        a.filtered, a.customers, list(FILTER_CUSTOMERS))["monthly_history"],
     "customer_monthly_history": lambda a: P.customer_monthly_history(a.filtered),
     "customer_monthly_history_long": lambda a: P.customer_monthly_history_long(a.filtered),
     "product_category_mix": lambda a: P.product_category_mix(a.filtered),

@@ -41,9 +41,6 @@ class Params:
     # Days-since-last-order threshold of the churn-by-region report and the
     # churned-customer export (the original offers 90, 180 or 365).
     churn_threshold: int = 90
-    # Lookups with at most this many rows are broadcast; larger ones are
-    # shuffled (sort-merge, with AQE skew handling).
-    broadcast_max_rows: int = 250_000
 
     def __post_init__(self) -> None:
         for name in ("fetch_start", "fetch_end", "start", "end", "as_of"):
@@ -74,8 +71,9 @@ DRIVER_PARAMS = Params(
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory of the session.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.
-    Only when nothing is configured (local tests) a fresh local folder is made.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is;
+    without it this raises, because a folder of one machine would lose data.  Only a
+    local session (one machine, as in tests) gets a fresh local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -85,6 +83,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="custlens-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -38,16 +38,18 @@ def normalize_key(col: Column, dtype: DataType) -> Column:
     """Join key as a stripped string; nulls stay null.
 
     Integral values are written without a fraction ('3', never '3.0'), also when
-    they arrive as whole floating-point numbers.
+    they arrive as whole floating-point numbers.  NaN is no key (null); a number
+    beyond the integers keeps its own text.
     """
     if isinstance(dtype, StringType):
         return py_strip(col)
     if isinstance(dtype, IntegralType):
         return col.cast("bigint").cast("string")
     if isinstance(dtype, (DoubleType, FloatType, DecimalType)):
-        as_long = col.cast("bigint")
-        whole = as_long.cast("double") == col.cast("double")
-        return F.when(whole, as_long.cast("string")).otherwise(col.cast("string"))
+        number = F.nanvl(col.cast("double"), F.lit(None).cast("double"))
+        as_long = (col if isinstance(dtype, DecimalType) else number).try_cast("bigint")
+        whole = as_long.cast("double") == number
+        return F.when(whole, as_long.cast("string")).otherwise(F.when(number.isNotNull(), col.cast("string")))
     return py_strip(col.cast("string"))
 
 

@@ -6,15 +6,19 @@
         --out s3://…/reports --start 2023-01-01 --end 2026-12-01 --as-of 2026-12-02 rfm_scores pareto
 
 ``--sources`` is a folder of Parquet datasets in source schema (one per table);
-``--jdbc-url`` reads the operational database instead (options via
-``--jdbc-option key=value``).  ``--fixture-dir`` maps the supplied test tables.
-Reports are written one folder per report, as Parquet or CSV.
+``--jdbc-url`` reads the operational database instead: ``--jdbc-option key=value`` for
+all tables, ``--jdbc-partition table:column:lower:upper:parts`` for each of orders,
+order_lines and packs, and the password from the environment variable named by
+``--jdbc-password-env``.  ``--fixture-dir`` maps the supplied test tables.
+Reports are written one folder per report, as Parquet or CSV; ``--drilldown NAME`` adds
+the profile, monthly history and category mix of the customer that a name resolves to.
 """
 
 from __future__ import annotations
 
 import argparse
 import datetime as dt
+import os
 
 from pyspark.sql import SparkSession
 
@@ -22,7 +26,8 @@ from custlens.catalog import REPORTS
 from custlens.config import Params
 from custlens.plans.context import Analysis
 from custlens.sources.fixture import fixture_sources
-from custlens.sources.scans import jdbc_sources, parquet_sources
+from custlens.plans.drilldown import customer_drilldown
+from custlens.sources.scans import PARTITION_OPTIONS, jdbc_sources, parquet_sources
 from custlens.sources.store import load_or_build, read_fact, write_fact, write_table
 
 
@@ -35,16 +40,42 @@ def _params(args: argparse.Namespace) -> Params:
         regions=tuple(args.region or ["All"]), shipping_methods=tuple(args.shipping_method or ["All"]),
         customers=tuple(args.customer or ["All"]), top_n=args.top_n,
         min_lineitem_revenue=args.min_lineitem_revenue, churn_threshold=args.churn_threshold,
-        broadcast_max_rows=args.broadcast_max_rows,
     )
 
 
+def jdbc_options(args: argparse.Namespace) -> dict[str, str]:
+    """Connection options for all tables; secrets come from the environment."""
+    options = dict(kv.split("=", 1) for kv in args.jdbc_option or [])
+    if any(k.lower() == "password" for k in options):
+        raise SystemExit("give the password in an environment variable (--jdbc-password-env)")
+    if any(k in PARTITION_OPTIONS for k in options):
+        raise SystemExit("give partitioning per table (--jdbc-partition)")
+    if args.jdbc_password_env:
+        options["password"] = os.environ[args.jdbc_password_env]
+    return options
+
+
+def jdbc_partitioning(args: argparse.Namespace) -> dict[str, dict[str, str]]:
+    """Parallel-read options per table, from ``table:column:lower:upper:parts``.
+
+    Bounds may be times, which hold colons themselves: both have equally many.
+    """
+    out = {}
+    for text in args.jdbc_partition or []:
+        table, column, rest = text.split(":", 2)
+        bounds, parts = rest.rsplit(":", 1)
+        pieces = bounds.split(":")
+        half = len(pieces) // 2
+        lower, upper = ":".join(pieces[:half]), ":".join(pieces[half:])
+        out[table] = dict(zip(PARTITION_OPTIONS, (column, lower, upper, str(int(parts)))))
+    return out
+
+
 def _raw(spark: SparkSession, args: argparse.Namespace):
     if args.fixture_dir:
         return fixture_sources(spark, args.fixture_dir)
     if args.jdbc_url:
-        options = dict(kv.split("=", 1) for kv in args.jdbc_option or [])
-        return jdbc_sources(spark, args.jdbc_url, options)
+        return jdbc_sources(spark, args.jdbc_url, jdbc_options(args), jdbc_partitioning(args))
     if args.sources:
         return parquet_sources(spark, args.sources)
     raise SystemExit("give --sources, --jdbc-url or --fixture-dir")
@@ -57,6 +88,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--sources")
     p.add_argument("--jdbc-url")
     p.add_argument("--jdbc-option", action="append")
+    p.add_argument("--jdbc-partition", action="append", metavar="TABLE:COLUMN:LOWER:UPPER:PARTS")
+    p.add_argument("--jdbc-password-env", metavar="VARIABLE")
     p.add_argument("--fixture-dir")
     p.add_argument("--fact", required=True)
     p.add_argument("--out")
@@ -73,7 +106,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--top-n", type=int, default=50)
     p.add_argument("--min-lineitem-revenue", type=float, default=500.0)
     p.add_argument("--churn-threshold", type=int, default=90)
-    p.add_argument("--broadcast-max-rows", type=int, default=250_000)
+    p.add_argument("--checkpoint-dir", help="shared folder; default: spark.checkpoint.dir of the session")
+    p.add_argument("--drilldown", action="append", metavar="NAME")
     p.add_argument("--rebuild", action="store_true", help="rebuild the fact even if it is stored")
     return p
 
@@ -81,15 +115,17 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> list[str]:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName(f"custlens {args.command}").getOrCreate()
+    if args.checkpoint_dir:
+        spark.sparkContext.setCheckpointDir(args.checkpoint_dir)
     params = _params(args)
     if args.command == "build-fact":
-        write_fact(Analysis(spark, params, raw=_raw(spark, args)).fact, args.fact)
+        write_fact(Analysis(spark, params, raw=_raw(spark, args)).fact, args.fact, params)
         return [args.fact]
     if not args.out:
         raise SystemExit("report needs --out")
     if args.sources or args.jdbc_url or args.fixture_dir:
         fact = load_or_build(
-            spark, args.fact, lambda: Analysis(spark, params, raw=_raw(spark, args)).fact, rebuild=args.rebuild
+            spark, args.fact, lambda: Analysis(spark, params, raw=_raw(spark, args)).fact, params, rebuild=args.rebuild
         )
     else:
         fact = read_fact(spark, args.fact, params.start, params.end)
@@ -99,12 +135,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     if unknown:
         raise SystemExit(f"unknown reports: {unknown}")
     if len(names) > 1:
-        analysis.cache()
+        analysis.store_customers()
     written = []
     for name in names:
         path = f"{args.out.rstrip('/')}/{name}"
         write_table(REPORTS[name](analysis), path, args.format)
         written.append(path)
+    if args.drilldown:
+        for part, df in customer_drilldown(analysis.filtered, analysis.customers, args.drilldown).items():
+            path = f"{args.out.rstrip('/')}/drilldown_{part}"
+            write_table(df, path, args.format)
+            written.append(path)
     return written
 
 

@@ -9,7 +9,6 @@ from custlens.operators.filters import (
     filter_in,
     filter_options,
 )
-from custlens.operators.joins import bounded_broadcast
 from custlens.operators.ordering import (
     fill_month_gaps,
     global_rank,
@@ -21,7 +20,6 @@ from custlens.operators.ordering import (
 __all__ = [
     "add_measures",
     "apply_filters",
-    "bounded_broadcast",
     "build_fact",
     "conform_fact",
     "customer_aggregates",

@@ -40,19 +40,21 @@ def _customer_key() -> dict:
 def customer_attributes(df: DataFrame) -> DataFrame:
     """One row per customer key with its descriptive attributes.
 
-    Attributes come from the customer lookup and depend only on the customer;
-    ``min`` stands in for "first non-null" (deterministic).  A ``min`` over
-    strings cannot use the hash aggregate (variable-width buffer) and would
-    sort every line, so the lines are first reduced by a key-only hash
-    ``distinct`` of (customer, attributes) -- about one row per customer, map
-    side deduplicated -- and only that customer-scale table is aggregated with
-    ``min``.
+    Attributes come from the customer lookup and depend only on the customer; where
+    one id has several attribute rows, the least whole row is taken, so a name and a
+    city never come from different rows.  A minimum over strings cannot use the hash
+    aggregate (variable-width buffer) and would sort every line, so the lines are first
+    reduced by a key-only hash ``distinct`` of (customer, attributes) -- about one row
+    per customer, map side deduplicated -- and only that customer-scale table is
+    aggregated.
     """
     combos = df.withColumns(_customer_key()).select("__ck", "__ck_null", *_ATTRS).distinct()
-    # min_by(c, c) is min(c).  Written this way because Catalyst drops a
+    # min_by(x, x) is min(x).  Written this way because Catalyst drops a
     # distinct below duplicate-insensitive aggregates such as min, which would
     # put the string aggregation back over every line.
-    return combos.groupBy("__ck", "__ck_null").agg(*[F.min_by(c, c).alias(c) for c in _ATTRS])
+    whole = F.struct(*_ATTRS)
+    return combos.groupBy("__ck", "__ck_null").agg(F.min_by(whole, whole).alias("a")).select(
+        "__ck", "__ck_null", *[F.col(f"a.{c}").alias(c) for c in _ATTRS])
 
 
 def customer_aggregates(df: DataFrame, as_of: dt.date, orders: DataFrame | None = None) -> DataFrame:

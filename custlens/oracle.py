@@ -8,7 +8,7 @@ and the customer aggregate are CTEs shared by every statement.
 
 from __future__ import annotations
 
-from custlens.catalog import COMBINED_PARAMS, FILTER_CUSTOMERS, FILTER_METHODS, FILTER_REGIONS
+from custlens.catalog import COMBINED_PARAMS, FILTER_CUSTOMERS, FILTER_METHODS, FILTER_REGIONS, RANGE_PARAMS
 from custlens.config import DRIVER_PARAMS, Params
 from custlens.sources.fixture import ADAPTER_SQL
 
@@ -210,12 +210,13 @@ def oracle_queries() -> dict[str, str]:
     q["normalize_keys"] = _sql("SELECT * FROM lk_customers")
     q["packs_by_line"] = _sql("SELECT * FROM packs_by_line")
     q["fact_lines"] = _sql("SELECT * FROM fact")
-    q["fact_roundtrip"] = _sql("SELECT * FROM fact")
+    for key in ("fact_roundtrip", "load_or_build_fact", "fact_from_parquet"):
+        q[key] = _sql("SELECT * FROM fact")
     q["delivery_metrics"] = _sql(
         "SELECT OrderLineId, ShipDate, DeliveryDate, DateExpected, TransitDays, DeliveryStatus FROM fact"
     )
     q["conform_fact"] = _sql("SELECT * FROM ri")
-    q["filter_date_range"] = _sql("SELECT * FROM dated")
+    q["filter_date_range"] = _sql("SELECT * FROM dated", params=RANGE_PARAMS)
     q["filter_regions"] = _sql(f"SELECT * FROM ri WHERE RegionName IN {_in(FILTER_REGIONS)}")
     q["filter_shipping_methods"] = _sql(f"SELECT * FROM ri WHERE ShippingMethodName IN {_in(FILTER_METHODS)}")
     q["filter_customers"] = _sql(f"SELECT * FROM ri WHERE CustomerName IN {_in(FILTER_CUSTOMERS)}")
@@ -321,6 +322,12 @@ FROM (SELECT *, row_number() OVER (PARTITION BY CustomerName
                                    ORDER BY TotalRevenue DESC NULLS LAST, CustomerId ASC NULLS LAST) AS rn
       FROM cust WHERE CustomerName IS NOT NULL) WHERE rn = 1""")
     q["customer_monthly_history"] = _sql("SELECT * FROM hist", _HISTORY)
+    q["customer_drilldown"] = _sql(f"""
+SELECT * FROM hist WHERE CustomerId IN (
+  SELECT CustomerId FROM (
+    SELECT CustomerId, row_number() OVER (PARTITION BY CustomerName
+             ORDER BY TotalRevenue DESC NULLS LAST, CustomerId ASC NULLS LAST) AS rn
+    FROM cust WHERE CustomerName IN {_in(FILTER_CUSTOMERS)}) WHERE rn = 1)""", _HISTORY)
     q["customer_monthly_history_long"] = _sql("""
 SELECT CustomerId, month_ts, 'MonthlyRevenue' AS Metric, CAST(MonthlyRevenue AS DOUBLE) AS Value FROM hist
 UNION ALL SELECT CustomerId, month_ts, 'MonthlyOrders', CAST(MonthlyOrders AS DOUBLE) FROM hist""", _HISTORY)

@@ -7,6 +7,7 @@ from custlens.plans.clv import customer_clv, gross_margin, profit_vs_volume, top
 from custlens.plans.cohort import cohort_retention
 from custlens.plans.context import Analysis
 from custlens.plans.drilldown import (
+    customer_drilldown,
     customer_monthly_history,
     customer_monthly_history_long,
     customer_profile,
@@ -30,6 +31,7 @@ __all__ = [
     "cohort_retention",
     "compute_recommendations",
     "customer_clv",
+    "customer_drilldown",
     "customer_kpis",
     "customer_monthly_history",
     "customer_monthly_history_long",

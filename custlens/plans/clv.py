@@ -19,8 +19,8 @@ def customer_clv(customers: DataFrame, life_years: int = LIFE_YEARS) -> DataFram
     algebraically) so the doubles round identically.
     """
     aov = F.coalesce(safe_divide(F.col("TotalRevenue"), F.col("TotalOrders")), F.lit(0.0))
-    months = F.when(F.col("MonthsActive") == 0, 1).otherwise(F.col("MonthsActive"))
-    per_year = F.coalesce(F.col("TotalOrders") / months * 12, F.lit(0.0))
+    # MonthsActive is 1 at least.
+    per_year = F.coalesce(F.col("TotalOrders") / F.col("MonthsActive") * 12, F.lit(0.0))
     margin = F.coalesce(
         rint2(safe_divide(F.col("TotalRevenue") - F.col("TotalCost"), F.col("TotalRevenue")) * 100),
         F.lit(0.0),

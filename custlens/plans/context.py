@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from custlens.config import Params
+from custlens.config import Params, ensure_checkpoint_dir
 from custlens.operators.conform import conform_fact
 from custlens.operators.customers import customer_aggregates, order_level
 from custlens.operators.fact import build_fact
@@ -20,7 +19,9 @@ class Analysis:
     """Lazily built DataFrames shared by the reports of one parameter set.
 
     Give either ``raw`` source tables (Parquet, JDBC or fixture) or an already
-    built/persisted ``fact``.  Nothing is computed until a report is acted on.
+    built/persisted ``fact``.  Building the fact looks for one order line; reports with a
+    global order (RFM, Pareto, histograms) store their slim input when they are planned;
+    all else is computed when a report is acted on.
     """
 
     def __init__(
@@ -49,9 +50,7 @@ class Analysis:
 
     @cached_property
     def scanned(self) -> dict[str, DataFrame]:
-        # The fact build restricts packs through its left join with in-range
-        # lines, so the separate semi-join shuffle is skipped here.
-        return scan_sources(self.spark, self.raw, self.params, semi_join_packs=False)
+        return scan_sources(self.spark, self.raw, self.params)
 
     @cached_property
     def fact(self) -> DataFrame:
@@ -80,16 +79,12 @@ class Analysis:
     def customers(self) -> DataFrame:
         return customer_aggregates(self.filtered, self.params.as_of, orders=self.orders)
 
-    def cache(self) -> "Analysis":
-        """Persist the filtered input and the customer table for several reports.
+    def store_customers(self) -> "Analysis":
+        """Write the customer table once, to shared storage, for several reports.
 
-        For interactive sessions that run many reports on one parameter set;
-        MEMORY_AND_DISK, so lost blocks are recomputed from the stored fact.
+        One row per customer; the fact itself is read by each report with the columns
+        that report needs.
         """
-        self.filtered.persist(StorageLevel.MEMORY_AND_DISK)
-        self.customers.persist(StorageLevel.MEMORY_AND_DISK)
+        ensure_checkpoint_dir(self.spark)
+        self.customers = self.customers.checkpoint(eager=True)
         return self
-
-    def unpersist(self) -> None:
-        self.customers.unpersist()
-        self.filtered.unpersist()

@@ -78,3 +78,19 @@ def product_category_mix(df: DataFrame, customer_id: str | None = None) -> DataF
     ).agg(F.sum("Revenue").alias("Spend"), F.sum("WeightLb").alias("Weight")).orderBy(
         "CustomerId", F.desc("Spend"), F.asc_nulls_last("ProductCategory")
     )
+
+
+def customer_drilldown(df: DataFrame, customers: DataFrame, names: list[str]) -> dict[str, DataFrame]:
+    """names -> customer ids -> profile, monthly history and category mix.
+
+    The ids stay in Spark: the lines are semi-joined with the resolved customers (at
+    most one per name), so nothing is collected in between.
+    """
+    wanted = customers.where(F.col("CustomerName").isin(list(names)))
+    profile = customer_profile(wanted)
+    lines = df.join(profile.select("CustomerId"), "CustomerId", "left_semi")
+    return {
+        "profile": profile,
+        "monthly_history": customer_monthly_history(lines).orderBy("CustomerId", "month_ts"),
+        "category_mix": product_category_mix(lines),
+    }

@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from custlens.plans.common import top_k
 
 
-def customer_kpis(df: DataFrame, customers: DataFrame, churn_days: int = 90) -> DataFrame:
+def customer_kpis(orders: DataFrame, customers: DataFrame, churn_days: int = 90) -> DataFrame:
     """One row: TotalCustomers, TotalRevenue, TotalOrders, AvgOrderValue, ChurnRatePct.
 
-    Lines are reduced to one row per order (partial aggregation before the
-    shuffle; the scan reads only OrderId and Revenue); order rows and customer
-    rows are then unioned and folded by one global aggregate, so no join (and
-    no cross join) is needed.
+    ``orders`` is the (customer, order) level that the customer table is made of
+    (:func:`order_level`), or the lines themselves; it is reduced to one row per order.
+    Order rows and customer rows are then unioned and folded by one global aggregate,
+    so no join (and no cross join) is needed.
     * AvgOrderValue: mean of per-order revenue (null order id excluded), 0 if no orders.
     * ChurnRatePct: share of customer rows with DaysSinceLastOrder > churn_days,
       over the distinct non-null customer ids; 0 if there are none.
     """
-    per_order = df.groupBy("OrderId").agg(F.sum("Revenue").alias("_rev"))
+    per_order = orders.groupBy("OrderId").agg(F.sum("Revenue").alias("_rev"))
     order_rows = per_order.select(
         "OrderId", "_rev",
         F.lit(None).cast("string").alias("CustomerId"),

@@ -16,7 +16,7 @@ def pareto(customers: DataFrame) -> DataFrame:
     plus per-partition offsets), never from a single-task window.
     """
     ranked = global_rank(
-        customers,
+        customers.select("CustomerId", "CustomerName", "TotalRevenue"),
         [F.desc_nulls_last("TotalRevenue"), F.asc_nulls_last("CustomerId")],
         rank_col="Rank",
         sum_col="TotalRevenue",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from custlens.config import ensure_checkpoint_dir
 from custlens.plans.common import sort_bounded
 
 _KEYS = ["RegionName", "CustomerName"]
@@ -44,8 +45,8 @@ def compute_recommendations(
 
     One (region, customer) aggregation of the lines feeds both results: the
     total revenue ranks the top-N, and conditional aggregates over the lines
-    above the threshold give the recommendation totals.  Both outputs read the
-    same shuffle, so the lines are scanned once.
+    above the threshold give the recommendation totals.  The totals (one row per
+    customer and region) are stored once, so the lines are scanned once for both.
 
     Recommendations (R5): per region, customers outside its top-N with at
     least one line strictly above the threshold; totals cover only those
@@ -62,6 +63,8 @@ def compute_recommendations(
         F.sum(F.when(qualifies, F.col("ItemCount"))).alias("_q_items"),
         F.count_if(qualifies).alias("_q_lines"),
     )
+    ensure_checkpoint_dir(df.sparkSession)
+    totals = totals.checkpoint(eager=True)
     top = _top_n(totals, top_n)
     candidates = totals.where(F.col("RegionName").isNotNull() & (F.col("_q_lines") > 0)).select(
         "RegionName", "CustomerName",

@@ -26,13 +26,12 @@ def rfm_scores(customers: DataFrame, fm_direction: str = "as_reference") -> Data
       "as_reference"``); ``"high_is_good"`` flips them to 4.
     * Tied quartile edges never fail; the first matching band wins.
     """
-    base = customers.withColumns({
-        "Recency": F.col("DaysSinceLastOrder"),
-        "Frequency": F.col("TotalOrders"),
-        "Monetary": F.col("TotalRevenue"),
-    })
-    # The first ranking checkpoints the customer table, so the percentile
-    # pass and the second ranking read it back instead of recomputing it.
+    # Only the six columns that RFM needs are ranked and stored.
+    base = customers.select(
+        "CustomerId", "CustomerName", "RegionName", F.col("DaysSinceLastOrder").alias("Recency"),
+        F.col("TotalOrders").alias("Frequency"), F.col("TotalRevenue").alias("Monetary"))
+    # The first ranking stores them, so the percentile pass and the second ranking
+    # read them back instead of recomputing the customer table.
     by_freq = global_rank(
         base,
         [F.desc_nulls_last("Frequency"), F.desc_nulls_last("Monetary"), F.asc_nulls_last("CustomerId")],

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from custlens.functions.dates import month_start
 from custlens.operators.ordering import fill_month_gaps
-from custlens.plans.common import unpivot_metrics
+from custlens.plans.common import sort_bounded, unpivot_metrics
 
 
 def monthly_trend(df: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def monthly_trend(df: DataFrame) -> DataFrame:
             F.count_distinct("OrderId").alias("MonthOrders"),
         )
     )
-    return fill_month_gaps(per_month, [], "month_ts", ["MonthRevenue", "MonthOrders"])
+    filled = fill_month_gaps(per_month, [], "month_ts", ["MonthRevenue", "MonthOrders"])
+    return sort_bounded(filled, F.asc("month_ts"))
 
 
 def monthly_trend_long(df: DataFrame) -> DataFrame:

@@ -64,6 +64,12 @@ SOURCE_SCHEMAS: dict[str, StructType] = {
 # Tables without which no fact can be built; a missing lookup only yields nulls.
 FACT_SOURCES = ("orders", "order_lines")
 
+# Their key columns: without one of them no row could be joined.
+FACT_KEYS: dict[str, tuple[str, ...]] = {
+    "orders": ("OrderId", "CustomerId", "SalesRepId", "ShippingMethodRequested"),
+    "order_lines": ("OrderLineId", "OrderId", "ProductId", "ShipperId"),
+}
+
 # Columns projected by each scan (the source SELECT lists).
 SCAN_COLUMNS: dict[str, list[str]] = {
     "orders": ["OrderId", "CustomerId", "SalesRepId", "CreatedAt_order", "DateOrdered",
@@ -93,7 +99,7 @@ FACT = _struct(
     ("TransitDays", L), ("DeliveryStatus", S),
 )
 
-# The columns every report needs; absent ones are added as typed nulls.
+# The columns every report needs; absent ones are added as typed nulls.
 REPORT_REQUIRED: dict[str, DataType] = {
     "CustomerId": S, "CustomerName": S, "RegionName": S, "Address1": S, "Address2": S,
     "City": S, "Province": S, "PostalCode": S, "OrderId": S, "Revenue": D, "Cost": D,

@@ -21,7 +21,7 @@ SUPPLIED_SCHEMAS = {
               "o_orderdate timestamp_ntz, o_orderpriority string",
     "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
                 "l_quantity double, l_extendedprice double, l_discount double, "
-                "l_returnflag string, l_shipdate timestamp_ntz",
+                "l_shipdate timestamp_ntz",
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
     "region": "r_regionkey int, r_name string",
@@ -118,7 +118,7 @@ def fixture_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         _s(F.floor(F.col("p_retailprice") / 2).cast("bigint")).alias("CostPrice"),
     )
 
-    src_regions = region.where(F.col("r_name") != "MIDDLE EAST").select(
+    src_regions = region.select(
         _s("r_regionkey").alias("RegionId"), F.col("r_name").alias("RegionName")
     )
     src_shippers = supplier.select(_s("s_suppkey").alias("ShipperId"), F.col("s_name").alias("Carrier"))
@@ -129,7 +129,7 @@ def fixture_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     src_suppliers = supplier.select(
         _s("s_suppkey").alias("SupplierId"), F.col("s_name").alias("SupplierName")
     )
-    src_packs = lineitem.where(F.col("l_returnflag") != "R").select(
+    src_packs = lineitem.select(
         line_key.alias("PickedForOrderLine"),
         F.when(F.col("l_linenumber") == 7, F.lit(None).cast("double"))
         .otherwise(F.col("l_quantity"))
@@ -185,7 +185,7 @@ SELECT CAST(p_partkey AS STRING) AS ProductId,
        CAST(CAST(floor(p_retailprice / 2) AS BIGINT) AS STRING) AS CostPrice
 FROM part""",
     "src_regions": """
-SELECT CAST(r_regionkey AS STRING) AS RegionId, r_name AS RegionName FROM region WHERE r_name <> 'MIDDLE EAST'""",
+SELECT CAST(r_regionkey AS STRING) AS RegionId, r_name AS RegionName FROM region""",
     "src_shippers": """
 SELECT CAST(s_suppkey AS STRING) AS ShipperId, s_name AS Carrier FROM supplier""",
     "src_shipping_methods": """
@@ -196,5 +196,5 @@ SELECT CAST(s_suppkey AS STRING) AS SupplierId, s_name AS SupplierName FROM supp
 SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS PickedForOrderLine,
        CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity END AS WeightLb,
        CAST(floor(l_quantity / 10) + 1 AS DOUBLE) AS ItemCount, l_shipdate AS DeliveryDate
-FROM lineitem WHERE l_returnflag <> 'R'""",
+FROM lineitem""",
 }

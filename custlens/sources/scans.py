@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import datetime as dt
 import logging
-import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custlens.config import Params
+from custlens.functions.dates import to_timestamp_tolerant
 from custlens.functions.text import normalize_key
-from custlens.schemas import FACT_SOURCES, SCAN_COLUMNS, SOURCE_SCHEMAS
+from custlens.schemas import FACT_KEYS, FACT_SOURCES, SCAN_COLUMNS, SOURCE_SCHEMAS
 
 log = logging.getLogger(__name__)
 
@@ -51,20 +52,51 @@ DB_TABLES: dict[str, tuple[str, dict[str, str]]] = {
 }
 
 
+def conform_source(df: DataFrame, name: str) -> DataFrame:
+    """A stored table in the columns of its source schema, with its own key types.
+
+    Key columns of the fact's sources must exist; any other absent column is added as
+    nulls.  Keys and numbers keep their stored type (the fact normalises keys of any
+    type and parses numbers tolerantly); times become zone-less timestamps, and text
+    that is no time becomes null.
+    """
+    missing = [c for c in FACT_KEYS.get(name, ()) if c not in df.columns]
+    if missing:
+        raise KeyError(f"source table '{name}' lacks its key columns {missing}; it has {df.columns}")
+    out = []
+    for field in SOURCE_SCHEMAS[name].fields:
+        if field.name not in df.columns:
+            out.append(F.lit(None).cast(field.dataType).alias(field.name))
+        elif field.dataType.typeName() == "timestamp_ntz":
+            out.append(to_timestamp_tolerant(F.col(field.name), df.schema[field.name].dataType).alias(field.name))
+        else:
+            out.append(F.col(field.name))
+    return df.select(out)
+
+
 def parquet_sources(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Raw tables stored as ``<root>/<name>`` Parquet datasets in source schema.
+    """Raw tables stored as ``<root>/<name>`` Parquet datasets, on any filesystem.
 
-    Tables that are absent are left out; :func:`scan_sources` decides whether
-    that is an error (orders, order lines) or an empty lookup.
+    Spark resolves each path through its filesystem and reads the stored schema.  A
+    lookup that is absent or cannot be read is left out (:func:`scan_sources` joins it
+    as empty); orders and order lines must be readable and hold their keys.
     """
     raw = {}
-    for name, schema in SOURCE_SCHEMAS.items():
-        path = f"{root.rstrip('/')}/{name}"
-        if root.startswith(("s3", "gs:", "abfs", "hdfs")) or os.path.exists(path):
-            raw[name] = spark.read.schema(schema).parquet(path)
+    for name in SOURCE_SCHEMAS:
+        try:
+            raw[name] = conform_source(spark.read.parquet(f"{root.rstrip('/')}/{name}"), name)
+        except AnalysisException as e:
+            if name in FACT_SOURCES:
+                raise
+            log.warning("lookup '%s' cannot be read: %s", name, e.getCondition())
     return raw
 
 
+# Tables that grow with the business: read in parallel parts or not at all.
+PARTITIONED_TABLES = ("orders", "order_lines", "packs")
+PARTITION_OPTIONS = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
+
+
 def jdbc_sources(
     spark: SparkSession,
     url: str,
@@ -74,10 +106,14 @@ def jdbc_sources(
     """Raw tables read over JDBC, renamed to the source column names.
 
     Filters and projections applied later are pushed into the generated SQL.
-    ``partitioning`` may give per-table parallel-read options
-    (``partitionColumn``, ``lowerBound``, ``upperBound``, ``numPartitions``);
-    large tables should always get them on a cluster.
+    ``partitioning`` gives per-table parallel-read options (``partitionColumn``,
+    ``lowerBound``, ``upperBound``, ``numPartitions``).  Orders, order lines and packs
+    must have them: an unpartitioned read would pull a whole table through one task.
     """
+    for name in PARTITIONED_TABLES:
+        lacking = [o for o in PARTITION_OPTIONS if o not in (partitioning or {}).get(name, {})]
+        if lacking:
+            raise ValueError(f"reading '{name}' over JDBC needs the options {lacking}")
     raw = {}
     for name, (table, columns) in DB_TABLES.items():
         reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
@@ -116,31 +152,34 @@ def scan_order_lines(lines: DataFrame, params: Params) -> DataFrame:
     ).select(SCAN_COLUMNS["order_lines"])
 
 
+def with_line_key(packs: DataFrame) -> DataFrame:
+    """Packs with their normalised order-line key as ``OrderLineId``."""
+    return packs.withColumn(
+        "OrderLineId", normalize_key(F.col("PickedForOrderLine"), packs.schema["PickedForOrderLine"].dataType))
+
+
 def scan_packs(packs: DataFrame, lines_raw: DataFrame, params: Params) -> DataFrame:
     """Packs of order lines created in the fetch range (semi-join).
 
     Keys are compared after normalisation (stripped strings), the same rule the
     fact build uses to attach packs to lines, so both paths keep the same packs.
+    The key stays as a column: the packs leave the join partitioned by it, and the
+    sums per line that follow need no further exchange.
     """
     lines = scan_order_lines(lines_raw, params)
     in_range = lines.select(
-        normalize_key(F.col("OrderLineId"), lines.schema["OrderLineId"].dataType).alias("_line")
-    )
-    key = normalize_key(F.col("PickedForOrderLine"), packs.schema["PickedForOrderLine"].dataType)
-    return packs.join(in_range, key == in_range["_line"], "left_semi").select(SCAN_COLUMNS["packs"])
+        normalize_key(F.col("OrderLineId"), lines.schema["OrderLineId"].dataType).alias("OrderLineId"))
+    return with_line_key(packs.select(SCAN_COLUMNS["packs"])).join(in_range, "OrderLineId", "left_semi")
 
 
-def scan_sources(
-    spark: SparkSession, raw: dict[str, DataFrame], params: Params, semi_join_packs: bool = True
-) -> dict[str, DataFrame]:
-    """All nine scans.  Missing lookups become empty typed tables.
-
-    ``semi_join_packs=False`` leaves packs unrestricted; the fact build's left
-    join on in-range lines gives the same fact without the extra shuffle.
-    """
+def scan_sources(spark: SparkSession, raw: dict[str, DataFrame], params: Params) -> dict[str, DataFrame]:
+    """All nine scans.  Missing lookups become empty typed tables."""
     for name in FACT_SOURCES:
         if name not in raw:
             raise KeyError(f"source table '{name}' is required to build the fact")
+        missing = [c for c in FACT_KEYS[name] if c not in raw[name].columns]
+        if missing:
+            raise KeyError(f"source table '{name}' lacks its key columns {missing}")
     scanned = {
         "orders": scan_orders(raw["orders"], params),
         "order_lines": scan_order_lines(raw["order_lines"], params),
@@ -151,12 +190,10 @@ def scan_sources(
         else:
             log.warning("lookup '%s' missing - joined as empty", name)
             scanned[name] = _empty(spark, name)
-    if "packs" not in raw:
-        scanned["packs"] = _empty(spark, "packs")
-    elif semi_join_packs:
+    if "packs" in raw:
         scanned["packs"] = scan_packs(raw["packs"], raw["order_lines"], params)
     else:
-        scanned["packs"] = raw["packs"].select(SCAN_COLUMNS["packs"])
+        scanned["packs"] = with_line_key(_empty(spark, "packs"))
     return scanned
 
 

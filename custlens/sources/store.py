@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import logging
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
+from custlens.config import Params
 from custlens.functions.dates import month_start
 from custlens.schemas import FACT
 
@@ -17,15 +18,22 @@ log = logging.getLogger(__name__)
 
 PARTITION_COLUMN = "OrderMonth"
 STORED_FACT = StructType(FACT.fields + [StructField(PARTITION_COLUMN, DateType(), True)])
+# What a stored fact holds, in a folder that readers of the fact skip (leading "_") and
+# that an overwrite of the fact removes.
+INFO = "_info"
+INFO_DDL = "fetch_start date, fetch_end date, packed_status string, n_rows bigint"
 
 
-def write_fact(fact: DataFrame, path: str) -> None:
+def write_fact(fact: DataFrame, path: str, params: Params | None = None) -> None:
     """Overwrite the fact as Parquet partitioned by order month.
 
     The ``rebalance`` hint clusters rows by month and lets AQE cut the
     shuffle output into advisory-size partitions: a large month is split over
     several tasks (no skew), small months are coalesced, so each task writes
     few, well-sized files instead of one file per task and month.
+
+    With ``params``, the fetch range, the order status and the number of rows are
+    recorded beside the data, last, so that a write that failed midway has no record.
     """
     (
         fact.withColumn(PARTITION_COLUMN, month_start(F.col("Date")))
@@ -34,6 +42,20 @@ def write_fact(fact: DataFrame, path: str) -> None:
         .partitionBy(PARTITION_COLUMN)
         .parquet(path)
     )
+    if params is not None:
+        spark = fact.sparkSession
+        n_rows = _stored_rows(spark, path)
+        row = (params.fetch_start, params.fetch_end, params.packed_status, n_rows)
+        spark.createDataFrame([row], INFO_DDL).coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/{INFO}")
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(STORED_FACT).parquet(path)
+
+
+def _stored_rows(spark: SparkSession, path: str) -> int:
+    """Rows of the stored files; reads their footers only, and fails on a broken one."""
+    return _stored(spark, path).count()
 
 
 def read_fact(
@@ -44,7 +66,7 @@ def read_fact(
     A date range adds matching bounds on the partition column, so only the
     needed month directories are listed and read (partition pruning).
     """
-    df = spark.read.schema(STORED_FACT).parquet(path)
+    df = _stored(spark, path)
     if start is not None:
         df = df.where(F.col(PARTITION_COLUMN) >= F.lit(start.replace(day=1)))
     if end is not None:
@@ -52,33 +74,40 @@ def read_fact(
     return df.drop(PARTITION_COLUMN)
 
 
-def fact_exists(spark: SparkSession, path: str) -> bool:
-    """True when a completed write left its ``_SUCCESS`` marker at ``path``.
+def fact_info(spark: SparkSession, path: str) -> dict | None:
+    """What the fact at ``path`` was built for; None without a complete record."""
+    try:
+        row = spark.read.schema(INFO_DDL).json(f"{path.rstrip('/')}/{INFO}").first()
+    except PySparkException:
+        return None
+    return row.asDict() if row is not None and row["n_rows"] is not None else None
 
-    Resolving a file source lists the path without running a job and raises
-    when it does not exist; a write that failed midway has no marker.
-    """
+
+def fact_covers(spark: SparkSession, path: str, params: Params) -> bool:
+    """True when the fact at ``path`` has all rows that ``params`` would fetch and all
+    its files can be read (their footers' row counts add up to the recorded one)."""
+    info = fact_info(spark, path)
+    if info is None or info["packed_status"] != params.packed_status:
+        return False
+    if info["fetch_start"] > params.fetch_start or info["fetch_end"] < params.fetch_end:
+        return False
     try:
-        spark.read.text(f"{path.rstrip('/')}/_SUCCESS")
-        return True
-    except AnalysisException:
+        return _stored_rows(spark, path) == info["n_rows"]
+    except Exception as e:  # whatever a broken file raises in its reader
+        log.warning("cannot read the stored fact at %s: %s", path, type(e).__name__)
         return False
 
 
-def load_or_build(spark: SparkSession, path: str, build, rebuild: bool = False) -> DataFrame:
-    """Read the persisted fact if it is complete, else build, write, read back.
+def load_or_build(spark: SparkSession, path: str, build, params: Params, rebuild: bool = False) -> DataFrame:
+    """Read the persisted fact if it covers ``params``, else build, write, read back.
 
-    Unlike the analysed application, the stored fact is built over the whole
-    fetch range once and narrowed by the report filters, so a wider date
-    filter later never silently misses rows.
+    A fact that was built for a narrower fetch range or another order status, or whose
+    files are incomplete or unreadable, is rebuilt; a wider one is read.  The months of
+    the report range bound what is read.
     """
-    if not rebuild and fact_exists(spark, path):
-        try:
-            return read_fact(spark, path)
-        except Exception:  # unreadable cache -> rebuild
-            log.exception("cannot read stored fact at %s; rebuilding", path)
-    write_fact(build(), path)
-    return read_fact(spark, path)
+    if rebuild or not fact_covers(spark, path, params):
+        write_fact(build(), path, params)
+    return read_fact(spark, path, params.start, params.end)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:

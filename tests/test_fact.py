@@ -155,3 +155,107 @@ def test_scan_pushdown_into_parquet(spark, scratch):
     assert "EqualTo(OrderStatus,packed)" in plan
     assert "GreaterThanOrEqual(CreatedAt_order" in plan and "LessThanOrEqual(CreatedAt_order" in plan
     assert set(SCAN_COLUMNS["orders"]) == set(scanned["orders"].columns)
+
+
+def test_parquet_sources_check_and_tolerate(spark, scratch):
+    from pyspark.errors import AnalysisException
+    from pyspark.sql import functions as F
+
+    from custlens.sources.scans import parquet_sources
+
+    raw = _sources(spark, drop=("suppliers",))
+    for name, df in raw.items():
+        if name == "orders":  # numeric keys and times as text
+            df = df.withColumns({"OrderId": F.trim("OrderId").cast("bigint"), "ShipDate": F.col("ShipDate").cast("string")})
+        if name == "order_lines":
+            df = df.withColumns({"OrderId": F.col("OrderId").cast("double"), "SalePrice": F.col("SalePrice").cast("string")})
+        if name == "customers":
+            df = df.drop("Phone")
+        df.write.parquet(f"{scratch}/s/{name}")
+    for root in (f"{scratch}/s", f"file:{scratch}/s"):  # whatever the scheme, Spark finds the tables
+        sources = parquet_sources(spark, root)
+        assert set(sources) == set(raw)
+    got = build_fact(scan_sources(spark, sources, PARAMS), PARAMS).drop("Phone", "SupplierName")
+    want = _fact(spark, drop=("suppliers",)).drop("Phone", "SupplierName")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    raw["orders"].drop("CustomerId").write.parquet(f"{scratch}/t/orders")
+    raw["order_lines"].write.parquet(f"{scratch}/t/order_lines")
+    with pytest.raises(KeyError, match="CustomerId"):
+        parquet_sources(spark, f"{scratch}/t")
+    with pytest.raises(AnalysisException):
+        parquet_sources(spark, f"{scratch}/nothing")
+
+
+def test_odd_number_keys(spark):
+    from pyspark.sql import functions as F
+
+    from custlens.functions.text import normalize_key
+
+    df = spark.createDataFrame([(3.0,), (2.5,), (float("nan"),), (1e30,), (None,), (float("inf"),)], "k double")
+    got = [r[0] for r in df.select(normalize_key(F.col("k"), df.schema["k"].dataType)).collect()]
+    assert got[:3] == ["3", "2.5", None] and got[4] is None and got[3] is not None and got[3] != "9223372036854775807"
+
+
+def test_regions_without_a_row_and_lines_without_packs(spark):
+    rows = _fact(spark, drop=("regions",)).collect()
+    assert rows and all(r.RegionName is None for r in rows)
+    assert any(r.WeightLb == 0.0 and r.DeliveryDate is None for r in rows)
+
+
+def test_checkpoint_folder_must_be_shared_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from custlens.config import ensure_checkpoint_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077",
+                              getConf=lambda: SimpleNamespace(get=lambda k, d=None: d))
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d=None: d))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(session)
+
+
+def test_drilldown_of_a_name_shared_by_two_ids(spark):
+    import datetime as dt
+
+    from custlens.operators.customers import customer_aggregates
+    from custlens.plans import customer_drilldown
+    from tests.helpers import report_rows
+
+    df = report_rows(spark, [
+        dict(CustomerId="1", CustomerName="Twin", OrderId="a", Revenue=10.0, ProductName="Pork – Leg"),
+        dict(CustomerId="2", CustomerName="Twin", OrderId="b", Revenue=90.0, Date=dt.date(2001, 1, 5)),
+        dict(CustomerId="2", CustomerName="Twin", OrderId="c", Revenue=20.0, Date=dt.date(2001, 3, 5)),
+        dict(CustomerId="3", CustomerName="Other", OrderId="d", Revenue=500.0),
+    ])
+    out = customer_drilldown(df, customer_aggregates(df, dt.date(2002, 1, 1)), ["Twin"])
+    assert [r.CustomerId for r in out["profile"].collect()] == ["2"]
+    assert [(r.CustomerId, r.MonthlyRevenue) for r in out["monthly_history"].collect()] == [("2", 90.0), ("2", 0.0), ("2", 20.0)]
+    assert [(r.CustomerId, r.ProductCategory, r.Spend) for r in out["category_mix"].collect()] == [("2", "Beef", 110.0)]
+
+
+def test_customer_attributes_come_from_one_row(spark):
+    import datetime as dt
+
+    from custlens.operators.customers import customer_aggregates
+    from tests.helpers import report_rows
+
+    df = report_rows(spark, [
+        dict(CustomerId="1", CustomerName="Beta", City="Aton", OrderId="a"),
+        dict(CustomerId="1", CustomerName="Alpha", City="Zed", OrderId="b"),
+    ])
+    r = customer_aggregates(df, dt.date(2002, 1, 1)).first()
+    assert (r.CustomerName, r.City) == ("Alpha", "Zed")
+
+
+def test_cent_prices_agree_with_decimals(spark):
+    """Sums of cents differ from exact decimal sums by rounding only."""
+    import datetime as dt
+    from decimal import Decimal
+
+    from custlens.operators.customers import customer_aggregates
+    from tests.helpers import report_rows
+
+    cents = [(i * 7919) % 100_000 for i in range(1, 400)]
+    df = report_rows(spark, [dict(OrderId=f"o{i}", Revenue=c / 100, Cost=c / 300) for i, c in enumerate(cents)])
+    total = customer_aggregates(df.repartition(7), dt.date(2002, 1, 1)).first().TotalRevenue
+    assert abs(total - float(sum(Decimal(c) / 100 for c in cents))) < 1e-6

@@ -1,5 +1,5 @@
 """Physical-plan shape: no pair explosions, no Python evaluation, bounded
-single-partition steps only, partial group limits, size-checked broadcasts."""
+single-partition steps only, partial group limits, joins chosen by the planner."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
+from custlens.catalog import QUERIES
 from custlens.config import DRIVER_PARAMS
+from custlens.operators.fact import build_fact
 from custlens.plans.context import Analysis
 from tests.helpers import plan_text
 
@@ -20,17 +21,17 @@ FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "
 # bounded by a dimension that is sorted for output (weekdays, segments,
 # regions, cohort months, N rows per region).
 BOUNDED_SINGLE = {
-    "customer_kpis": 1, "load_sources": 9, "monthly_churn_trend": 2, "monthly_trend": 1,
-    "monthly_trend_long": 1, "new_vs_returning": 1, "pareto": 1, "rfm_scores": 1,
+    "customer_kpis": 1, "load_sources": 9, "monthly_churn_trend": 2, "monthly_trend": 2,
+    "monthly_trend_long": 2, "new_vs_returning": 1, "pareto": 1, "rfm_scores": 1,
     "rfm_segments": 2, "top10_rfm": 1, "churn_by_region": 1, "cohort_retention": 1,
     "weekday_revenue": 1, "top_customers_per_region": 1, "churn_by_region_180": 1,
     "churn_by_region_365": 1,
 }
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_plan_has_no_forbidden_operators(spark, key):
-    plan = plan_text(E.queries()[key](spark, SF))
+    plan = plan_text(QUERIES[key](spark, SF))
     for op in FORBIDDEN:
         assert op not in plan, f"{key}: {op}"
     assert plan.count("SinglePartition") <= BOUNDED_SINGLE.get(key, 0), key
@@ -38,36 +39,114 @@ def test_plan_has_no_forbidden_operators(spark, key):
 
 @pytest.mark.parametrize("key", ["top_customers_per_region", "customer_profile", "recommend_customers"])
 def test_group_limit_is_partial_before_shuffle(spark, key):
-    plan = plan_text(E.queries()[key](spark, SF))
+    plan = plan_text(QUERIES[key](spark, SF))
     assert re.search(r"WindowGroupLimit .*Partial", plan) or "WindowGroupLimit" in plan
     head = plan.split("\n\n")[0]
     assert head.count("WindowGroupLimit") >= 2  # partial (map side) + final
 
 
 def test_global_rank_window_is_partitioned(spark):
-    plan = plan_text(E.queries()["pareto"](spark, SF))
+    plan = plan_text(QUERIES["pareto"](spark, SF))
     windows = re.findall(r"\(\d+\) Window\n.*?\nArguments: (.*?)\n", plan, re.S)
     # the running-sum/rank window is partitioned by range partition; the only
     # unpartitioned one runs over the per-partition offsets
     assert any("__gr_part" in w.split("]")[0] for w in windows)
 
 
-def test_lookups_fall_back_to_shuffle_joins_beyond_the_bound(spark):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+def _without_broadcasts(spark, **more):
+    return {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", **more}
+
+
+@pytest.fixture()
+def conf(spark):
+    """Session settings for one test."""
+    old = {}
+
+    def put(settings):
+        for k, v in settings.items():
+            old.setdefault(k, spark.conf.get(k, None))
+            spark.conf.set(k, v)
+
+    yield put
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_lines_move_at_most_once_per_large_join(spark, conf):
+    """Lookups meet orders and products first: the lines are exchanged for packs,
+    orders, products and shippers only, whatever the number of lookups."""
+    conf(_without_broadcasts(spark, **{"spark.sql.adaptive.enabled": "false"}))
+    plan = plan_text(Analysis.from_fixture(spark, SF, DRIVER_PARAMS).fact)
+    tree = plan.split("\n\n")[0]
+    assert tree.count("SortMergeJoin") == 10 and "BroadcastHashJoin" not in tree
+    # Exchanges of rows that hold a line's price (SalePrice) and its packs' weight.
+    moved = [x for x in re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", plan) if "SalePrice" in x and "WeightLb" in x]
+    assert len(moved) <= 3
+    assert not any("CustomerName" in x and "Phone" in x and "Carrier" in x for x in moved)
+
+
+def test_hot_customer_is_split_by_the_planner(spark, conf):
+    """With AQE on and a customer that holds most orders, the customer join is skewed and split."""
+    import datetime as dt
+    from pyspark.sql import functions as F
+
+    conf(_without_broadcasts(spark, **{
+        "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10000",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}))
+    raw = dict(Analysis.from_fixture(spark, SF, DRIVER_PARAMS).scanned)
+    n = spark.range(40_000)
+    orders = raw["orders"].limit(1).drop("OrderId", "CustomerId").join(
+        n.select(F.col("id").cast("string").alias("OrderId"),
+                 F.when(F.col("id") % 10 < 7, "1").otherwise(F.col("id").cast("string")).alias("CustomerId")))
+    raw["orders"] = orders.repartition(16).select(raw["orders"].columns).checkpoint()
+    fact = build_fact(raw, DRIVER_PARAMS)
+    fact.write.format("noop").mode("overwrite").save()
+    customers = raw["customers"].select("CustomerId", "CustomerName")
+    joined = raw["orders"].join(customers, "CustomerId", "left")
+    rows = joined.collect()
+    assert len(rows) == 40_000
+    assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    assert DRIVER_PARAMS.as_of > dt.date(2000, 1, 1)
+
+
+def test_building_the_fact_starts_one_small_job(spark):
+    a = Analysis.from_fixture(spark, SF, DRIVER_PARAMS)
+    a.scanned
+    spark.sparkContext.setJobGroup("fact-build", "plan only")
     try:
-        a = Analysis.from_fixture(spark, SF, DRIVER_PARAMS.replace(broadcast_max_rows=5))
-        tree = plan_text(a.fact).split("\n\n")[0]
-        # regions (4 rows) and shipping methods (5) are broadcast; customers,
-        # products, shippers and suppliers (10+ rows), packs and orders shuffle
-        assert tree.count("BroadcastHashJoin") == 2
-        assert tree.count("SortMergeJoin") == 7
+        a.fact
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("fact-build")
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 6  # the search for one order line, in growing steps, with its shuffles
+
+
+@pytest.mark.parametrize("key", ["churn_by_region", "customer_kpis", "monthly_churn_trend", "tenure_histogram"])
+def test_report_inputs_before_their_checkpoint(spark, key):
+    """The customer stage under the reports: no forbidden operator, no single partition."""
+    a = Analysis.from_fixture(spark, SF, DRIVER_PARAMS)
+    plan = plan_text(a.customers)
+    assert not any(op in plan for op in FORBIDDEN) and "SinglePartition" not in plan
+
+
+def test_rank_inputs_are_slim(spark, monkeypatch):
+    import importlib
+
+    for module, call in (("rfm", "rfm_scores"), ("pareto", "pareto")):
+        m = importlib.import_module(f"custlens.plans.{module}")
+        seen, real = [], m.global_rank
+
+        def watch(df, *a, _real=real, _seen=seen, **k):
+            _seen.append([c for c in df.columns if not c.startswith("_")])
+            return _real(df, *a, **k)
+
+        monkeypatch.setattr(m, "global_rank", watch)
+        getattr(m, call)(Analysis.from_fixture(spark, SF, DRIVER_PARAMS).customers)
+        assert all(len(c) <= 6 for c in seen)
 
 
 def test_fact_scan_prunes_columns(spark):
-    plan = plan_text(E.queries()["top10_revenue"](spark, SF))
+    plan = plan_text(QUERIES["top10_revenue"](spark, SF))
     lineitem_schema = re.search(r"lineitem\.parquet\]\n.*?ReadSchema: (struct<[^\n]*>)", plan, re.S)
     assert lineitem_schema and "l_tax" not in lineitem_schema.group(1)

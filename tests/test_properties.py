@@ -63,7 +63,7 @@ def test_calendars_contiguous_and_monotone(analysis):
     for a, b in zip(months, months[1:]):
         assert (b.year * 12 + b.month) - (a.year * 12 + a.month) == 1
     churn = sorted((r.Month, r.ChurnedCustomers)
-                   for r in P.monthly_churn_trend(analysis.filtered, analysis.customers, 90).collect())
+                   for r in P.monthly_churn_trend(analysis.customers, 90).collect())
     assert len(churn) == len(months)
     assert all(a[1] <= b[1] for a, b in zip(churn, churn[1:]))
     last = months[-1]

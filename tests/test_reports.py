@@ -78,7 +78,7 @@ def test_churn_boundaries(spark):
         dict(CustomerId="c", Date=D(2001, 6, 1)),
     ])
     cust = customer_aggregates(df, D(2001, 6, 30))
-    trend = {r.Month: r.ChurnedCustomers for r in P.monthly_churn_trend(df, cust, 90).collect()}
+    trend = {r.Month: r.ChurnedCustomers for r in P.monthly_churn_trend(cust, 90).collect()}
     assert trend == {D(2001, 3, 31): 0, D(2001, 4, 30): 0, D(2001, 5, 31): 0, D(2001, 6, 30): 1}
     by_region = P.churn_by_region(cust, 90).collect()
     assert [(r.RegionName, r.ChurnCount) for r in by_region] == [("EAST", 1)]  # a is exactly 90 days
