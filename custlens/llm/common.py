@@ -27,3 +27,25 @@ def persisted(df: DataFrame, eager: bool = True) -> DataFrame:
     """``df`` written to the shared checkpoint folder, with its lineage cut."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def sample_by_hash(docs: DataFrame, n: int, *columns: str) -> DataFrame:
+    """``columns`` of the ``n`` rows of ``docs`` with the least hashed ids, in that order.
+
+    The ids are chosen first; only the chosen rows' texts leave their tasks.  Rows with
+    the same id come or stay away together.
+    """
+    order = F.xxhash64("doc_id")
+    ids = docs.select("doc_id").distinct().orderBy(order, "doc_id").limit(n).withColumnRenamed("doc_id", "chosen_id")
+    chosen = docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi")  # n ids at most
+    return chosen.orderBy(order, "doc_id").select(*columns)
+
+
+# Rows of a narrow table (an id and a flag) that may be broadcast: some tens of MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, to be broadcast if a count shows at most ``max_rows`` rows; else it is
+    shuffled.  For narrow tables that meet wide rows, which then stay where they are."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custlens.llm import textkernel as tk
-from custlens.llm.common import persisted
+from custlens.llm.common import broadcast_if_small, persisted
 
 SHINGLE = 5
 MIN_SIMILARITY = 0.8
@@ -318,9 +318,9 @@ def find_links(docs: DataFrame, signed: DataFrame, min_similarity: float = MIN_S
             break
         if grams is None:  # members of later buckets are members of these
             wanted = mixed.select("node").distinct()
-            texts = docs.select("doc_id", "text").join(
-                nodes.join(wanted, "node", "left_semi").select(F.col("rid").alias("doc_id")).distinct(),
-                "doc_id", "left_semi")
+            ids = persisted(nodes.join(wanted, "node", "left_semi").select(F.col("rid").alias("doc_id")).distinct())
+            ids = broadcast_if_small(ids).withColumnRenamed("doc_id", "rid")
+            texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("rid")), "left_semi")
             grams = persisted(texts.mapInArrow(tk.map_slices(_multiset_batch), "node long, grams binary")
                               .join(wanted, "node", "left_semi").dropDuplicates(["node"]))
         fits = F.least("size", "r.size") >= min_similarity * F.greatest("size", "r.size")
@@ -383,5 +383,5 @@ def near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) ->
 
 def drop_near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """``docs`` without the documents whose class has a smaller doc_id."""
-    gone = near_duplicates(docs, min_similarity).where("NOT keep").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = persisted(near_duplicates(docs, min_similarity).where("NOT keep AND doc_id IS NOT NULL").select("doc_id").distinct())
+    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti")
