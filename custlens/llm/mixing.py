@@ -48,7 +48,7 @@ def n_words(text: Column) -> Column:
 def quality(text: Column) -> Column:
     """0.05 plus the share of letters among the text's characters."""
     letters = F.length(F.regexp_replace(text, "[^\\p{L}]", ""))
-    return F.coalesce(F.lit(0.05) + letters / F.length(text), F.lit(0.05))
+    return F.coalesce(F.lit(0.05) + F.try_divide(letters, F.length(text)), F.lit(0.05))
 
 
 def uniform(doc_id: Column, text: Column) -> Column:

@@ -114,10 +114,10 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
 def _discounts(grams: DataFrame) -> DataFrame:
     """(lang, d1, d2, d3) from the counts of counts of one order; one row per language."""
     c = [F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
 
     def d(k, default):
-        value = k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")
+        value = k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}"))
         return F.when((F.col(f"n{k}") > 0) & (F.col("n1") > 0), F.least(F.greatest(value, F.lit(0.05)), F.lit(float(k)))
                       ).otherwise(F.lit(default)).alias(f"d{k}")
 

@@ -123,7 +123,7 @@ places AS (
   SELECT row, size, s, array_to_string(w[s:s + size - 1], ' ') AS key FROM (
     SELECT row, w, size, unnest(generate_series(1, len(w) - size + 1)) AS s FROM docs, (SELECT DISTINCT size FROM windows))),
 found AS (SELECT row, s, p.size, item_id FROM places p JOIN windows v ON p.key = v.key AND p.size = v.size),
-hits AS (SELECT row, count(DISTINCT at) AS n FROM (SELECT row, unnest(generate_series(s, s + size - 1)) AS at FROM found) GROUP BY row),
+hits AS (SELECT row, count(DISTINCT place) AS n FROM (SELECT row, unnest(generate_series(s, s + size - 1)) AS place FROM found) GROUP BY row),
 named AS (
   SELECT row, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names
   FROM (SELECT DISTINCT row, item_id::VARCHAR AS item FROM found) GROUP BY row)

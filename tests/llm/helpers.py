@@ -20,7 +20,7 @@ def docs_frame(spark, rows):
 
 
 def duck_matches(df, sql, **tables):
-    """Whether a Spark result equals the SQL's over the given pandas tables."""
+    """Whether a Spark result equals the SQL's over the given Arrow tables."""
     con = duckdb.connect()
     for name, t in tables.items():
         con.register(f"_{name}", t)

@@ -27,7 +27,7 @@ def _mixed(docs):
 
 def test_mix_equals_sql(spark):
     docs = _sources(spark)
-    duck_matches(_mixed(docs), ORACLE_SQL["op3_mixing"], documents=docs.toPandas())
+    duck_matches(_mixed(docs), ORACLE_SQL["op3_mixing"], documents=docs.toArrow())
     duck_sf_matches(_mixed(sf_table(spark, "documents")), ORACLE_SQL["op3_mixing"], "documents")
 
 
@@ -91,7 +91,7 @@ def _urls():
 def test_url_verdicts_equal_sql(spark):
     pages = spark.createDataFrame(_urls(), "page_id long, url string").withColumn("host", F.lit("clash"))
     out = url_filter.judge(pages)
-    duck_matches(out, ORACLE_SQL["op4_url_filter"], pages=pages.toPandas())
+    duck_matches(out, ORACLE_SQL["op4_url_filter"], pages=pages.toArrow())
     assert {r["verdict"] for r in out.select("verdict").distinct().collect()} == {"allow", "block"}
     duck_sf_matches(url_filter.judge(sf_table(spark, "pages")), ORACLE_SQL["op4_url_filter"], "pages")
     assert url_filter.judge(pages.limit(0)).count() == 0
@@ -182,7 +182,7 @@ def test_contamination_equals_brute_force_and_sql(spark):
     want = brute_contamination([(r["doc_id"], r["text"]) for r in d.collect()], items)
     out = decontamination.contamination(d, b).select(*COLS)
     assert sorted((tuple(r) for r in out.collect()), key=str) == want
-    duck_matches(out, ORACLE_SQL["op10_decontamination"], documents=d.toPandas(), benchmark=b.toPandas())
+    duck_matches(out, ORACLE_SQL["op10_decontamination"], documents=d.toArrow(), benchmark=b.toArrow())
     duck_sf_matches(decontamination.contamination(sf_table(spark, "documents"), sf_table(spark, "benchmark")).select(*COLS),
                     ORACLE_SQL["op10_decontamination"], "documents", "benchmark")
     left = decontamination.drop_contaminated(d, b)
