@@ -29,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custlens.llm import textkernel as tk
-from custlens.llm.common import held_out, persisted
+from custlens.llm.common import held_out, persisted, sample_by_hash
 
 MAX_FIT_DOCS = 1500
 FIT_CHARS = 3000       # characters of a sampled document that segments are drawn from
 FEATURE_BITS = 16
 LEXICON_BITS = 18
 CHUNK = 128
+SLICE = 2 << 20        # text bytes handled at once: chains of many documents share their steps
 UNKNOWN = "und"
 
 _U = np.uint64
@@ -315,10 +316,7 @@ def fit(docs: DataFrame, max_fit_docs: int = MAX_FIT_DOCS) -> Field | None:
     share -= share.mean(axis=1, keepdims=True)
     field = Field(langs, share.astype(np.float32), np.zeros((1 << FEATURE_BITS, len(langs)), np.float32), 1.0,
                   np.zeros(len(langs)), np.eye(len(langs)))
-    sample = (
-        train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_docs)
-        .select(F.substring("text", 1, FIT_CHARS).alias("text"), "lang").toArrow()
-    )
+    sample = sample_by_hash(train, max_fit_docs, F.substring("text", 1, FIT_CHARS).alias("text"), "lang").toArrow()
     w = split_words(sample["text"].combine_chunks())
     if len(w.of):
         _train(field, w, np.array([langs.index(l) for l in sample["lang"].to_pylist()]))
@@ -346,4 +344,4 @@ def identify(docs: DataFrame, field: Field | None = None) -> DataFrame:
             [batch.column("doc_id"), batch.column("held_out"), pa.array(names), pa.array(np.where(known, score, 0.0))],
             names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return rows.mapInArrow(tk.map_slices(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tk.map_slices(run, limit=SLICE), f"doc_id {kind}, held_out boolean, lang_pred string, score double")

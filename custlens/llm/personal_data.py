@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custlens.llm import textkernel as tk
-from custlens.llm.common import held_out
+from custlens.llm.common import held_out, sample_by_hash
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_FIT_DOCS = 400
@@ -347,11 +347,8 @@ def fit(docs: DataFrame, max_fit_docs: int = MAX_FIT_DOCS) -> Tagger | None:
     characters to training (prediction reads whole texts).
     """
     near = F.greatest(F.regexp_instr("text", F.lit(r"[0-9]{3}|@")) - 2000, F.lit(1))
-    sample = (
-        docs.select("doc_id", "text").where(~held_out(F.col("doc_id")) & F.col("text").rlike(r"[0-9]{3}|@"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_docs)
-        .select(F.substring("text", near, F.lit(4000)).alias("text"))
-    )
+    marked = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")) & F.col("text").rlike(r"[0-9]{3}|@"))
+    sample = sample_by_hash(marked, max_fit_docs, F.substring("text", near, F.lit(4000)).alias("text"))
     ids, y = training_windows(sorted(r["text"] for r in sample.collect()))
     if not (y > 0).any():
         return None
@@ -473,6 +470,10 @@ def mask(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
         new = [t if not s else cover(t, s) for t, (_, s) in zip(texts, all_spans(texts, shared.value))]
+        for i, (old, t) in enumerate(zip(texts, new)):
+            # A span that is gone may have hidden another (digits of an address before a card).
+            while t is not old and (left := base_spans(t)):
+                t = new[i] = cover(t, left)
         cols = {n: batch.column(n) for n in batch.schema.names}
         cols["text"] = pa.array(new, pa.string())
         return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custlens.llm import textkernel as tk
-from custlens.llm.common import persisted
+from custlens.llm.common import sample_by_hash
 
 MAX_FIT_DOCS = 2000
 BITS = 16
@@ -236,7 +236,7 @@ def fit(docs: DataFrame, max_fit_docs: int = MAX_FIT_DOCS) -> QualityModel:
     if not len(code):
         return QualityModel(LabelModel(0.85, np.full((2, len(LABELLERS), 3), 1 / 3)), np.zeros(1 << BITS), 0.0)
     labels = expectation_maximisation(unpack(code), table["n"].to_numpy().astype(np.float64))
-    sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_docs).select("text").toArrow()
+    sample = sample_by_hash(docs.select("doc_id", "text"), max_fit_docs, "text").toArrow()
     texts = sample["text"].combine_chunks()
     parts, bounds, targets, base = [], [np.zeros(1, np.int64)], [], 0
     for a, b in tk.slices(texts):
