@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 # Documents are handled in slices of about this many text bytes (a longer document
 # is a slice of its own), which bounds the memory of the intermediate arrays.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _U = np.uint64
 _WORD_BASE = _U(0x9E3779B97F4A7C15)

@@ -10,8 +10,8 @@ log-count ratios.
   sizes, so an unseen or rare bucket has a ratio near 0.
 * Classifier: logistic regression on ``ratio * presence``, fitted on a sample of at
   most ``max_fit_docs`` labelled documents (the ones with the least hashed ids, half
-  of each class where there are enough) with equal class weights; the intercept is then
-  moved to the odds of the labels, of which all are counted.
+  of each class where there are enough) with equal class weights, so that a score of
+  0.5 weighs both kinds of error alike.
 
 Special rows: a null or empty text has no feature and gets the intercept's score; a
 text shorter than three characters likewise; repeated rows are scored each; without any
@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custlens.llm import textkernel as tk
-from custlens.llm.common import held_out, persisted
+from custlens.llm.common import broadcast_if_small, held_out, persisted
 
 BITS = 18
 ORDERS = (3, 4, 5)
-MAX_FIT_DOCS = 3000
+MAX_FIT_DOCS = 2000
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -97,37 +97,51 @@ class ToxicityModel:
 
 
 def _fit_linear(bucket, offs, y, ratio, l2=1e-4, rounds=60):
-    """Logistic regression on ratio-scaled presence features, by accelerated gradient steps."""
-    used, col = np.unique(bucket, return_inverse=True)
-    x = ratio[used][col].astype(np.float64)
+    """Logistic regression on ratio-scaled presence features."""
     n = len(y)
-    row = np.repeat(np.arange(n), np.diff(offs))
     share = max(y.mean(), 1e-6)
-    sample_weight = np.where(y == 1, 0.5 / share, 0.5 / max(1 - share, 1e-6))
-    w, b = np.ones(len(used)), 0.0
-    # Start from the naive Bayes direction, scaled to unit spread.
-    z = np.bincount(row, weights=x * w[col], minlength=n)
-    scale = 1.0 / (z.std() + 1e-9)
-    w *= scale
-    square_w, square_b = np.full(len(used), 1e-8), 1e-8
-    for _ in range(rounds):
-        z = np.bincount(row, weights=x * w[col], minlength=n) + b
-        error = sample_weight * (1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        grad = np.bincount(col, weights=x * error[row], minlength=len(used)) + l2 * w
-        grad_b = error.sum()
-        square_w += grad * grad
-        square_b += grad_b * grad_b
-        w -= 0.1 * grad / np.sqrt(square_w)
-        b -= 0.1 * grad_b / np.sqrt(square_b)
-    full = np.zeros(1 << BITS)
-    full[used] = w * ratio[used]
-    return full, b
+    sample_weight = np.where(y == 1, 0.5 / share, 0.5 / max(1 - share, 1e-6)) / n
+
+    # Documents go through in small parts, so that temporary arrays stay small.
+    parts = [(a, min(a + 100, n)) for a in range(0, n, 100)]
+
+    def scores(w):
+        scaled = (w * ratio).astype(np.float32)
+        return np.concatenate([
+            tk.per_doc_sum(scaled[bucket[offs[a]: offs[b]]], offs[a: b + 1] - offs[a]) for a, b in parts])
+
+    def pull(row_values):
+        total = np.zeros(1 << BITS)
+        for a, b in parts:
+            weights = np.repeat(row_values[a:b], np.diff(offs[a: b + 1]))
+            total += np.bincount(bucket[offs[a]: offs[b]], weights=weights, minlength=1 << BITS)
+        return total * ratio
+
+    # The loss bends at most by a quarter of the largest eigenvalue, found by power iteration.
+    v = pull(sample_weight)
+    for _ in range(6):
+        v = pull(sample_weight * scores(v / (np.linalg.norm(v) + 1e-12)))
+    step = 1.0 / (0.25 * np.linalg.norm(v) + l2 + 1e-12)
+    # Accelerated gradient steps: strong, frequent features move first, so that features
+    # of single documents are not learnt by heart.
+    w, b = np.zeros(1 << BITS), 0.0
+    ahead, ahead_b = w, b
+    for k in range(rounds):
+        error = sample_weight * (1.0 / (1.0 + np.exp(-np.clip(scores(ahead) + ahead_b, -30, 30))) - y)
+        new = ahead - step * (pull(error) + l2 * ahead)
+        new_b = ahead_b - 2.0 * error.sum()
+        ahead = new + k / (k + 3.0) * (new - w)
+        ahead_b = new_b + k / (k + 3.0) * (new_b - b)
+        w, b = new, new_b
+    seen = np.bincount(bucket, minlength=1 << BITS) > 0
+    return np.where(seen, w * ratio, 0.0), b
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = MAX_FIT_DOCS) -> ToxicityModel:
     """Fit on the labelled documents that are not held out."""
-    marked = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
-    train = docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))).join(marked, "doc_id")
+    marked = persisted(labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id")
+                       .agg((F.max("toxic") == 1).alias("toxic")).where(~held_out(F.col("doc_id"))))
+    train = docs.select("doc_id", "text").join(broadcast_if_small(marked), "doc_id")
     # Bounded: 2^BITS rows at most.
     counted = (
         train.select("toxic", "text").mapInArrow(_count_features, "bucket long, toxic long, clean long")
@@ -152,11 +166,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = MAX_FIT_DOCS) ->
         (counts[0] + 2.0 * n_clean / total) / (n_clean + 2.0 * n_clean / total))
     order = F.xxhash64("doc_id")
     half = max_fit_docs // 2
+    # Ids first, so that only the sampled texts move.
+    known = docs.select("doc_id").join(broadcast_if_small(marked), "doc_id")
+    chosen = (
+        known.where("toxic").orderBy(order, "doc_id").limit(half)
+        .unionByName(known.where("NOT toxic").orderBy(order, "doc_id").limit(half)).distinct()
+    )
     sample = (
-        train.where("toxic").orderBy(order, "doc_id").limit(half)
-        .unionByName(train.where("NOT toxic").orderBy(order, "doc_id").limit(half))
-        .select("text", "toxic").toArrow()
+        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_fit_docs rows
+        .orderBy(order, "doc_id").select("text", "toxic").toArrow()
     )
+    del table
     y = sample["toxic"].to_numpy().astype(np.float64)
     parts, base, bounds = [], 0, [np.zeros(1, np.int64)]
     texts = sample["text"].combine_chunks()
@@ -164,13 +184,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = MAX_FIT_DOCS) ->
         bucket, offs = features(texts.slice(a, b - a))
         keep = np.abs(ratio[bucket]) > 0.05  # what carries no evidence keeps weight 0
         kept = np.concatenate([[0], np.cumsum(keep)])
-        parts.append(bucket[keep])
+        parts.append(bucket[keep].astype(np.int32))
         bounds.append(kept[offs[1:]] + base)
         base += int(keep.sum())
     if not len(y) or y.min() == y.max() or not base:
         return flat
     weights, intercept = _fit_linear(np.concatenate(parts), np.concatenate(bounds), y, ratio)
-    return ToxicityModel(weights.astype(np.float32), float(intercept + np.log(prior / (1 - prior))))
+    return ToxicityModel(weights.astype(np.float32), float(intercept))
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
