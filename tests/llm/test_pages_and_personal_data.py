@@ -69,12 +69,12 @@ def tagged(spark):
         for _ in range(rng.randint(0, 3)):
             w.insert(rng.randrange(len(w)), one())
         rows.append((i, " ".join(w)))
-    return docs_frame(spark, rows), rows
+    docs = docs_frame(spark, rows)
+    return docs, rows, pii.fit(docs, 200)
 
 
 def test_tagger_finds_spans_on_its_own(spark, tagged):
-    docs, rows = tagged
-    tagger = pii.fit(docs, 200)
+    docs, rows, tagger = tagged
     texts = [t for _, t in rows]
     found = pii.tag(tagger, texts)
     want = [set(pii.base_spans(t)) for t in texts]
@@ -108,8 +108,8 @@ def test_gradients():
 
 
 def test_rows_and_masks(spark, tagged):
-    docs, rows = tagged
-    out = {r["doc_id"]: r for r in pii.personal_data(docs).collect()}
+    docs, rows, tagger = tagged
+    out = {r["doc_id"]: r for r in pii.personal_data(docs, tagger).collect()}
     import hashlib
 
     for i, t in rows:
@@ -118,7 +118,7 @@ def test_rows_and_masks(spark, tagged):
         assert out[i]["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
         assert set(text.split(",")) - {""} <= set(out[i]["spans"].split(","))
         assert out[i]["n_ip"] == sum(k == "ip" for _, _, k in base)
-    masked = pii.mask(docs)
+    masked = pii.mask(docs, tagger)
     assert masked.columns == docs.columns and masked.count() == len(rows)
     for r in masked.collect():
         assert not brute_spans(r["text"]) and r["n_chars"] == len(r["text"])
