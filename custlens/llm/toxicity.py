@@ -32,7 +32,7 @@ from custlens.llm.common import broadcast_if_small, held_out, persisted
 
 BITS = 18
 ORDERS = (3, 4, 5)
-MAX_FIT_DOCS = 2000
+MAX_FIT_DOCS = 1200
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +189,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = MAX_FIT_DOCS) ->
         base += int(keep.sum())
     if not len(y) or y.min() == y.max() or not base:
         return flat
-    weights, intercept = _fit_linear(np.concatenate(parts), np.concatenate(bounds), y, ratio)
+    buckets = np.concatenate(parts)
+    del parts, texts, sample
+    weights, intercept = _fit_linear(buckets, np.concatenate(bounds), y, ratio)
     return ToxicityModel(weights.astype(np.float32), float(intercept))
 
 
