@@ -51,7 +51,7 @@ REFINEMENT_ROWS = 8
 # Bucket representatives follow this many independent document orders, and after the
 # first level there are this many of them in a bucket.
 ORDERS = 3
-LATER_REPS = 4
+LATER_REPS = 3
 
 _U = np.uint64
 _LOW48 = _U((1 << 48) - 1)
@@ -249,7 +249,8 @@ def _mixed_buckets(buckets: DataFrame, n_reps: int) -> DataFrame:
     reps = (
         buckets.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
                                    F.array_distinct(F.array(*[least(j) for j in range(n_reps)])).alias("reps"))
-        .where("lo <> hi").select("key", "reps")
+        .where("lo <> hi")
+        .select("key", F.transform("reps", lambda r: F.struct(r["node"], r["size"], r["root"])).alias("reps"))
     )
     return buckets.join(reps, "key")
 
@@ -284,6 +285,13 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(state.selectExpr("lo as node", "lo as root").distinct())
 
 
+def _broadcast_if_light(grams: DataFrame, max_bytes: int = 16 << 20) -> DataFrame:
+    """The shingle multisets, to be broadcast if they measure at most ``max_bytes``; else
+    they are shuffled to their pairs."""
+    size = grams.agg(F.sum(F.length("grams") + 16)).first()[0] or 0
+    return F.broadcast(grams) if size <= max_bytes else grams
+
+
 def _verified(pairs: DataFrame, grams: DataFrame, min_similarity: float) -> DataFrame:
     """(a, b, similar) for pairs (a, b) of nodes."""
     both = (
@@ -323,10 +331,12 @@ def find_links(docs: DataFrame, signed: DataFrame, min_similarity: float = MIN_S
             texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("rid")), "left_semi")
             grams = persisted(texts.mapInArrow(tk.map_slices(_multiset_batch), "node long, grams binary")
                               .join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-        fits = F.least("size", "r.size") >= min_similarity * F.greatest("size", "r.size")
+            grams = _broadcast_if_light(grams)
+        # Representatives of another class whose size allows the similarity.
+        apt = F.filter("reps", lambda r: (r["root"] != F.col("root")) & (
+            F.least("size", r["size"]) >= min_similarity * F.greatest("size", r["size"])))
         fresh = (
-            mixed.select("node", "size", "root", F.explode("reps").alias("r")).where(F.col("root") != F.col("r.root"))
-            .where(fits).select(F.least("node", "r.node").alias("a"), F.greatest("node", "r.node").alias("b")).distinct()
+            mixed.select("node", F.explode(apt).alias("r")).select(F.least("node", "r.node").alias("a"), F.greatest("node", "r.node").alias("b")).distinct()
         )
         if tested is not None:
             fresh = fresh.join(tested, ["a", "b"], "left_anti")
