@@ -33,7 +33,7 @@ def test_stages_act_on_planted_rows(spark, scratch):
     near = docs[2][1].split()
     near[0] = "changed"
     docs += [(500, " ".join(near), "en", "s2", 0), (501, docs[3][1], "en", "s3", 0),
-             (502, docs[4][1] + " mail abc.def@example.com now", "en", "s0", 0)]
+             (502, " ".join(word() for _ in range(40)) + " mail abc.def@example.com now", "en", "s0", 0)]
     docs = [(*d[:4], len(d[1])) for d in docs]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(docs, schema).write.parquet(f"{scratch}/documents.parquet")
