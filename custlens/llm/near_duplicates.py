@@ -22,6 +22,11 @@ components of the links.
   alternative ways, and representatives are then taken from the smallest classes.  So
   a common passage that fills one bucket with unlike texts, or a large group of texts
   around the threshold, neither hides a link nor causes all pairs.
+* Rest.  Texts in buckets of three or more that still hold more than one class go through an
+  exact join: a text's tokens (shingle, occurrence) are put in one global order, by
+  counted frequency, and two texts at 0.8 share a token among the first
+  ``n - ceil(0.8 n) + 1`` of each.  Only classes that share such a token meet, and sizes
+  and places bound the pairs; so no pair that meets in a bucket is lost to the splits.
 * Check.  Each candidate pair is verified on the full shingle multisets.
 
 Results for special rows: texts without a word (null, empty, punctuation only) form
@@ -52,6 +57,8 @@ REFINEMENT_ROWS = 8
 # first level there are this many of them in a bucket.
 ORDERS = 3
 LATER_REPS = 3
+# Token frequencies are counted in this many buckets; they only order the tokens.
+FREQUENCY_BITS = 20
 
 _U = np.uint64
 _LOW48 = _U((1 << 48) - 1)
@@ -301,6 +308,90 @@ def _verified(pairs: DataFrame, grams: DataFrame, min_similarity: float) -> Data
     return both.mapInArrow(_verify_batches(min_similarity), "a long, b long, similar boolean")
 
 
+def _count_grams(batches):
+    """Per task: how many texts have a shingle in each frequency bucket."""
+    counts = np.zeros(1 << FREQUENCY_BITS, np.int64)
+    for batch in batches:
+        for blob in batch.column("grams"):
+            values = np.frombuffer(blob.as_buffer(), np.uint32) >> np.uint32(32 - FREQUENCY_BITS)
+            counts[values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values] += 1
+    seen = np.flatnonzero(counts)
+    for a in range(0, len(seen), 65536):
+        yield pa.RecordBatch.from_arrays([pa.array(seen[a: a + 65536]), pa.array(counts[seen[a: a + 65536]])],
+                                         names=["bucket", "n"])
+
+
+def prefix(grams: np.ndarray, frequency: np.ndarray, min_similarity: float) -> np.ndarray:
+    """The tokens (shingle << 32 | occurrence) that one of two similar texts must share:
+    the first of the sorted multiset ``grams`` in the order (frequency, shingle, occurrence)."""
+    n = len(grams)
+    take = n - math.ceil(min_similarity * n - 1e-9) + 1
+    head = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    occurrence = np.arange(n) - np.repeat(head, np.diff(np.concatenate([head, [n]])))
+    order = np.argsort(frequency[grams >> np.uint32(32 - FREQUENCY_BITS)], kind="stable")[:take]
+    return (grams[order].astype(np.uint64) << _U(32) | occurrence[order].astype(np.uint64)).view(np.int64)
+
+
+def _prefix_batches(shared, min_similarity: float):
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                tokens = [prefix(np.frombuffer(g.as_buffer(), np.uint32), shared.value, min_similarity)
+                          for g in part.column("grams")]
+                counts = np.array([len(t) for t in tokens])
+                at = pa.array(np.repeat(np.arange(part.num_rows), counts))
+                place = np.concatenate([np.arange(c) for c in counts])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(tokens)), *(part.column(c).take(at) for c in ("node", "root", "size")),
+                     pa.array(place)], names=["token", "node", "root", "size", "place"])
+
+    return run
+
+
+def _remaining_pairs(nodes: DataFrame, classes: DataFrame, grams: DataFrame, min_similarity: float) -> DataFrame:
+    """Pairs (a, b) of different classes that can be similar, among the members of buckets
+    that still hold more than one class."""
+    owned = nodes.join(classes.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keys = F.explode(F.array(*[_band_key(i) for i in range(BANDS)])).alias("key")
+    spread = owned.select("node", "size", "root", keys)
+    # Two members have met: one of them represented the bucket.
+    still = (spread.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"))
+             .where("lo <> hi AND m > 2").select("key"))
+    members = spread.join(broadcast_if_small(persisted(still)), "key", "left_semi").select("node", "size", "root").distinct()
+    texts = persisted(grams.join(members, "node"))
+    counted = texts.select("grams").mapInArrow(_count_grams, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    table = counted.toArrow()  # 2^FREQUENCY_BITS rows at most
+    frequency = np.zeros(1 << FREQUENCY_BITS, np.int64)
+    frequency[table["bucket"].to_numpy()] = table["n"].to_numpy()
+    shared = nodes.sparkSession.sparkContext.broadcast(frequency)
+    tokens = persisted(texts.mapInArrow(
+        _prefix_batches(shared, min_similarity), "token long, node long, root long, size long, place long"))
+    split = tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    tokens = persisted(tokens.join(broadcast_if_small(persisted(split)), "token", "left_semi")
+                       .withColumn("after", F.col("size") - F.col("place") - 1))
+
+    def can(a, b):
+        """Whether sizes and places (of texts, or the widest of classes) allow the similarity."""
+        both = F.least(a["place"], b["place"]) + 1 + F.least(a["after"], b["after"])
+        return (F.least(a["most"], b["most"]) >= min_similarity * F.greatest(a["size"], b["size"])) & (
+            both * (1 + min_similarity) + 1e-6 >= min_similarity * (a["size"] + b["size"]))
+
+    # Classes meet first, so a large class costs nothing where it is alone.
+    groups = persisted(tokens.groupBy("token", "root").agg(
+        F.min("size").alias("size"), F.max("size").alias("most"), F.max("place").alias("place"), F.max("after").alias("after")))
+    x, y = groups.alias("x"), groups.alias("y")
+    fields = ("size", "most", "place", "after")
+    left, right = ({c: F.col(f"{t}.{c}") for c in fields} for t in "xy")
+    meet = persisted(x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & can(left, right))
+                     .select("x.token", F.col("x.root").alias("root"), F.col("y.root").alias("other")))
+    tokens = tokens.withColumn("most", F.col("size"))
+    one = persisted(tokens.join(broadcast_if_small(meet), ["token", "root"]))
+    x, y = broadcast_if_small(one).alias("x"), tokens.alias("y")
+    met = y.join(x, (F.col("x.token") == F.col("y.token")) & (F.col("x.other") == F.col("y.root")) & can(left, right))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def find_links(docs: DataFrame, signed: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """Verified links (a, b) between nodes (distinct texts)."""
     reps = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rid"))
@@ -361,6 +452,8 @@ def find_links(docs: DataFrame, signed: DataFrame, min_similarity: float = MIN_S
         level += 1
     if tested is None:
         return docs.sparkSession.createDataFrame([], "a long, b long")
+    fresh = _remaining_pairs(nodes, classes, grams, min_similarity).join(tested, ["a", "b"], "left_anti")
+    tested = tested.unionByName(persisted(_verified(persisted(fresh), grams, min_similarity)))
     return tested.where("similar").select("a", "b")
 
 

@@ -121,3 +121,33 @@ def test_large_groups_of_copies_and_odd_rows(spark):
     kept = nd.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     assert kept.where("doc_id >= 100").count() == 1
+
+
+def test_pairs_that_every_split_separates_are_found(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BAND_ROWS", 1)  # large mixed buckets
+    monkeypatch.setattr(nd, "REFINEMENTS", 1)
+    monkeypatch.setattr(nd, "REFINEMENT_ROWS", 60)  # splits that part every pair short of a copy
+    rng = random.Random(11)
+    blocks = [[f"b{i}w{j}" for j in range(12)] for i in range(40)]
+    text = lambda chosen: " ".join(w for i in sorted(chosen) for w in blocks[i])
+    rows = []
+    for i in range(100):  # texts of 30 of 40 blocks, each with one where a block is another
+        own = rng.sample(range(40), 30)
+        rest = [b for b in range(40) if b not in own]
+        rows += [(2 * i, text(own)), (2 * i + 1, text(own[:29] + rest[:1]))]
+    want = brute_classes(rows)
+    got = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(docs_frame(spark, rows)).collect()}
+    assert 20 < len(set(want.values())) < 150
+    assert got == want
+
+
+def test_similar_texts_share_a_prefix_token():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.integers(1, 60))
+        a = rng.integers(0, 40, n).astype(np.uint32) << np.uint32(20)
+        b = np.where(rng.random(n) < 0.1, rng.integers(0, 40, n).astype(np.uint32) << np.uint32(20), a)
+        a, b = np.sort(a), np.sort(b)
+        frequency = rng.integers(0, 5, 1 << nd.FREQUENCY_BITS)
+        if nd.weighted_jaccard(a, b) >= 0.8:
+            assert set(nd.prefix(a, frequency, 0.8)) & set(nd.prefix(b, frequency, 0.8))
