@@ -32,7 +32,8 @@ components of the links.
 Results for special rows: texts without a word (null, empty, punctuation only) form
 a class of their own each; equal shingle sequences form one node, so copies are
 linked without pairs; a null ``doc_id`` is kept as a row; repeated rows come out as
-often as they came in.
+often as they came in.  Exactly one row of a class is kept, the first by (doc_id, nulls
+last, row number), also where ids are null, repeated or shared with another class.
 """
 
 from __future__ import annotations
@@ -157,7 +158,7 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_docs:
 
 
 def _signature_batch(coords: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("_row", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("sig", pa.binary())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         doc, shingle, counts, content = _shingles(batch.column("text"))
@@ -177,16 +178,17 @@ def _signature_batch(coords: int):
         none = counts == 0
         sigs = [None if none[i] else sig[i].tobytes() for i in range(n_docs)]
         node = pa.array(content.view(np.int64), mask=none)
+        row = batch.column("_row") if "_row" in batch.schema.names else pa.nulls(n_docs, pa.int64())
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), node, pa.array(counts), pa.array(sigs, pa.binary())], schema=schema)
+            [batch.column("doc_id").cast(pa.int64()), row, node, pa.array(counts), pa.array(sigs, pa.binary())], schema=schema)
 
     return run
 
 
 def sign(docs: DataFrame, coords: int = BANDS * BAND_ROWS) -> DataFrame:
-    """doc_id, node (content hash; null without words), size (shingles), sig (binary)."""
-    return docs.select("doc_id", "text").mapInArrow(
-        tk.map_slices(_signature_batch(coords)), "doc_id long, node long, size long, sig binary")
+    """doc_id, _row (if ``docs`` has it), node (content hash; null without words), size (shingles), sig (binary)."""
+    return docs.select("doc_id", "text", *[c for c in docs.columns if c == "_row"]).mapInArrow(
+        tk.map_slices(_signature_batch(coords)), "doc_id long, _row long, node long, size long, sig binary")
 
 
 def _multiset_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -457,34 +459,60 @@ def find_links(docs: DataFrame, signed: DataFrame, min_similarity: float = MIN_S
     return tested.where("similar").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """One row per input row: doc_id, class_id, class_size, n_links, keep.
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a number that tells rows of the same doc_id (or without one) apart.
 
-    ``class_id`` is the least doc_id of the class, ``class_size`` its number of rows,
-    ``n_links`` the verified links of the row's text to other texts, ``keep`` marks the
-    rows whose doc_id is the class's.
+    It is null where the doc_id is the row's alone; only the other rows are stored with theirs.
     """
+    shared = persisted(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL")
+                       .select(F.col("doc_id").alias("shared_id")))
+    if shared.isEmpty():
+        return docs.withColumn("_row", F.lit(None).cast("long"))
+    on = F.col("doc_id").eqNullSafe(F.col("shared_id"))
+    few = broadcast_if_small(shared)
+    numbered = persisted(docs.join(few, on, "left_semi").withColumn("_row", F.monotonically_increasing_id()))
+    return docs.join(few, on, "left_anti").withColumn("_row", F.lit(None).cast("long")).unionByName(numbered)
+
+
+def _classed(docs: DataFrame, min_similarity: float) -> DataFrame:
+    """doc_id, _row, class_id, class_size, n_links, keep per row of numbered ``docs``."""
     signed = persisted(sign(docs))
     links = persisted(find_links(docs, signed, min_similarity))
     degree = (
         links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     )
     roots = persisted(components(links).join(degree, "node", "left"))
-    rows = signed.select("doc_id", "node").join(roots, "node", "left")
+    rows = signed.select("doc_id", "_row", "node").join(roots, "node", "left")
     # A text without words is alone: its key is its own row.
     own = F.struct(F.coalesce("root", "node").alias("root"),
                    F.when(F.col("node").isNull(), F.monotonically_increasing_id()).alias("alone"))
-    rows = persisted(rows.select("doc_id", own.alias("k"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-                     .select("doc_id", "k.root", "k.alone", "n_links"))
+    rows = persisted(rows.select("doc_id", "_row", own.alias("k"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+                     .select("doc_id", "_row", "k.root", "k.alone", "n_links"))
     with_words = rows.where("alone IS NULL")
-    classes = with_words.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    joined = with_words.join(classes, "root").select("doc_id", "class_id", "class_size", "n_links")
-    alone = rows.where("alone IS NOT NULL").select("doc_id", F.col("doc_id").alias("class_id"),
-                                                   F.lit(1).cast("long").alias("class_size"), "n_links")
-    return joined.unionByName(alone).withColumn("keep", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
+    classes = with_words.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("class_size"))
+    joined = with_words.join(classes, "root").select(
+        "doc_id", "_row", F.col("first.doc_id").alias("class_id"), "class_size", "n_links",
+        place.eqNullSafe(F.col("first")).alias("keep"))
+    alone = rows.where("alone IS NOT NULL").select("doc_id", "_row", F.col("doc_id").alias("class_id"),
+                                                   F.lit(1).cast("long").alias("class_size"), "n_links", F.lit(True).alias("keep"))
+    return joined.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """One row per input row: doc_id, class_id, class_size, n_links, keep.
+
+    ``class_id`` is the least doc_id of the class, ``class_size`` its number of rows,
+    ``n_links`` the verified links of the row's text to other texts among the pairs that
+    were tested, ``keep`` marks the one row of the class that stays.
+    """
+    return _classed(_numbered(docs.select("doc_id", "text")), min_similarity).drop("_row")
 
 
 def drop_near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """``docs`` without the documents whose class has a smaller doc_id."""
-    gone = persisted(near_duplicates(docs, min_similarity).where("NOT keep AND doc_id IS NOT NULL").select("doc_id").distinct())
-    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti")
+    """``docs`` with one row of each class: the first by (doc_id, nulls last, row number)."""
+    rows = _numbered(docs)
+    gone = persisted(_classed(rows, min_similarity).where("NOT keep")
+                     .select(F.col("doc_id").alias("gone_id"), F.col("_row").alias("gone_row")))
+    here = F.col("doc_id").eqNullSafe(F.col("gone_id")) & F.col("_row").eqNullSafe(F.col("gone_row"))
+    return rows.join(broadcast_if_small(gone), here, "left_anti").select(*docs.columns)

@@ -151,3 +151,13 @@ def test_similar_texts_share_a_prefix_token():
         frequency = rng.integers(0, 5, 1 << nd.FREQUENCY_BITS)
         if nd.weighted_jaccard(a, b) >= 0.8:
             assert set(nd.prefix(a, frequency, 0.8)) & set(nd.prefix(b, frequency, 0.8))
+
+
+def test_one_row_of_each_class_stays_whatever_the_ids(spark):
+    copy, clean = "one two three four five six seven eight", "a quite different text that nobody else has"
+    other = "yet another text of several words is here"
+    rows = [(1, copy), (5, copy), (5, clean), (None, copy), (None, other), (None, other), (7, "same row"), (7, "same row")]
+    kept = nd.drop_near_duplicates(docs_frame(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted(
+        [("1", copy), ("5", clean), ("None", other), ("7", "same row")])
+    assert sum(r["keep"] for r in nd.near_duplicates(docs_frame(spark, rows)).collect()) == 4
