@@ -11,7 +11,10 @@ same kind of root and its fused ratio reaches a share of the best.
 
 Boilerplate is never content: scripts, styles, heads, forms, navigation, asides,
 footers, page headers, hidden parts, and elements whose class, id or role names a menu,
-banner, notice, advert, comment section or the like.
+banner, notice, advert, comment section or the like.  A whole class, id or role has to
+name it (``menu``, ``site-nav``), not a state of the page (``has-sidebar``,
+``menu-open``).  Names do not mark what holds an article or main or most of the page's
+fused text, nor headers inside an article or main.
 
 White space inside a block becomes one space; blocks (cut at block-level tags and line
 breaks) are trimmed and joined in page order by one space; character references are
@@ -49,6 +52,13 @@ BOILER_WORDS = frozenset(
     "modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted "
     "promotion related recommended reply replies respond search share sharing sidebar sidenav signup skip social "
     "sponsor sponsored subscribe subscription toolbar widget".split())
+# First and last words of names that tell a state of the page (has-sidebar, menu-open).
+STATE_FIRST = frozenset("has have with without no not is hide hides show shows".split())
+STATE_LAST = frozenset("open opened closed active inactive enabled disabled visible collapsed expanded on off".split())
+# An article's own header is content.
+OWN_HEADS = frozenset(["header", "masthead"])
+# Raw elements that swallow the rest of a page if they are not closed.
+SWALLOWS = frozenset("script style title textarea".split())
 # A start tag on the left ends an open element on the right.
 ENDS = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
@@ -63,42 +73,52 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _PUNCT = re.compile(r"[.,;:!?…。，、！？；：]")
 
 
-def _marked(name: str, attrs: str, inside_content: bool) -> bool:
-    """Whether an element is boilerplate by its name or attributes."""
+def _marked(name: str, attrs: str, inside_content: bool) -> int:
+    """2: an element is boilerplate by its element name or hidden; 1: a name given to it says so; else 0."""
     if name in BOILER_TAGS or (name == "header" and not inside_content):
-        return True
+        return 2
     if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return False
+        return 0
+    named = 0
     for m in _MARK.finditer(attrs):
         key, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
         if key == "hidden" and m.group(2) is None or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return 2
         if key == "style":
             if "display:none" in value.replace(" ", "").lower():
-                return True
+                return 2
         elif key in ("class", "id", "role") and name not in ("html", "body"):
-            if not BOILER_WORDS.isdisjoint(w.lower() for w in _WORD.findall(value)):
-                return True
-    return False
+            for token in value.split():
+                words = [w.lower() for w in _WORD.findall(token)]
+                if not words or words[0] in STATE_FIRST or words[-1] in STATE_LAST:
+                    continue
+                ends = {words[0], words[-1]} - (OWN_HEADS if inside_content else frozenset())
+                if not BOILER_WORDS.isdisjoint(ends):
+                    named = 1
+    return named
 
 
 def text_nodes(page: str) -> list[tuple[int, str, tuple[str, ...], bool]]:
     """(block number, text, tag path, boilerplate) of every text node, in page order."""
     nodes = []
-    stack: list[tuple[str, bool]] = []   # element name, whether it or an ancestor is boilerplate
+    # Element name, whether it or an ancestor is boilerplate for certain, its nearest named element.
+    stack: list[tuple[str, bool, int]] = []
+    above_named: list[int] = []   # of each named element the next one above, or -1
+    articles: list[int] = []      # the nearest named element around each article and main
+    endless: set[str] = set()     # raw elements without an end tag from here on
     path: tuple[str, ...] = ()
     block, at, n = 0, 0, len(page)
 
     def add(a, b):
         if a < b:
-            nodes.append((block, page[a:b], path, bool(stack) and stack[-1][1]))
+            nodes.append((block, page[a:b], path, *(stack[-1][1:] if stack else (False, -1))))
 
     start = 0
     while True:
         at = page.find("<", at)
         if at < 0:
             add(start, n)
-            return nodes
+            return _resolved(nodes, above_named, articles)
         if page.startswith("<!--", at):
             end = page.find("-->", at + 4)
             add(start, at)
@@ -127,15 +147,20 @@ def text_nodes(page: str) -> list[tuple[int, str, tuple[str, ...], bool]]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
-                    path = tuple(e for e, _ in stack)
+                    path = tuple(e[0] for e in stack)
                     break
             continue
         if name in VOID:
             continue
         if name in RAW:
             if not attrs.rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = start = n if end is None else end.end()
+                end = None if name in endless else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                if end is not None:
+                    at = start = end.end()
+                elif name in SWALLOWS:
+                    at = start = n
+                else:
+                    endless.add(name)
             continue
         ends = ENDS.get(name, frozenset())
         if name in ENDS_PARAGRAPH:
@@ -148,10 +173,44 @@ def text_nodes(page: str) -> list[tuple[int, str, tuple[str, ...], bool]]:
                 break
         if attrs.rstrip().endswith("/") and name not in BLOCK:
             continue
-        content = any(e in ("article", "main") for e, _ in stack)
-        above = bool(stack) and stack[-1][1]
-        stack.append((name, above or _marked(name, attrs, content)))
-        path = tuple(e for e, _ in stack)
+        content = any(e[0] in ("article", "main") for e in stack)
+        _, certain, named = stack[-1] if stack else ("", False, -1)
+        mark = _marked(name, attrs, content)
+        if mark == 1:
+            above_named.append(named)
+            named = len(above_named) - 1
+        elif name in ("article", "main") and not mark and not certain:
+            articles.append(named)
+        stack.append((name, certain or mark == 2, named))
+        path = tuple(e[0] for e in stack)
+
+
+def _resolved(nodes, above_named: list[int], articles: list[int]) -> list[tuple[int, str, tuple[str, ...], bool]]:
+    """The nodes with their boilerplate flag.  A name counts, unless the page has no article or
+    main free of named elements and this one holds one, or, if the page has none at all, most
+    of the fused mass of the text."""
+    count = len(above_named)
+    drop = [True] * count
+    if count and -1 not in articles:
+        held = [0.0] * count
+        if articles:
+            for k in articles:
+                held[k] = 1.0
+            least = 0.0
+        else:
+            solid = [(" ".join(t.split()), p, k) for _, t, p, certain, k in nodes if not certain and not t.isspace()]
+            score = path_scores([(t, p) for t, p, _ in solid])
+            for t, p, k in solid:
+                if k >= 0:
+                    held[k] += len(t) * score[p]
+            least = 0.5 * sum(len(t) * score[p] for t, p, _ in solid)
+        for k in range(count - 1, -1, -1):
+            if above_named[k] >= 0:
+                held[above_named[k]] += held[k]
+        drop = [h <= least for h in held]
+        for k, up in enumerate(above_named):
+            drop[k] = drop[k] or up >= 0 and drop[up]
+    return [(b, t, p, certain or k >= 0 and drop[k]) for b, t, p, certain, k in nodes]
 
 
 def _root(path: tuple[str, ...]) -> tuple[str, ...]:

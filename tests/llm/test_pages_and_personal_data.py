@@ -165,6 +165,22 @@ def test_pages(page, want):
     assert hx.main_text(page) == want
 
 
+ARTICLE = f"<article><h1>Title</h1>{PARAGRAPHS}</article>"
+ARTICLE_TEXT = "Title One long sentence, with commas, and words. More of it follows here. Short."
+
+
+@pytest.mark.parametrize("page", [
+    *(f"<body><div class='{c}'>{ARTICLE}</div></body>"
+      for c in ("layout has-sidebar", "with-comments", "menu-open", "no-header", "promo wide", "comments")),
+    f"<body><div id='widget'><h1>Title</h1>{PARAGRAPHS}</div><div class='menu'>Home</div></body>",
+    f"<body><article><div class='entry-header'><h1>Title</h1></div>{PARAGRAPHS}</article></body>",
+    *(f"<body><{e} id=x>{ARTICLE}</body>" for e in ("svg", "math", "object", "canvas", "template", "select")),
+    f"<body>{ARTICLE}<div class='related-posts'><article><p>{'Another story, told at length. ' * 20}</p></article></div></body>",
+])
+def test_names_and_open_elements_do_not_hide_the_content(page):
+    assert hx.main_text(page) == ARTICLE_TEXT
+
+
 def test_broken_markup_and_empty_tables(spark):
     rng = random.Random(5)
     bits = ["<p>", "</p>", "<", ">", "<div class='", "\"", "<!--", "-->", "<script>", "</script>", "&amp;", "&", "word ", "<a href=\"x>", "<br/>"]
