@@ -9,10 +9,12 @@ Words are runs of characters other than the space and the control characters 9-1
   own discounts D1, D2, D3+ from its counts of counts, and backoff weights come from the
   contexts' numbers of once, twice and more often seen successors.  A 4-gram seen once
   is only known from the text being scored, so it counts as unseen there.
-* Storage: per order, sorted arrays of hash addresses with log probabilities and backoff
-  weights.  An address has at most 23 bits, so the model sent to the tasks has a proven
-  bound of about 100 MB whatever the corpus; n-grams that share an address share the
-  larger probability.  Tasks spread the arrays into direct tables.
+* Storage: sorted arrays of 64-bit hash keys, one entry per trigram (log probability, log
+  backoff weight) and per 4-gram that is known (what it adds to the backed-off value).
+  A character's log probability is the sum of its entries, so the model is cut by key
+  into as many shards of ``SHARD_ENTRIES`` as its counted n-grams need; every shard is
+  sent by itself and the texts' partial sums are added.  No n-gram is left out or
+  shares another's value.
 * Bands: a text's mean log probability is drawn towards its language's mean as if 200
   further characters had that mean, and a text is rejected when it leaves its language's
   quartiles by more than ``FENCE`` interquartile ranges on either side.
@@ -35,8 +37,10 @@ from custlens.llm import textkernel as tk
 from custlens.llm.common import persisted
 
 ORDER = 4
-CHAR_BITS = 15                     # code points from 32768 on are folded
-ADDRESS_BITS = (16, 18, 20, 23)    # of orders 1 to 4
+CHAR_BITS = 15                     # low bits of a character in ``gram``
+HIGH_BITS = 6                      # its other bits, in ``high``
+# Entries of the model that a task holds at once (16 bytes each).
+SHARD_ENTRIES = 4_000_000
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 REPEAT_WINDOW = 5
@@ -52,62 +56,69 @@ _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 _SPACE = " \t\n\x0b\x0c\r"
 
 
-def packed_ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The 4-gram that ends at each character, packed, and the document offsets."""
+def packed_ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 4-gram that ends at each character, packed (low and high bits), and the document offsets."""
     cps, offs = tk.code_points(texts)
     lens = np.diff(offs)
     n = len(lens)
-    # Three marks (0) before each text; characters are 1 + folded code point.
+    # Three marks (0) before each text; characters are 1 + code point.
     at = np.arange(len(cps)) + np.repeat((np.arange(n) + 1) * (ORDER - 1), lens)
     sym = np.zeros(len(cps) + n * (ORDER - 1), np.int64)
-    sym[at] = cps.astype(np.int64) % _MASK + 1
+    sym[at] = cps.astype(np.int64) + 1
     gram = np.zeros(len(cps), np.int64)
     for k in range(ORDER - 1, -1, -1):
-        gram = (gram << CHAR_BITS) | sym[at - k]
-    return gram, offs
+        gram = (gram << CHAR_BITS) | (sym[at - k] & _MASK)
+    high = np.zeros(len(cps), np.int64)
+    if len(cps) and int(sym.max()) > _MASK:
+        for k in range(ORDER - 1, -1, -1):
+            high = (high << HIGH_BITS) | (sym[at - k] >> CHAR_BITS)
+    return gram, high, offs
 
 
 def _count_batches(batches):
-    """Per task: (lang, gram, n) of its texts, combined per language."""
+    """Per task: (lang, high, gram, n) of its texts, combined per language and high bits."""
     held: dict = {}
 
     def emit():
-        for lang, (keys, counts) in held.items():
+        for (lang, high), (keys, counts) in held.items():
             for a in range(0, len(keys), 65536):
                 part = slice(a, a + 65536)
                 size = len(keys[part])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * size, pa.string()), pa.array(keys[part]), pa.array(counts[part])],
-                    names=["lang", "gram", "n"])
+                    [pa.array([lang] * size, pa.string()), pa.array(np.full(size, high)), pa.array(keys[part]), pa.array(counts[part])],
+                    names=["lang", "high", "gram", "n"])
         held.clear()
 
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), dtype=object)
         for a, b in tk.slices(batch.column("text")):
-            gram, offs = packed_ngrams(batch.column("text").slice(a, b - a))
+            gram, high, offs = packed_ngrams(batch.column("text").slice(a, b - a))
             names = {l: i for i, l in enumerate(dict.fromkeys(langs[a:b]))}
             of = np.repeat(np.array([names[l] for l in langs[a:b]], np.int64), np.diff(offs))
             for lang, i in names.items():
-                keys, counts = np.unique(gram[of == i] if len(names) > 1 else gram, return_counts=True)
-                if lang in held:
-                    both = np.concatenate([held[lang][0], keys])
-                    n = np.concatenate([held[lang][1], counts])
-                    order = np.argsort(both, kind="stable")
-                    both, n = both[order], n[order]
-                    head = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else []
-                    keys, counts = (both[head], np.add.reduceat(n, head)) if len(both) else (both, n)
-                held[lang] = (keys, counts)
+                mine = gram[of == i] if len(names) > 1 else gram
+                tops = high[of == i] if len(names) > 1 else high
+                for top in np.unique(tops).tolist():
+                    keys, counts = np.unique(mine[tops == top], return_counts=True)
+                    if (lang, top) in held:
+                        both = np.concatenate([held[lang, top][0], keys])
+                        n = np.concatenate([held[lang, top][1], counts])
+                        order = np.argsort(both, kind="stable")
+                        both, n = both[order], n[order]
+                        head = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+                        keys, counts = both[head], np.add.reduceat(n, head)
+                    held[lang, top] = (keys, counts)
             if sum(len(k) for k, _ in held.values()) > FLUSH:
                 yield from emit()
     yield from emit()
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n): all character 4-grams of all texts."""
+    """(lang, high, gram, n): all character 4-grams of all texts."""
     return (
         docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").mapInArrow(
-            _count_batches, "lang string, gram long, n long")
-        .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+            _count_batches, "lang string, high long, gram long, n long")
+        .groupBy("lang", "high", "gram").agg(F.sum("n").alias("n"))
     )
 
 
@@ -124,8 +135,19 @@ def _discounts(grams: DataFrame) -> DataFrame:
     return grams.groupBy("lang").agg(*c).select("lang", d(1, 0.5), d(2, 0.75), d(3, 0.9))
 
 
+def _last(order: int, high: str, gram: str):
+    """The last ``order`` characters of an n-gram, as columns of these names."""
+    return (F.col("high").bitwiseAND(F.lit((1 << (HIGH_BITS * order)) - 1)).alias(high),
+            F.col("gram").bitwiseAND(F.lit((1 << (CHAR_BITS * order)) - 1)).alias(gram))
+
+
+def _context(high: str, gram: str):
+    """All characters of an n-gram but the last, as columns of these names."""
+    return F.shiftright("high", HIGH_BITS).alias(high), F.shiftright("gram", CHAR_BITS).alias(gram)
+
+
 def kneser_ney(counts: DataFrame) -> list[DataFrame]:
-    """Per order 1..4: (lang, gram, n, p, backoff).
+    """Per order 1..4: (lang, high, gram, n, p, backoff).
 
     ``p`` is the interpolated probability of the last character after the others;
     ``backoff`` the weight that the n-gram, taken as a context, gives to the next lower
@@ -133,42 +155,41 @@ def kneser_ney(counts: DataFrame) -> list[DataFrame]:
     """
     tables = [counts]
     for order in range(ORDER - 1, 0, -1):
-        mask = (1 << (CHAR_BITS * order)) - 1
-        tables.insert(0, tables[0].groupBy("lang", F.col("gram").bitwiseAND(F.lit(mask)).alias("gram"))
+        tables.insert(0, tables[0].groupBy("lang", *_last(order, "high", "gram"))
                       .agg(F.count(F.lit(1)).alias("n")))
     tables = [persisted(t) for t in tables]
     out: list[DataFrame] = []
     for order, grams in enumerate(tables, start=1):
         known = grams.join(F.broadcast(_discounts(grams)), "lang")  # one row per language
         discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        known = known.select("lang", "gram", "n", discount.alias("d"), F.shiftright("gram", CHAR_BITS).alias("context"))
-        contexts = known.groupBy("lang", "context").agg(
+        known = known.select("lang", "high", "gram", "n", discount.alias("d"), *_context("context_high", "context"))
+        contexts = known.groupBy("lang", "context_high", "context").agg(
             F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("weight"), F.count(F.lit(1)).alias("types"))
         contexts = persisted(contexts)
-        known = known.join(contexts, ["lang", "context"])
+        known = known.join(contexts, ["lang", "context_high", "context"])
         first = (F.col("n") - F.col("d")) / F.col("total")
         if order == 1:
-            level = known.select("lang", "gram", "n", (first + F.col("weight") / (F.col("types") + 1)).alias("p"))
+            level = known.select("lang", "high", "gram", "n", (first + F.col("weight") / (F.col("types") + 1)).alias("p"))
         else:
-            lower = out[-1].select("lang", F.col("gram").alias("shorter"), F.col("p").alias("p_lower"))
-            mask = (1 << (CHAR_BITS * (order - 1))) - 1
+            lower = out[-1].select("lang", F.col("high").alias("shorter_high"), F.col("gram").alias("shorter"), F.col("p").alias("p_lower"))
             level = (
-                known.withColumn("shorter", F.col("gram").bitwiseAND(F.lit(mask))).join(lower, ["lang", "shorter"])
-                .select("lang", "gram", "n", (first + F.col("weight") * F.col("p_lower")).alias("p"))
+                known.select("*", *_last(order - 1, "shorter_high", "shorter")).join(lower, ["lang", "shorter_high", "shorter"])
+                .select("lang", "high", "gram", "n", (first + F.col("weight") * F.col("p_lower")).alias("p"))
             )
             # The contexts of this order are n-grams of the one below.
-            weights = contexts.select("lang", F.col("context").alias("gram"), F.col("weight").alias("backoff"))
-            out[-1] = out[-1].join(weights, ["lang", "gram"], "full").select(
-                "lang", "gram", F.coalesce("n", F.lit(0)).alias("n"), "p", F.coalesce("backoff", F.lit(1.0)).alias("backoff"))
+            weights = contexts.select("lang", F.col("context_high").alias("high"), F.col("context").alias("gram"), F.col("weight").alias("backoff"))
+            out[-1] = out[-1].join(weights, ["lang", "high", "gram"], "full").select(
+                "lang", "high", "gram", F.coalesce("n", F.lit(0)).alias("n"), "p", F.coalesce("backoff", F.lit(1.0)).alias("backoff"))
         out.append(persisted(level))
     out[-1] = out[-1].withColumn("backoff", F.lit(1.0))
     return out
 
 
-def address(lang_hash: np.ndarray, gram: np.ndarray, order: int) -> np.ndarray:
-    """Hash address of an n-gram of a language."""
-    key = tk.mix64(gram.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + lang_hash.astype(np.uint64) + _U(order))
-    return (key >> _U(64 - ADDRESS_BITS[order - 1])).astype(np.int64)
+def entry_key(lang_hash: np.ndarray, high: np.ndarray, gram: np.ndarray, order: int) -> np.ndarray:
+    """64-bit key of an n-gram of a language."""
+    with np.errstate(over="ignore"):
+        seed = tk.mix64(lang_hash.astype(np.uint64) + high.astype(np.uint64) * _U(0xD1B54A32D192ED03) + _U(order))
+        return tk.mix64(gram.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + seed).view(np.int64)
 
 
 def language_hash(lang: str | None) -> int:
@@ -179,73 +200,66 @@ def language_hash(lang: str | None) -> int:
 
 
 @dataclass
-class SortedArrays:
-    """Per order: sorted addresses, log probabilities and log backoff weights."""
-
-    addresses: list
-    log_p: list
-    log_backoff: list
-
-    def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Direct tables by address; NaN where an address has no n-gram."""
-        out = []
-        for bits, at, p, b in zip(ADDRESS_BITS, self.addresses, self.log_p, self.log_backoff):
-            tp = np.full(1 << bits, np.nan, np.float32)
-            tb = np.zeros(1 << bits, np.float32)
-            tp[at], tb[at] = p, b
-            out.append((tp, tb))
-        return out
-
-
-def _address_batches(order: int):
-    def run(batches):
-        for batch in batches:
-            langs = np.array([language_hash(l) for l in batch.column("lang").to_pylist()], np.uint64)
-            at = address(langs, batch.column("gram").to_numpy(), order)
-            yield pa.RecordBatch.from_arrays([pa.array(at), batch.column("p"), batch.column("backoff")],
-                                             names=["address", "p", "backoff"])
+class Shard:
+    """Sorted keys with two values: log probability (or what a 4-gram adds) and log backoff weight."""
 
-    return run
+    keys: np.ndarray
+    value: np.ndarray
+    backoff: np.ndarray
 
+    def find(self, key: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """``values`` of the keys, 0 where a key is not in the shard."""
+        if not len(self.keys):
+            return np.zeros(len(key))
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, values[at], 0.0).astype(np.float64)
+
+
+def _key_batches(batches):
+    for batch in batches:
+        langs = np.array([language_hash(l) for l in batch.column("lang").to_pylist()], np.uint64)
+        high, gram, order = (batch.column(c).to_numpy() for c in ("high", "gram", "n_chars"))
+        keys = np.where(order == ORDER, entry_key(langs, high, gram, ORDER), entry_key(langs, high, gram, ORDER - 1))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("value"), batch.column("backoff")],
+                                         names=["key", "value", "backoff"])
+
+
+def store(levels: list[DataFrame]) -> list[DataFrame]:
+    """The model's entries (key, value, backoff), cut into shards of about ``SHARD_ENTRIES``."""
+    low = levels[ORDER - 2].select("lang", "high", "gram", F.log("p").alias("value"), F.log("backoff").alias("backoff"))
+    suffix = low.select("lang", F.col("high").alias("h1"), F.col("gram").alias("g1"), F.col("value").alias("lower"))
+    before = low.select("lang", F.col("high").alias("h2"), F.col("gram").alias("g2"), F.col("backoff").alias("weight"))
+    top = (
+        levels[ORDER - 1].where("n > 1").select("lang", "high", "gram", "p", *_last(ORDER - 1, "h1", "g1"), *_context("h2", "g2"))
+        .join(suffix, ["lang", "h1", "g1"]).join(before, ["lang", "h2", "g2"])
+        .select("lang", "high", "gram", F.lit(ORDER).alias("n_chars"), (F.log("p") - F.col("lower") - F.col("weight")).alias("value"),
+                F.lit(0.0).alias("backoff"))
+    )
+    low = low.select("lang", "high", "gram", F.lit(ORDER - 1).alias("n_chars"), F.coalesce("value", F.lit(0.0)).alias("value"), "backoff")
+    entries = persisted(
+        low.unionByName(top).mapInArrow(_key_batches, "key long, value double, backoff double")
+        .select("key", F.col("value").cast("float").alias("value"), F.col("backoff").cast("float").alias("backoff")))
+    shards = max(1, -(-entries.count() // SHARD_ENTRIES))
+    return [entries.where(F.pmod("key", F.lit(shards)) == i) for i in range(shards)]
 
-def store(levels: list[DataFrame]) -> SortedArrays:
-    """The model as sorted hash arrays; each order has at most 2^bits entries."""
-    parts = []
-    for order, level in enumerate(levels, start=1):
-        if order == ORDER:
-            level = level.where("n > 1")
-        table = (
-            level.select("lang", "gram", "p", "backoff").mapInArrow(_address_batches(order), "address long, p double, backoff double")
-            .groupBy("address").agg(F.max("p").alias("p"), F.max("backoff").alias("backoff"))
-            .select("address", F.log("p").cast("float").alias("p"), F.log("backoff").cast("float").alias("b")).toArrow()
-        )
-        at = table["address"].to_numpy()
-        order_ = np.argsort(at)
-        p = table["p"].to_numpy().astype(np.float32)
-        parts.append((at[order_].astype(np.uint32), p[order_], table["b"].to_numpy()[order_].astype(np.float32)))
-    return SortedArrays(*(list(x) for x in zip(*parts)))
-
-
-_TABLES: dict = {}
-
-
-def log_probabilities(gram: np.ndarray, lang_hash: np.ndarray, tables) -> np.ndarray:
-    """Log probability of each character after the three before it."""
-    out = tables[-1][0][address(lang_hash, gram, ORDER)].astype(np.float64)
-    todo = np.flatnonzero(np.isnan(out))
-    weight = np.zeros(len(todo))
-    for order in range(ORDER - 1, 0, -1):
-        if not len(todo):
-            break
-        g, h = gram[todo], lang_hash[todo]
-        context = (g >> CHAR_BITS) & ((1 << (CHAR_BITS * order)) - 1)
-        weight += tables[order - 1][1][address(h, context, order)]
-        p = tables[order - 1][0][address(h, g & ((1 << (CHAR_BITS * order)) - 1), order)].astype(np.float64)
-        found = ~np.isnan(p)
-        out[todo[found]] = p[found] + weight[found]
-        todo, weight = todo[~found], weight[~found]
-    out[todo] = weight - np.log(1 << CHAR_BITS)
-    return out
+
+def load(shard: DataFrame) -> Shard:
+    """One shard as sorted arrays."""
+    table = shard.toArrow()
+    keys = table["key"].to_numpy()
+    order = np.argsort(keys)
+    return Shard(keys[order], *(table[c].to_numpy()[order].astype(np.float32) for c in ("value", "backoff")))
+
+
+def log_probabilities(gram: np.ndarray, high: np.ndarray, lang_hash: np.ndarray, shard: Shard) -> np.ndarray:
+    """What a shard adds to the log probability of each character after the three before it."""
+    keys, first, back = np.unique(entry_key(lang_hash, high, gram, ORDER), return_index=True, return_inverse=True)
+    g, h, l = gram[first], high[first], lang_hash[first]
+    cut, cut_high = (1 << (CHAR_BITS * (ORDER - 1))) - 1, (1 << (HIGH_BITS * (ORDER - 1))) - 1
+    total = shard.find(keys, shard.value)
+    total += shard.find(entry_key(l, h & cut_high, g & cut, ORDER - 1), shard.value)
+    total += shard.find(entry_key(l, h >> HIGH_BITS, g >> CHAR_BITS, ORDER - 1), shard.backoff)
+    return total[back]
 
 
 def text_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
@@ -288,24 +302,32 @@ def text_statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     return {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": dup, "n_repeat_words": repeat}
 
 
-_SCORED = "doc_id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_p double, n_chars long"
+_SCORED = "doc_id {kind}, row long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_p double, n_chars long"
+
+
+def _log_p(batch: pa.RecordBatch, shard: Shard) -> tuple[np.ndarray, np.ndarray]:
+    """Per text what a shard adds to its log probability, and its characters."""
+    gram, high, offs = packed_ngrams(batch.column("text"))
+    lens = np.diff(offs)
+    langs = np.array([language_hash(l) for l in batch.column("lang").to_pylist()], np.uint64)
+    return tk.per_doc_sum(log_probabilities(gram, high, np.repeat(langs, lens), shard), offs), lens
 
 
 def _score_batch(shared):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if id(shared) not in _TABLES:
-            _TABLES.clear()
-            _TABLES[id(shared)] = shared.value.tables()
-        texts = batch.column("text")
-        stats = text_statistics(texts)
-        gram, offs = packed_ngrams(texts)
-        lens = np.diff(offs)
-        langs = np.array([language_hash(l) for l in batch.column("lang").to_pylist()], np.uint64)
-        lp = log_probabilities(gram, np.repeat(langs, lens), _TABLES[id(shared)])
+        stats = text_statistics(batch.column("text"))
+        lp, lens = _log_p(batch, shared.value)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("lang"), *(pa.array(v) for v in stats.values()),
-             pa.array(tk.per_doc_sum(lp, offs)), pa.array(lens)],
-            names=["doc_id", "lang", *stats, "log_p", "n_chars"])
+            [batch.column("doc_id"), batch.column("row"), batch.column("lang"), *(pa.array(v) for v in stats.values()),
+             pa.array(lp), pa.array(lens)],
+            names=["doc_id", "row", "lang", *stats, "log_p", "n_chars"])
+
+    return run
+
+
+def _add_batch(shared):
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(_log_p(batch, shared.value)[0])], names=["row", "more"])
 
     return run
 
@@ -313,12 +335,18 @@ def _score_batch(shared):
 def quality(docs: DataFrame, fence: float = FENCE) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     kept, perplexity for every row of ``docs``."""
-    model = store(kneser_ney(persisted(count_ngrams(docs))))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shards = store(kneser_ney(persisted(count_ngrams(docs))))
+    sc = docs.sparkSession.sparkContext
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = persisted(
-        docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
-        .mapInArrow(tk.map_slices(_score_batch(shared)), _SCORED.format(kind=kind)))
+    many = len(shards) > 1
+    row = F.monotonically_increasing_id() if many else F.lit(0).cast("long")
+    rows = docs.select("doc_id", row.alias("row"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    if many:  # rows are numbered once, so that the shards' sums can be added
+        rows = persisted(rows)
+    scored = persisted(rows.mapInArrow(tk.map_slices(_score_batch(sc.broadcast(load(shards[0])))), _SCORED.format(kind=kind)))
+    for shard in shards[1:]:
+        more = rows.mapInArrow(tk.map_slices(_add_batch(sc.broadcast(load(shard)))), "row long, more double")
+        scored = persisted(scored.join(more, "row").withColumn("log_p", F.col("log_p") + F.col("more")).drop("more"))
     means = scored.groupBy("lang").agg((F.sum("log_p") / F.greatest(F.sum("n_chars"), F.lit(1))).alias("mean"))
     drawn = -(F.col("log_p") + PRIOR_CHARS * F.col("mean")) / (F.col("n_chars") + PRIOR_CHARS)
     scored = scored.join(F.broadcast(means), "lang").withColumn("drawn", drawn)  # one row per language

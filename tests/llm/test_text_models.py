@@ -244,6 +244,34 @@ def test_model_equals_plain_kneser_ney(spark):
         assert all(abs(got[g] - probs[order - 1][g]) < 1e-9 for g in got)
 
 
+def test_scores_are_those_of_the_whole_model(spark, monkeypatch):
+    rng = random.Random(8)
+    signs = [chr(c) for c in (97, 98, 32768 + 97, 32767 + 97, 0x9FA5, 0x1F600, 0x1F600 - 32767)]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(30, 60))) for _ in range(40)]
+    tables, probs = _plain_kneser_ney(texts)
+    want = {}
+    for i, t in enumerate(texts):
+        s, total = "\x00" * 3 + t, 0.0
+        for k in range(3, len(s)):
+            g = s[k - 3: k + 1]
+            p = probs[3][g]
+            if tables[3][g] == 1:  # as unseen: what the context leaves to the shorter n-gram
+                same = [c for x, c in tables[3].items() if x[:3] == g[:3]]
+                p -= (1 - _first_discount(tables[3])) / sum(same)
+            total += np.log(p)
+        want[i] = np.exp(-total / len(t))
+    docs = docs_frame(spark, list(enumerate(texts)))
+    for entries in (4_000_000, 400):  # one shard, several shards
+        monkeypatch.setattr(quality_rules, "SHARD_ENTRIES", entries)
+        got = {r["doc_id"]: r["perplexity"] for r in quality_rules.quality(docs).collect()}
+        assert all(abs(got[i] / want[i] - 1) < 1e-4 for i in want) and len(got) == len(want)
+
+
+def _first_discount(grams):
+    n1, n2 = (sum(c == k for c in grams.values()) for k in (1, 2))
+    return min(max(1 - 2 * n1 / (n1 + 2 * n2) * n2 / n1, 0.05), 1) if n2 else 1.0
+
+
 def test_quality_rules_bands_and_base(spark):
     rng = random.Random(7)
     vocabulary = _words(rng, "abcdefghij", 300)
