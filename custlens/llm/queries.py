@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from custlens.llm import mixing, url_filter
+from custlens.llm import clustering, fill_in_middle, mixing, url_filter
 from custlens.llm.common import table
 from custlens.llm.decontamination import WINDOW, contamination
 from custlens.llm.html_extraction import extract
@@ -17,6 +17,7 @@ from custlens.llm.near_duplicates import near_duplicates
 from custlens.llm.personal_data import personal_data
 from custlens.llm.quality_classifier import quality_scores
 from custlens.llm.quality_rules import quality
+from custlens.llm.sharding import shard_documents
 from custlens.llm.toxicity import toxicity
 
 
@@ -61,10 +62,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = fill_in_middle.store_frames(table(spark, sf_dir, "documents"))
+    return fill_in_middle.digests(fill_in_middle.fill_in_middle(stored))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_classifier, op2_toxicity, op3_mixing, op4_url_filter, op5_language_id, op6_personal_data,
-        op7_html_extraction, op8_near_duplicates, op9_quality_rules, op10_decontamination,
+        op7_html_extraction, op8_near_duplicates, op9_quality_rules, op10_decontamination, op11_clustering, op12_sharding, op13_fill_in_middle,
     )
 }
 
@@ -136,4 +150,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_mixing": _mixing_sql(),
     "op4_url_filter": url_filter.oracle_sql(),
     "op10_decontamination": _decontamination_sql(),
+    "op11_clustering": clustering.oracle_sql(),
+    "op13_fill_in_middle": fill_in_middle.oracle_sql(),
 }
