@@ -96,7 +96,7 @@ def main() -> None:
     per_key_warmup = warmup_rounds == 0
     for _ in range(warmup_rounds):
         build()
-        warm = Analysis(spark, params, fact=read_fact(spark, fact_path, params.start, params.end))
+        warm = Analysis.from_store(spark, fact_path, params)
         for key in HEADLINE:
             _noop(REPORTS[key](warm))
 
@@ -109,8 +109,7 @@ def main() -> None:
 
     def report_fn(key):
         def run() -> None:
-            fact = read_fact(spark, fact_path, params.start, params.end)
-            _noop(REPORTS[key](Analysis(spark, params, fact=fact)))
+            _noop(REPORTS[key](Analysis.from_store(spark, fact_path, params)))
 
         return run
 
@@ -119,7 +118,7 @@ def main() -> None:
 
     def dashboard() -> None:
         # Every headline report over one analysis whose customer table is stored once.
-        a = Analysis(spark, params, fact=read_fact(spark, fact_path, params.start, params.end)).store_customers()
+        a = Analysis.from_store(spark, fact_path, params).store_customers()
         for key in HEADLINE:
             _noop(REPORTS[key](a))
 

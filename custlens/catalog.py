@@ -22,7 +22,7 @@ from custlens.schemas import SCAN_COLUMNS
 from custlens.sources.scans import (
     parquet_sources, scan_order_lines, scan_orders, scan_packs, scan_sources, source_row_counts,
 )
-from custlens.sources.store import load_or_build, read_fact, write_fact
+from custlens.sources.store import load_or_build, read_export, read_fact, refresh_fact, write_fact, write_table
 
 # Filter selections used by the filter operator queries.
 FILTER_REGIONS = ("AMERICA", "EUROPE")
@@ -101,6 +101,31 @@ def q_load_or_build_fact(spark, sf_dir):
     return fact
 
 
+def q_fact_refresh(spark, sf_dir):
+    """A fact stored for a shorter fetch range, extended: only the months that new rows
+    fall into are built and written; the result equals a full build."""
+    path = _shared_path(spark, "fact_refresh")
+    short = DRIVER_PARAMS.replace(fetch_end="2000-12-31", end="2000-12-31")
+    write_fact(_analysis(spark, sf_dir, short).fact, path, short)
+    refresh_fact(spark, path, _raw(spark, sf_dir), DRIVER_PARAMS, lambda raw: Analysis(spark, DRIVER_PARAMS, raw=raw).fact)
+    return read_fact(spark, path)
+
+
+def q_rollup_customers(spark, sf_dir):
+    """The customer table from the stored order-level rollup and attribute rows."""
+    path = _shared_path(spark, "rollup")
+    write_fact(_analysis(spark, sf_dir).fact, path, DRIVER_PARAMS)
+    return Analysis.from_store(spark, path, DRIVER_PARAMS).customers
+
+
+def q_export_roundtrip(spark, sf_dir):
+    """The customer export written as CSV in the declared dialect, checked and read back."""
+    path = _shared_path(spark, "export")
+    table = REPORTS["export_customer_details"](_analysis(spark, sf_dir))
+    write_table(table, path, "csv", check=True)
+    return read_export(spark, path, table.schema, "csv")
+
+
 def q_fact_from_parquet(spark, sf_dir):
     """The fact from sources stored as Parquet, with keys stored as numbers."""
     path = _shared_path(spark, "sources")
@@ -142,7 +167,7 @@ def q_filter_combined(spark, sf_dir):
 
 
 def _rfm(a: Analysis) -> DataFrame:
-    return P.rfm_scores(a.customers)
+    return P.rfm_scores(a.customers, stored=a.customers_stored)
 
 
 def _clv(a: Analysis) -> DataFrame:
@@ -150,12 +175,12 @@ def _clv(a: Analysis) -> DataFrame:
 
 
 def _top(a: Analysis) -> DataFrame:
-    return P.top_customers_per_region(a.filtered, a.params.top_n)
+    return P.top_customers_per_region(a.order_rows, a.params.top_n)
 
 
 # Reports over an Analysis (raw sources or a persisted fact).
 REPORTS: dict[str, Callable[[Analysis], DataFrame]] = {
-    "filter_options": lambda a: filter_options(a.date_filtered),
+    "filter_options": lambda a: filter_options(a.option_rows),
     "customer_aggregates": lambda a: a.customers.orderBy(
         F.desc_nulls_last("TotalRevenue"), F.asc_nulls_last("CustomerId")
     ),
@@ -163,8 +188,8 @@ REPORTS: dict[str, Callable[[Analysis], DataFrame]] = {
     # only churn-by-region and the churned export follow the chosen threshold.
     "customer_kpis": lambda a: P.customer_kpis(a.orders, a.customers),
     "top10_revenue": lambda a: P.top10_revenue(a.customers),
-    "monthly_trend": lambda a: P.monthly_trend(a.filtered),
-    "monthly_trend_long": lambda a: P.monthly_trend_long(a.filtered),
+    "monthly_trend": lambda a: P.monthly_trend(a.order_rows),
+    "monthly_trend_long": lambda a: P.monthly_trend_long(a.order_rows),
     "rfm_scores": _rfm,
     "rfm_segments": lambda a: P.rfm_segments(_rfm(a)),
     "top10_rfm": lambda a: P.top10_rfm(_rfm(a)),
@@ -175,7 +200,7 @@ REPORTS: dict[str, Callable[[Analysis], DataFrame]] = {
     "churn_by_region_365": lambda a: P.churn_by_region(a.customers, 365),
     "monthly_churn_trend": lambda a: P.monthly_churn_trend(a.customers),
     "churned_customer_details": lambda a: P.churned_customer_details(a.customers, a.params.churn_threshold),
-    "new_vs_returning": lambda a: P.new_vs_returning(a.filtered),
+    "new_vs_returning": lambda a: P.new_vs_returning(a.order_rows),
     "customer_clv": _clv,
     "top10_clv": lambda a: P.top10_clv(_clv(a)),
     "gross_margin": lambda a: P.gross_margin(_clv(a)),
@@ -183,7 +208,7 @@ REPORTS: dict[str, Callable[[Analysis], DataFrame]] = {
     "pareto": lambda a: P.pareto(a.customers),
     "tenure_histogram": lambda a: P.tenure_histogram(a.customers),
     "order_frequency_histogram": lambda a: P.order_frequency_histogram(a.customers),
-    "weekday_revenue": lambda a: P.weekday_revenue(a.filtered),
+    "weekday_revenue": lambda a: P.weekday_revenue(a.order_rows),
     "top_customers_per_region": _top,
     "recommend_customers": lambda a: P.recommend_customers(
         a.filtered, a.params.top_n, a.params.min_lineitem_revenue
@@ -191,8 +216,8 @@ REPORTS: dict[str, Callable[[Analysis], DataFrame]] = {
     "customer_profile": lambda a: P.customer_profile(a.customers),
     "customer_drilldown": lambda a: P.customer_drilldown(
         a.filtered, a.customers, list(FILTER_CUSTOMERS))["monthly_history"],
-    "customer_monthly_history": lambda a: P.customer_monthly_history(a.filtered),
-    "customer_monthly_history_long": lambda a: P.customer_monthly_history_long(a.filtered),
+    "customer_monthly_history": lambda a: P.customer_monthly_history(a.order_rows),
+    "customer_monthly_history_long": lambda a: P.customer_monthly_history_long(a.order_rows),
     "product_category_mix": lambda a: P.product_category_mix(a.filtered),
     "export_customer_details": lambda a: P.export_customer_details(a.customers),
 }

@@ -22,6 +22,34 @@ def to_double(col: Column, dtype: DataType | None = None) -> Column:
     return F.coalesce(F.nanvl(parsed, F.lit(None).cast("double")), F.lit(0.0))
 
 
+# Sums count in billionths, exactly, for values below EXACT_LIMIT (10^12 of them fit).
+UNITS = 1e9
+EXACT_LIMIT = 1e17
+
+
+def exact_units(col: Column) -> Column:
+    """A double in billionths as a decimal (half-even); null if null, huge, infinite or NaN."""
+    return F.when(F.abs(col) < EXACT_LIMIT, F.rint(col * UNITS).cast("decimal(38,0)"))
+
+
+def inexact_rest(col: Column) -> Column:
+    """The double itself where :func:`exact_units` can't hold it, else null."""
+    return F.when(~(F.abs(col) < EXACT_LIMIT) | F.isnan(col), col)
+
+
+def exact_sum(col: Column) -> Column:
+    """Sum of doubles whose digits don't depend on the order of the rows.
+
+    A sum of doubles rounds at every step, so other partitions give other last digits
+    and may flip ties in a rank.  Here every value counts in billionths and the decimals
+    are summed exactly.  Values that don't fit (10^17 and more, infinite) are added as
+    doubles.  Null without a value, as ``sum``.
+    """
+    units, rest = F.sum(exact_units(col)), F.sum(inexact_rest(col))
+    total = units.cast("double") / UNITS
+    return F.when(rest.isNull(), total).otherwise(F.coalesce(total, F.lit(0.0)) + rest)
+
+
 def rint2(col: Column) -> Column:
     """Round to 2 decimals half-to-even on the scaled double (numpy's ``round(2)``)."""
     return F.rint(col * 100) / 100

@@ -10,6 +10,9 @@
 all tables, ``--jdbc-partition table:column:lower:upper:parts`` for each of orders,
 order_lines and packs, and the password from the environment variable named by
 ``--jdbc-password-env``.  ``--fixture-dir`` maps the supplied test tables.
+``refresh-fact`` extends a stored fact to a later (or earlier) fetch range, writing only
+the months that new rows fall into.  ``report`` without a source needs a stored fact that
+holds all rows of the request and fails otherwise.
 Reports are written one folder per report, as Parquet or CSV; ``--drilldown NAME`` adds
 the profile, monthly history and category mix of the customer that a name resolves to.
 """
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import argparse
 import datetime as dt
+import logging
 import os
 
 from pyspark.sql import SparkSession
@@ -28,7 +32,12 @@ from custlens.plans.context import Analysis
 from custlens.sources.fixture import fixture_sources
 from custlens.plans.drilldown import customer_drilldown
 from custlens.sources.scans import PARTITION_OPTIONS, jdbc_sources, parquet_sources
-from custlens.sources.store import load_or_build, read_fact, write_fact, write_table
+from custlens.sources.store import (
+    ensure_fact, expire_snapshots, fact_info, refresh_fact, require_covered, write_fact, write_table,
+)
+
+
+log = logging.getLogger(__name__)
 
 
 def _params(args: argparse.Namespace) -> Params:
@@ -83,7 +92,7 @@ def _raw(spark: SparkSession, args: argparse.Namespace):
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="custlens.jobs")
-    p.add_argument("command", choices=["build-fact", "report"])
+    p.add_argument("command", choices=["build-fact", "refresh-fact", "report"])
     p.add_argument("reports", nargs="*", help="report names (default: all)")
     p.add_argument("--sources")
     p.add_argument("--jdbc-url")
@@ -94,6 +103,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--fact", required=True)
     p.add_argument("--out")
     p.add_argument("--format", default="parquet", choices=["parquet", "csv"])
+    p.add_argument("--check", action="store_true", help="read every export back and compare its rows")
     p.add_argument("--fetch-start", default="2020-01-01")
     p.add_argument("--fetch-end")
     p.add_argument("--start", default="2023-01-01")
@@ -108,10 +118,18 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--churn-threshold", type=int, default=90)
     p.add_argument("--checkpoint-dir", help="shared folder; default: spark.checkpoint.dir of the session")
     p.add_argument("--drilldown", action="append", metavar="NAME")
+    p.add_argument("--since", metavar="DATE", help="refresh-fact: rewrite all months from this date on")
+    p.add_argument("--keep-snapshots", type=int, default=2, help="older snapshots of the fact are removed after a write")
     p.add_argument("--rebuild", action="store_true", help="rebuild the fact even if it is stored")
     return p
 
 
+def _tidy(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Shows what the fact holds and removes old snapshots."""
+    log.info("the fact at %s: %s", args.fact, fact_info(spark, args.fact))
+    expire_snapshots(spark, args.fact, args.keep_snapshots)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> list[str]:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName(f"custlens {args.command}").getOrCreate()
@@ -120,16 +138,23 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     params = _params(args)
     if args.command == "build-fact":
         write_fact(Analysis(spark, params, raw=_raw(spark, args)).fact, args.fact, params)
+        _tidy(spark, args)
         return [args.fact]
+    if args.command == "refresh-fact":
+        since = dt.date.fromisoformat(args.since) if args.since else None
+        months = refresh_fact(spark, args.fact, _raw(spark, args), params,
+                              lambda raw: Analysis(spark, params, raw=raw).fact, since)
+        _tidy(spark, args)
+        return [m.isoformat() for m in months]
     if not args.out:
         raise SystemExit("report needs --out")
     if args.sources or args.jdbc_url or args.fixture_dir:
-        fact = load_or_build(
+        ensure_fact(
             spark, args.fact, lambda: Analysis(spark, params, raw=_raw(spark, args)).fact, params, rebuild=args.rebuild
         )
     else:
-        fact = read_fact(spark, args.fact, params.start, params.end)
-    analysis = Analysis(spark, params, fact=fact)
+        require_covered(spark, args.fact, params)
+    analysis = Analysis.from_store(spark, args.fact, params)
     names = args.reports or sorted(REPORTS)
     unknown = sorted(set(names) - set(REPORTS))
     if unknown:
@@ -139,12 +164,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     written = []
     for name in names:
         path = f"{args.out.rstrip('/')}/{name}"
-        write_table(REPORTS[name](analysis), path, args.format)
+        write_table(REPORTS[name](analysis), path, args.format, check=args.check)
         written.append(path)
     if args.drilldown:
         for part, df in customer_drilldown(analysis.filtered, analysis.customers, args.drilldown).items():
             path = f"{args.out.rstrip('/')}/drilldown_{part}"
-            write_table(df, path, args.format)
+            write_table(df, path, args.format, check=args.check)
             written.append(path)
     return written
 

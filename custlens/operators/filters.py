@@ -41,8 +41,8 @@ def apply_filters(df: DataFrame, params: Params) -> DataFrame:
 def filter_options(date_filtered: DataFrame) -> DataFrame:
     """distinct non-null regions, shipping methods and customer names.
 
-    One pass over the fact: each row emits up to three (Field, Value) pairs and
-    a single distinct aggregation (partial before the shuffle) dedups them.
+    The rows are reduced to their distinct (region, method, customer) triples before each
+    of those emits its three (Field, Value) pairs, which a second distinct reduces.
     The lists come from the date-filtered data only and do not cascade; they
     are sorted (a distributed sort: the customer list grows with the data).
     """
@@ -52,7 +52,7 @@ def filter_options(date_filtered: DataFrame) -> DataFrame:
         F.struct(F.lit("CustomerName").alias("Field"), F.col("CustomerName").alias("Value")),
     )).alias("opt")
     return (
-        date_filtered.select(pairs)
+        date_filtered.select("RegionName", "ShippingMethodName", "CustomerName").distinct().select(pairs)
         .select("opt.Field", "opt.Value")
         .where(F.col("Value").isNotNull())
         .distinct()

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from custlens.config import ensure_checkpoint_dir
+from custlens.functions.numeric import UNITS, exact_units, inexact_rest
 
 _PART = "__gr_part"
 
@@ -33,7 +34,8 @@ def global_rank(
     """Add the 1-based position of every row in ``order`` (a total order).
 
     Optional outputs: ``count_col`` (number of rows), ``cum_col`` (running sum
-    of ``sum_col`` in that order, inclusive) and ``total_col`` (sum over all).
+    of ``sum_col`` in that order, inclusive; summed exactly, so its digits do not depend
+    on the partitions) and ``total_col`` (sum over all).
 
     Plan: range exchange on the order keys (sampled bounds, so equal-size
     partitions even when one value holds many rows, as long as the keys end in
@@ -67,8 +69,11 @@ def global_rank(
             Window.partitionBy(_PART).orderBy("__gr_lrank")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
-        local = local.withColumn("__gr_lcum", F.sum(sum_col).over(running))
-        part_aggs.append(F.sum(sum_col).alias("__gr_ps"))
+        # Exact units and, where a value does not fit them, doubles; both 0 if absent.
+        units = F.coalesce(exact_units(F.col(sum_col)), F.lit(0).cast("decimal(38,0)"))
+        rest = F.coalesce(inexact_rest(F.col(sum_col)), F.lit(0.0))
+        local = local.withColumns({"__gr_lcum": F.sum(units).over(running), "__gr_lrest": F.sum(rest).over(running)})
+        part_aggs += [F.sum(units).alias("__gr_ps"), F.sum(rest).alias("__gr_pr")]
 
     # One row per range partition: bounded by n_parts, so a single-task window
     # and a broadcast are both safe here.
@@ -82,8 +87,10 @@ def global_rank(
     ]
     if sum_col is not None:
         offset_cols += [
-            F.coalesce(F.sum("__gr_ps").over(before), F.lit(0.0)).alias("__gr_soff"),
+            F.coalesce(F.sum("__gr_ps").over(before), F.lit(0).cast("decimal(38,0)")).alias("__gr_soff"),
             F.sum("__gr_ps").over(whole).alias("__gr_stot"),
+            F.coalesce(F.sum("__gr_pr").over(before), F.lit(0.0)).alias("__gr_roff"),
+            F.sum("__gr_pr").over(whole).alias("__gr_rtot"),
         ]
     offsets = parts.select(*offset_cols)
 
@@ -92,11 +99,13 @@ def global_rank(
     if count_col:
         new_cols[count_col] = F.col("__gr_n").cast("bigint")
     if sum_col is not None and cum_col:
-        new_cols[cum_col] = F.col("__gr_soff") + F.col("__gr_lcum")
+        new_cols[cum_col] = (F.col("__gr_soff") + F.col("__gr_lcum")).cast("double") / UNITS + (
+            F.col("__gr_roff") + F.col("__gr_lrest"))
     if sum_col is not None and total_col:
-        new_cols[total_col] = F.col("__gr_stot")
+        new_cols[total_col] = F.col("__gr_stot").cast("double") / UNITS + F.col("__gr_rtot")
     out = out.withColumns(new_cols)
-    return out.drop(_PART, "__gr_lrank", "__gr_lcum", "__gr_off", "__gr_n", "__gr_soff", "__gr_stot")
+    return out.drop(_PART, "__gr_lrank", "__gr_lcum", "__gr_lrest", "__gr_off", "__gr_n", "__gr_soff",
+                    "__gr_stot", "__gr_roff", "__gr_rtot")
 
 
 def quartile_of_rank(rank: Column, n: Column) -> Column:

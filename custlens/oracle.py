@@ -210,7 +210,7 @@ def oracle_queries() -> dict[str, str]:
     q["normalize_keys"] = _sql("SELECT * FROM lk_customers")
     q["packs_by_line"] = _sql("SELECT * FROM packs_by_line")
     q["fact_lines"] = _sql("SELECT * FROM fact")
-    for key in ("fact_roundtrip", "load_or_build_fact", "fact_from_parquet"):
+    for key in ("fact_roundtrip", "load_or_build_fact", "fact_from_parquet", "fact_refresh"):
         q[key] = _sql("SELECT * FROM fact")
     q["delivery_metrics"] = _sql(
         "SELECT OrderLineId, ShipDate, DeliveryDate, DateExpected, TransitDays, DeliveryStatus FROM fact"
@@ -227,7 +227,7 @@ UNION
 SELECT DISTINCT 'ShippingMethodName', ShippingMethodName FROM dated WHERE ShippingMethodName IS NOT NULL
 UNION
 SELECT DISTINCT 'CustomerName', CustomerName FROM dated WHERE CustomerName IS NOT NULL""")
-    q["customer_aggregates"] = _sql("SELECT * FROM cust")
+    q["customer_aggregates"] = q["rollup_customers"] = _sql("SELECT * FROM cust")
     churn = DRIVER_PARAMS.churn_threshold
     q["customer_kpis"] = _sql(f"""
 SELECT (SELECT count(CustomerId) FROM cust) AS TotalCustomers,
@@ -337,7 +337,7 @@ SELECT CustomerId,
             ELSE ProductName END AS ProductCategory,
        sum(Revenue) AS Spend, sum(WeightLb) AS Weight
 FROM filtered WHERE CustomerId IS NOT NULL GROUP BY 1, 2""")
-    q["export_customer_details"] = _sql("""
+    q["export_customer_details"] = q["export_roundtrip"] = _sql("""
 SELECT CustomerId, CustomerName, RegionName, TotalRevenue, TotalCost, TotalRevenue - TotalCost AS GrossProfit,
        TotalOrders, AvgOrderWt, FirstOrder, LastOrder, DeliveryTime, Address, City, Province, PostalCode
 FROM cust""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custlens.functions.dates import weekday_index, weekday_name
+from custlens.functions.numeric import exact_sum
 from custlens.operators.ordering import histogram
 from custlens.plans.common import sort_bounded
 
@@ -16,7 +17,7 @@ def weekday_revenue(df: DataFrame) -> DataFrame:
     """Revenue per day of the week, Monday first; days without lines are absent."""
     g = df.groupBy(
         weekday_name(F.col("Date")).alias("Weekday"), weekday_index(F.col("Date")).alias("_idx")
-    ).agg(F.sum("Revenue").alias("Revenue"))
+    ).agg(exact_sum(F.col("Revenue")).alias("Revenue"))
     return sort_bounded(g, F.asc_nulls_last("_idx")).select("Weekday", "Revenue")
 
 

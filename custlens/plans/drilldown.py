@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from custlens.config import ensure_checkpoint_dir
 from custlens.functions.dates import month_end, month_start
+from custlens.functions.numeric import exact_sum
 from custlens.functions.text import product_category
 from custlens.operators.ordering import fill_month_gaps
 from custlens.plans.common import unpivot_metrics
@@ -51,7 +53,7 @@ def customer_monthly_history(df: DataFrame, customer_id: str | None = None) -> D
     """
     d = _with_id(df, customer_id).where(F.col("Date").isNotNull())
     per_month = d.groupBy("CustomerId", month_start(F.col("Date")).alias("_m")).agg(
-        F.sum("Revenue").alias("MonthlyRevenue"),
+        exact_sum(F.col("Revenue")).alias("MonthlyRevenue"),
         F.count_distinct("OrderId").alias("MonthlyOrders"),
     )
     filled = fill_month_gaps(per_month, ["CustomerId"], "_m", ["MonthlyRevenue", "MonthlyOrders"])
@@ -75,7 +77,7 @@ def product_category_mix(df: DataFrame, customer_id: str | None = None) -> DataF
     """
     return _with_id(df, customer_id).groupBy(
         "CustomerId", product_category(F.col("ProductName")).alias("ProductCategory")
-    ).agg(F.sum("Revenue").alias("Spend"), F.sum("WeightLb").alias("Weight")).orderBy(
+    ).agg(exact_sum(F.col("Revenue")).alias("Spend"), exact_sum(F.col("WeightLb")).alias("Weight")).orderBy(
         "CustomerId", F.desc("Spend"), F.asc_nulls_last("ProductCategory")
     )
 
@@ -83,12 +85,15 @@ def product_category_mix(df: DataFrame, customer_id: str | None = None) -> DataF
 def customer_drilldown(df: DataFrame, customers: DataFrame, names: list[str]) -> dict[str, DataFrame]:
     """names -> customer ids -> profile, monthly history and category mix.
 
-    The ids stay in Spark: the lines are semi-joined with the resolved customers (at
-    most one per name), so nothing is collected in between.
+    The profiles (at most one per name) are stored and their ids become literals of the
+    line filter, which reaches the scan: in a stored fact, whose files are sorted by
+    customer and carry Bloom filters of the ids, other customers' row groups are skipped.
     """
     wanted = customers.where(F.col("CustomerName").isin(list(names)))
-    profile = customer_profile(wanted)
-    lines = df.join(profile.select("CustomerId"), "CustomerId", "left_semi")
+    ensure_checkpoint_dir(df.sparkSession)
+    profile = customer_profile(wanted).checkpoint(eager=True)
+    ids = [r["CustomerId"] for r in profile.select("CustomerId").collect() if r["CustomerId"] is not None]
+    lines = df.where(F.col("CustomerId").isin(ids))
     return {
         "profile": profile,
         "monthly_history": customer_monthly_history(lines).orderBy("CustomerId", "month_ts"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from custlens.functions.numeric import exact_sum, safe_divide
 from custlens.plans.common import top_k
 
 
@@ -19,7 +20,7 @@ def customer_kpis(orders: DataFrame, customers: DataFrame, churn_days: int = 90)
     * ChurnRatePct: share of customer rows with DaysSinceLastOrder > churn_days,
       over the distinct non-null customer ids; 0 if there are none.
     """
-    per_order = orders.groupBy("OrderId").agg(F.sum("Revenue").alias("_rev"))
+    per_order = orders.groupBy("OrderId").agg(exact_sum(F.col("Revenue")).alias("_rev"))
     order_rows = per_order.select(
         "OrderId", "_rev",
         F.lit(None).cast("string").alias("CustomerId"),
@@ -37,9 +38,9 @@ def customer_kpis(orders: DataFrame, customers: DataFrame, churn_days: int = 90)
     churned = F.count_if(F.col("_is_customer") & (F.col("_days") > churn_days))
     return order_rows.unionByName(customer_rows).agg(
         total_customers.alias("TotalCustomers"),
-        F.coalesce(F.sum("_rev"), F.lit(0.0)).alias("TotalRevenue"),
+        F.coalesce(exact_sum(F.col("_rev")), F.lit(0.0)).alias("TotalRevenue"),
         F.count("OrderId").alias("TotalOrders"),
-        F.coalesce(F.avg(F.when(F.col("OrderId").isNotNull(), F.col("_rev"))), F.lit(0.0)).alias("AvgOrderValue"),
+        F.coalesce(safe_divide(exact_sum(F.when(F.col("OrderId").isNotNull(), F.col("_rev"))), F.count("OrderId")), F.lit(0.0)).alias("AvgOrderValue"),
         F.when(total_customers > 0, churned * 100.0 / total_customers).otherwise(F.lit(0.0)).alias("ChurnRatePct"),
     )
 

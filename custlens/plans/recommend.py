@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from custlens.config import ensure_checkpoint_dir
+from custlens.functions.numeric import exact_sum
 from custlens.plans.common import sort_bounded
 
 _KEYS = ["RegionName", "CustomerName"]
@@ -34,7 +35,7 @@ def top_customers_per_region(df: DataFrame, n: int = 50) -> DataFrame:
     Grouping is by *name*, not id.  Null regions and names are groups of their
     own.  Ties keep names in ascending order (nulls last).
     """
-    totals = df.groupBy(*_KEYS).agg(F.sum("Revenue").alias("TotalRevenue"))
+    totals = df.groupBy(*_KEYS).agg(exact_sum(F.col("Revenue")).alias("TotalRevenue"))
     return _sorted_top(_top_n(totals, n))
 
 
@@ -57,10 +58,10 @@ def compute_recommendations(
     """
     qualifies = F.col("Revenue") > F.lit(float(min_lineitem_revenue))
     totals = df.groupBy(*_KEYS).agg(
-        F.sum("Revenue").alias("TotalRevenue"),
-        F.sum(F.when(qualifies, F.col("Revenue"))).alias("_q_revenue"),
+        exact_sum(F.col("Revenue")).alias("TotalRevenue"),
+        exact_sum(F.when(qualifies, F.col("Revenue"))).alias("_q_revenue"),
         F.count_distinct(F.when(qualifies, F.col("OrderId"))).alias("_q_orders"),
-        F.sum(F.when(qualifies, F.col("ItemCount"))).alias("_q_items"),
+        exact_sum(F.when(qualifies, F.col("ItemCount"))).alias("_q_items"),
         F.count_if(qualifies).alias("_q_lines"),
     )
     ensure_checkpoint_dir(df.sparkSession)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from custlens.operators.ordering import global_rank, quartile_of_rank
+from custlens.operators.selection import ascending_text, at_or_before, descending, keys_at_ranks
 from custlens.plans.common import sort_bounded, top_k
 
 # Segment thresholds on RFM_Score (3..12) and their names.
@@ -13,37 +16,61 @@ SEGMENTS = [(10, "Champion"), (8, "Loyal"), (6, "At Risk")]
 DEFAULT_SEGMENT = "Dormant"
 
 
-def rfm_scores(customers: DataFrame, fm_direction: str = "as_reference") -> DataFrame:
+def _quartile_ranks(n: int) -> list[int]:
+    """The last rank of the first three quartiles of ranks 1..n.
+
+    Edges are the linearly interpolated 25/50/75 % points of 1..n, 1 + (n-1)p, with
+    right-closed bins.  This is not ``ntile(4)``; the two differ when n mod 4 is 2 or 3.
+    """
+    return [math.floor(1 + (n - 1) * p) for p in (0.25, 0.5, 0.75)]
+
+
+def _quartile(order: list, cuts: list[tuple]):
+    """Quartile label 1..4 of a row by the keys at the quartiles' last ranks."""
+    label = F.lit(4)
+    for q in (2, 1, 0):
+        label = F.when(at_or_before(order, cuts[q]), q + 1).otherwise(label)
+    return label
+
+
+def rfm_scores(customers: DataFrame, fm_direction: str = "as_reference", stored: bool = False) -> DataFrame:
     """Recency, frequency and monetary quartile scores per customer.
 
     * Recency: quartile of DaysSinceLastOrder at the interpolated 25/50/75 %
       points, right-closed; label 4 for the most recent quarter down to 1.
       The three points come from Spark's exact ``percentile``; its state holds
       one entry per distinct day count, bounded by the date span.
-    * Frequency / Monetary: rank the customers (1 = most orders / most revenue;
-      ties by revenue, then id) and take the quartile of the rank.  As in the
+    * Frequency / Monetary: quartile of a customer's rank (1 = most orders / most
+      revenue; ties by revenue, then id).  The customers at the quartiles' edges are
+      found by :func:`keys_at_ranks`, a few counting passes over slim rows; nobody is
+      sorted or moved, and every customer is compared with three keys.  As in the
       original, the *largest* customers get score 1 (``fm_direction=
       "as_reference"``); ``"high_is_good"`` flips them to 4.
     * Tied quartile edges never fail; the first matching band wins.
+
+    The passes read the customers' four measures from Spark's cache, which is given back
+    before this returns (``stored`` customers, in a table already, are read as they are).
+    A cached part that is lost is computed again to the same digits, for sums are exact.
     """
-    # Only the six columns that RFM needs are ranked and stored.
+    if fm_direction not in ("as_reference", "high_is_good"):
+        raise ValueError(f"unknown fm_direction: {fm_direction}")
     base = customers.select(
         "CustomerId", "CustomerName", "RegionName", F.col("DaysSinceLastOrder").alias("Recency"),
         F.col("TotalOrders").alias("Frequency"), F.col("TotalRevenue").alias("Monetary"))
-    # The first ranking stores them, so the percentile pass and the second ranking
-    # read them back instead of recomputing the customer table.
-    by_freq = global_rank(
-        base,
-        [F.desc_nulls_last("Frequency"), F.desc_nulls_last("Monetary"), F.asc_nulls_last("CustomerId")],
-        rank_col="_frank",
-        count_col="_n",
-    )
-    q = by_freq.agg(
-        F.percentile(F.col("Recency"), [0.25, 0.5, 0.75]).alias("q")
-    ).first()["q"] or [None, None, None]
-    by_money = global_rank(
-        by_freq, [F.desc_nulls_last("Monetary"), F.asc_nulls_last("CustomerId")], rank_col="_mrank"
-    )
+    money, who = descending("Monetary"), ascending_text("CustomerId")
+    orders = [[*descending("Frequency"), *money, *who], [*money, *who]]
+    kinds = [["int", "double"] * 2 + ["int", "text"], ["int", "double", "int", "text"]]
+    slim = base.select("CustomerId", "Recency", "Frequency", "Monetary")
+    if not stored:
+        slim = slim.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        whole = slim.agg(F.count(F.lit(1)).alias("n"), F.percentile(F.col("Recency"), [0.25, 0.5, 0.75]).alias("q")).first()
+        ranks = _quartile_ranks(whole["n"]) if whole["n"] else []
+        cuts = keys_at_ranks(slim, orders, kinds, [ranks, ranks])
+    finally:
+        if not stored:
+            slim.unpersist()
+    q = whole["q"] or [None, None, None]
     recency = F.col("Recency")
     recency_score = (
         F.when(recency <= F.lit(q[0]), 4)
@@ -51,13 +78,10 @@ def rfm_scores(customers: DataFrame, fm_direction: str = "as_reference") -> Data
         .when(recency <= F.lit(q[2]), 2)
         .otherwise(1)
     )
-    freq_score = quartile_of_rank(F.col("_frank"), F.col("_n"))
-    money_score = quartile_of_rank(F.col("_mrank"), F.col("_n"))
+    freq_score, money_score = (_quartile(o, c) if c else F.lit(4) for o, c in zip(orders, cuts))
     if fm_direction == "high_is_good":
         freq_score, money_score = 5 - freq_score, 5 - money_score
-    elif fm_direction != "as_reference":
-        raise ValueError(f"unknown fm_direction: {fm_direction}")
-    scored = by_money.withColumns({
+    scored = base.withColumns({
         "RecencyScore": recency_score.cast("int"),
         "FrequencyScore": freq_score.cast("int"),
         "MonetaryScore": money_score.cast("int"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custlens.functions.dates import month_start
+from custlens.functions.numeric import exact_sum
 from custlens.operators.ordering import fill_month_gaps
 from custlens.plans.common import sort_bounded, unpivot_metrics
 
@@ -22,7 +23,7 @@ def monthly_trend(df: DataFrame) -> DataFrame:
         df.where(F.col("Date").isNotNull())
         .groupBy(month_start(F.col("Date")).alias("month_ts"))
         .agg(
-            F.sum("Revenue").alias("MonthRevenue"),
+            exact_sum(F.col("Revenue")).alias("MonthRevenue"),
             F.count_distinct("OrderId").alias("MonthOrders"),
         )
     )

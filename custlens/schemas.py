@@ -64,7 +64,7 @@ SOURCE_SCHEMAS: dict[str, StructType] = {
 # Tables without which no fact can be built; a missing lookup only yields nulls.
 FACT_SOURCES = ("orders", "order_lines")
 
-# Their key columns: without one of them no row could be joined.
+# Their key columns; without one of them no row could be joined.
 FACT_KEYS: dict[str, tuple[str, ...]] = {
     "orders": ("OrderId", "CustomerId", "SalesRepId", "ShippingMethodRequested"),
     "order_lines": ("OrderLineId", "OrderId", "ProductId", "ShipperId"),

@@ -11,7 +11,6 @@ from __future__ import annotations
 import datetime as dt
 import logging
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,29 +73,54 @@ def conform_source(df: DataFrame, name: str) -> DataFrame:
     return df.select(out)
 
 
-def parquet_sources(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+# Tables that grow with the business: read in parallel parts or not at all.
+PARTITIONED_TABLES = ("orders", "order_lines", "packs")
+PARTITION_OPTIONS = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
+
+
+def readable(df: DataFrame, name: str, whole: bool = True) -> bool:
+    """Whether a lookup can be read, by trying: the columns that its scan takes, of all
+    its rows (``whole``) or of the first one.
+
+    A file that fails only when its pages are read, or a database table without the
+    right to select from it, shows here and not in the middle of the fact build.  No row
+    leaves its task.
+    """
+    probe = df.select([c for c in SCAN_COLUMNS[name] if c in df.columns])
+    try:
+        if whole:
+            probe.write.format("noop").mode("overwrite").save()
+        else:
+            probe.isEmpty()
+    except Exception as e:  # whatever its reader raises
+        log.warning("lookup '%s' cannot be read: %s", name, type(e).__name__)
+        return False
+    return True
+
+
+def parquet_sources(spark: SparkSession, root: str, probe: bool = True) -> dict[str, DataFrame]:
     """Raw tables stored as ``<root>/<name>`` Parquet datasets, on any filesystem.
 
     Spark resolves each path through its filesystem and reads the stored schema.  A
     lookup that is absent or cannot be read is left out (:func:`scan_sources` joins it
-    as empty); orders and order lines must be readable and hold their keys.
+    as empty); orders and order lines must be readable and hold their keys.  ``probe``
+    reads the lookups once to find those that fail only then (not the packs, which grow
+    with the business: a failure there fails the build).
     """
     raw = {}
     for name in SOURCE_SCHEMAS:
         try:
-            raw[name] = conform_source(spark.read.parquet(f"{root.rstrip('/')}/{name}"), name)
-        except AnalysisException as e:
+            df = conform_source(spark.read.parquet(f"{root.rstrip('/')}/{name}"), name)
+        except Exception as e:  # no such folder, no schema, or a footer that can't be read
             if name in FACT_SOURCES:
                 raise
-            log.warning("lookup '%s' cannot be read: %s", name, e.getCondition())
+            log.warning("lookup '%s' cannot be read: %s", name, type(e).__name__)
+            continue
+        if not probe or name in PARTITIONED_TABLES or readable(df, name):
+            raw[name] = df
     return raw
 
 
-# Tables that grow with the business: read in parallel parts or not at all.
-PARTITIONED_TABLES = ("orders", "order_lines", "packs")
-PARTITION_OPTIONS = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
-
-
 def jdbc_sources(
     spark: SparkSession,
     url: str,
@@ -109,6 +133,7 @@ def jdbc_sources(
     ``partitioning`` gives per-table parallel-read options (``partitionColumn``,
     ``lowerBound``, ``upperBound``, ``numPartitions``).  Orders, order lines and packs
     must have them: an unpartitioned read would pull a whole table through one task.
+    A lookup that the database refuses is left out, as in :func:`parquet_sources`.
     """
     for name in PARTITIONED_TABLES:
         lacking = [o for o in PARTITION_OPTIONS if o not in (partitioning or {}).get(name, {})]
@@ -122,8 +147,16 @@ def jdbc_sources(
             reader = reader.option(key, value)
         for key, value in (partitioning or {}).get(name, {}).items():
             reader = reader.option(key, value)
-        df = reader.load()
-        raw[name] = df.select([F.col(db).alias(src) for db, src in columns.items()])
+        try:
+            df = reader.load()
+            df = df.select([F.col(db).alias(src) for db, src in columns.items()])
+        except Exception as e:  # no such table or column, no right to read it
+            if name in FACT_SOURCES:
+                raise
+            log.warning("lookup '%s' cannot be read: %s", name, type(e).__name__)
+            continue
+        if name in PARTITIONED_TABLES or readable(df, name, whole=False):
+            raw[name] = df
     return raw
 
 
@@ -172,8 +205,15 @@ def scan_packs(packs: DataFrame, lines_raw: DataFrame, params: Params) -> DataFr
     return with_line_key(packs.select(SCAN_COLUMNS["packs"])).join(in_range, "OrderLineId", "left_semi")
 
 
-def scan_sources(spark: SparkSession, raw: dict[str, DataFrame], params: Params) -> dict[str, DataFrame]:
-    """All nine scans.  Missing lookups become empty typed tables."""
+def scan_sources(
+    spark: SparkSession, raw: dict[str, DataFrame], params: Params, reduce_packs: bool = True
+) -> dict[str, DataFrame]:
+    """All nine scans.  Missing lookups become empty typed tables.
+
+    ``reduce_packs`` keeps only packs of order lines in the fetch range (S9), which reads
+    the lines once more.  The fact build joins the packs to those lines anyway, so it
+    leaves the step out and reads the lines once.
+    """
     for name in FACT_SOURCES:
         if name not in raw:
             raise KeyError(f"source table '{name}' is required to build the fact")
@@ -191,7 +231,10 @@ def scan_sources(spark: SparkSession, raw: dict[str, DataFrame], params: Params)
             log.warning("lookup '%s' missing - joined as empty", name)
             scanned[name] = _empty(spark, name)
     if "packs" in raw:
-        scanned["packs"] = scan_packs(raw["packs"], raw["order_lines"], params)
+        scanned["packs"] = (
+            scan_packs(raw["packs"], raw["order_lines"], params) if reduce_packs
+            else with_line_key(raw["packs"].select(SCAN_COLUMNS["packs"]))
+        )
     else:
         scanned["packs"] = with_line_key(_empty(spark, "packs"))
     return scanned

@@ -1,72 +1,174 @@
-"""The persisted fact (S11-S13) and table sinks for exports."""
+"""The persisted fact (S11-S13) in snapshots, and table sinks for exports.
+
+A stored fact is a folder:
+
+    data/<write>/lines/OrderMonth=2001-03-01/*.parquet    the order lines of the months written
+    data/<write>/orders/OrderMonth=2001-03-01/*.parquet   their order-level rollup
+    data/<write>/customers/*.parquet                      customer attribute rows of the snapshot
+    manifests/<n>/                                        the files of snapshot n, with rows and bytes
+    commits/<n>/                                          one row, written last: snapshot n is complete
+
+Every write goes to a folder of its own name, so nothing that a reader uses is touched;
+the commit row makes it visible.  A write that is killed leaves the last snapshot as it
+was.  :func:`refresh_fact` writes only the months that new rows fall into and takes the
+files of the other months over into the new manifest.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
 import logging
+import uuid
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StructField, StructType
+from pyspark.sql.types import DateType, DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType
 
 from custlens.config import Params
 from custlens.functions.dates import month_start
+from custlens.functions.text import normalize_key
+from custlens.operators.conform import conform_fact
+from custlens.operators.rollup import ATTRIBUTES, ROLLUP_KEYS, attribute_rows, order_rollup
 from custlens.schemas import FACT
+from custlens.sources import files
+from custlens.sources.scans import scan_order_lines, scan_orders
 
 log = logging.getLogger(__name__)
 
 PARTITION_COLUMN = "OrderMonth"
-STORED_FACT = StructType(FACT.fields + [StructField(PARTITION_COLUMN, DateType(), True)])
-# What a stored fact holds, in a folder that readers of the fact skip (leading "_") and
-# that an overwrite of the fact removes.
-INFO = "_info"
-INFO_DDL = "fetch_start date, fetch_end date, packed_status string, n_rows bigint"
-
+_MONTH = StructField(PARTITION_COLUMN, DateType(), True)
+ROLLUP = StructType(
+    [StructField(c, DateType() if c == "Date" else StringType(), True) for c in ROLLUP_KEYS]
+    + [StructField(c, DoubleType(), True) for c in ("Revenue", "Cost", "WeightLb")]
+    + [StructField("ShipDate", TimestampNTZType(), True), StructField("Lines", LongType(), True)])
+TABLES = {
+    "lines": StructType([*FACT.fields, _MONTH]),
+    "orders": StructType([*ROLLUP.fields, _MONTH]),
+    "customers": StructType([StructField(c, StringType(), True) for c in ("CustomerId", *ATTRIBUTES)]),
+}
+MANIFEST_DDL = f"file string, folder string, {PARTITION_COLUMN} date, n_rows bigint, n_bytes bigint"
+COMMIT_DDL = ("snapshot int, fetch_start date, fetch_end date, packed_status string, n_rows bigint, "
+              "first_month date, last_month date, written_months int")
+# Rows of a month lie sorted by customer, and the files carry Bloom filters of the ids, so
+# a drilldown into one customer skips files, row groups and pages.
+BLOOM_OPTIONS = {"parquet.bloom.filter.enabled#CustomerId": "true", "parquet.bloom.filter.max.bytes": str(1 << 20)}
 
-def write_fact(fact: DataFrame, path: str, params: Params | None = None) -> None:
-    """Overwrite the fact as Parquet partitioned by order month.
 
-    The ``rebalance`` hint clusters rows by month and lets AQE cut the
-    shuffle output into advisory-size partitions: a large month is split over
-    several tasks (no skew), small months are coalesced, so each task writes
-    few, well-sized files instead of one file per task and month.
+def _write(df: DataFrame, folder: str, options: dict[str, str]) -> None:
+    """The rows partitioned by order month.
 
-    With ``params``, the fetch range, the order status and the number of rows are
-    recorded beside the data, last, so that a write that failed midway has no record.
+    The ``rebalance`` hint clusters rows by month and lets AQE cut the shuffle output
+    into advisory-size partitions: a large month is split over several tasks (no skew),
+    small months are coalesced, so each task writes few, well-sized files instead of one
+    file per task and month.
     """
     (
-        fact.withColumn(PARTITION_COLUMN, month_start(F.col("Date")))
+        df.withColumn(PARTITION_COLUMN, month_start(F.col("Date")))
         .hint("rebalance", PARTITION_COLUMN)
-        .write.mode("overwrite")
-        .partitionBy(PARTITION_COLUMN)
-        .parquet(path)
+        .sortWithinPartitions(PARTITION_COLUMN, "CustomerId")
+        .write.options(**options).partitionBy(PARTITION_COLUMN).parquet(folder)
     )
-    if params is not None:
-        spark = fact.sparkSession
-        n_rows = _stored_rows(spark, path)
-        row = (params.fetch_start, params.fetch_end, params.packed_status, n_rows)
-        spark.createDataFrame([row], INFO_DDL).coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/{INFO}")
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STORED_FACT).parquet(path)
+def _listed(spark: SparkSession, root: str, table: str, folders: list[str], manifest: bool) -> DataFrame:
+    """Files of a table's folders; for a manifest with their rows (from their footers)."""
+    name = F.regexp_extract("_metadata.file_path", f"/(data/[^/]+/{table}/.*)$", 1).alias("file")
+    if not manifest:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
+            [f"{root}/{f}" for f in folders])
+        return found.select(name, F.col("_metadata.file_size").alias("n_bytes"))
+    (folder,) = folders
+    rows = spark.read.schema(TABLES[table]).parquet(f"{root}/{folder}")
+    month = F.col(PARTITION_COLUMN) if _MONTH in TABLES[table].fields else F.lit(None).cast("date")
+    return rows.groupBy(name, F.col("_metadata.file_size").alias("n_bytes"), month.alias(PARTITION_COLUMN)).agg(
+        F.count(F.lit(1)).alias("n_rows")).select(
+        "file", F.lit(folder).alias("folder"), PARTITION_COLUMN, "n_rows", "n_bytes")
+
+
+def _commits(spark: SparkSession, path: str) -> list[int]:
+    return [int(n) for n in files.names(spark, f"{path}/commits") if files.exists(spark, f"{path}/commits/{n}/_SUCCESS")]
+
+
+def _manifest(spark: SparkSession, path: str, snapshot: int) -> DataFrame:
+    return spark.read.schema(MANIFEST_DDL).parquet(f"{path}/manifests/{snapshot}")
 
 
-def _stored_rows(spark: SparkSession, path: str) -> int:
-    """Rows of the stored files; reads their footers only, and fails on a broken one."""
-    return _stored(spark, path).count()
+def _commit(spark: SparkSession, path: str, manifest: DataFrame, params: Params, written: int) -> int:
+    """The next snapshot; fails if another writer took its number."""
+    taken = files.names(spark, f"{path}/manifests") + files.names(spark, f"{path}/commits")
+    snapshot = max((int(n) for n in taken), default=0) + 1
+    manifest.write.parquet(f"{path}/manifests/{snapshot}")
+    lines = F.col("file").contains("/lines/")
+    month = F.when(lines, F.col(PARTITION_COLUMN))
+    t = _manifest(spark, path, snapshot).agg(
+        F.coalesce(F.sum(F.when(lines, F.col("n_rows"))), F.lit(0)).alias("n"), F.min(month).alias("a"), F.max(month).alias("b")).first()
+    row = (snapshot, params.fetch_start, params.fetch_end, params.packed_status, t["n"], t["a"], t["b"], written)
+    spark.createDataFrame([row], COMMIT_DDL).coalesce(1).write.json(f"{path}/commits/{snapshot}")
+    log.info("snapshot %d of %s: %d rows, months %s to %s, %d months written", snapshot, path, t["n"], t["a"], t["b"], written)
+    return snapshot
 
 
-def read_fact(
-    spark: SparkSession, path: str, start: dt.date | None = None, end: dt.date | None = None
-) -> DataFrame:
-    """Read the persisted fact with its declared schema.
+def _new_write(spark: SparkSession, path: str, fact: DataFrame, options: dict[str, str]) -> tuple[str, DataFrame]:
+    """Lines and their rollup in a new data folder; returns it with the files' rows."""
+    write = f"data/{uuid.uuid4().hex}"
+    _write(fact.select(FACT.fieldNames()), f"{path}/{write}/lines", {**BLOOM_OPTIONS, **options})
+    # The rollup is made from the lines just written: the fact's joins run once.
+    lines = spark.read.schema(TABLES["lines"]).parquet(f"{path}/{write}/lines").drop(PARTITION_COLUMN)
+    _write(order_rollup(conform_fact(lines)), f"{path}/{write}/orders", {**BLOOM_OPTIONS, **options})
+    new = _listed(spark, path, "lines", [f"{write}/lines"], True).unionByName(
+        _listed(spark, path, "orders", [f"{write}/orders"], True))
+    return write, new
 
-    A date range adds matching bounds on the partition column, so only the
-    needed month directories are listed and read (partition pruning).
+
+def _finish(spark: SparkSession, path: str, write: str, manifest: DataFrame, params: Params, written: int) -> int:
+    """Adds the snapshot's customer attributes, from its rollup, and commits."""
+    folders = [r["f"] for r in manifest.where("file LIKE '%/orders/%'").select(F.regexp_extract("file", "(.*)/", 1).alias("f")).distinct().collect()]
+    orders = _read(spark, path, "orders", folders)
+    attribute_rows(orders).write.parquet(f"{path}/{write}/customers")
+    whole = manifest.unionByName(_listed(spark, path, "customers", [f"{write}/customers"], True))
+    return _commit(spark, path, whole, params, written)
+
+
+def write_fact(fact: DataFrame, path: str, params: Params | None = None, options: dict[str, str] | None = None) -> int:
+    """The whole fact as the next snapshot; returns its number.
+
+    ``params`` are recorded: what fetch range and order status the fact holds.  Without
+    them the snapshot can be read but covers no request.
     """
-    df = _stored(spark, path)
+    path = path.rstrip("/")
+    spark = fact.sparkSession
+    write, new = _new_write(spark, path, fact, options or {})
+    months = new.where("file LIKE '%/lines/%'").select(PARTITION_COLUMN).distinct().count()
+    return _finish(spark, path, write, new, params or Params(packed_status=None), months)
+
+
+def _read(spark: SparkSession, path: str, table: str, folders: list[str]) -> DataFrame:
+    """Month folders of a table, which may lie in the data folders of several writes."""
+    if not folders:
+        return spark.createDataFrame([], TABLES[table])
+    by_write: dict[str, list[str]] = {}
+    for f in folders:
+        by_write.setdefault(f.split(f"/{table}")[0], []).append(f)
+    parts = [spark.read.schema(TABLES[table]).option("basePath", f"{path}/{w}/{table}").parquet(*[f"{path}/{f}" for f in sorted(fs)])
+             for w, fs in sorted(by_write.items())]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _folders(spark: SparkSession, path: str, snapshot: int, table: str, start: dt.date | None, end: dt.date | None) -> list[str]:
+    """Folders of a table's months in the range: at most one per month of the calendar."""
+    rows = _manifest(spark, path, snapshot).where(F.col("file").contains(f"/{table}/"))
+    if start is not None:
+        rows = rows.where(F.col(PARTITION_COLUMN) >= F.lit(start.replace(day=1)))
+    if end is not None:
+        rows = rows.where(F.col(PARTITION_COLUMN) <= F.lit(end.replace(day=1)))
+    return [r["f"] for r in rows.select(F.regexp_extract("file", "(.*)/", 1).alias("f")).distinct().collect()]
+
+
+def _in_range(df: DataFrame, start: dt.date | None, end: dt.date | None) -> DataFrame:
     if start is not None:
         df = df.where(F.col(PARTITION_COLUMN) >= F.lit(start.replace(day=1)))
     if end is not None:
@@ -74,48 +176,220 @@ def read_fact(
     return df.drop(PARTITION_COLUMN)
 
 
-def fact_info(spark: SparkSession, path: str) -> dict | None:
-    """What the fact at ``path`` was built for; None without a complete record."""
+def last_snapshot(spark: SparkSession, path: str) -> int:
+    commits = _commits(spark, path.rstrip("/"))
+    if not commits:
+        raise FileNotFoundError(f"there is no stored fact at {path}")
+    return max(commits)
+
+
+def read_table(spark: SparkSession, path: str, table: str, start: dt.date | None = None, end: dt.date | None = None,
+               snapshot: int | None = None) -> DataFrame:
+    """``lines``, ``orders`` or ``customers`` of a snapshot (the last one by default).
+
+    A date range opens only the folders of its months.
+    """
+    path = path.rstrip("/")
+    snapshot = snapshot or last_snapshot(spark, path)
+    if table == "customers":
+        return _read(spark, path, table, _folders(spark, path, snapshot, table, None, None))
+    return _in_range(_read(spark, path, table, _folders(spark, path, snapshot, table, start, end)), start, end)
+
+
+def read_fact(spark: SparkSession, path: str, start: dt.date | None = None, end: dt.date | None = None,
+              snapshot: int | None = None) -> DataFrame:
+    """The lines of the persisted fact with their declared schema."""
+    return read_table(spark, path, "lines", start, end, snapshot)
+
+
+def fact_info(spark: SparkSession, path: str, snapshot: int | None = None) -> dict | None:
+    """What the fact at ``path`` holds; None without a complete snapshot."""
+    path = path.rstrip("/")
     try:
-        row = spark.read.schema(INFO_DDL).json(f"{path.rstrip('/')}/{INFO}").first()
-    except PySparkException:
+        snapshot = snapshot or last_snapshot(spark, path)
+        row = spark.read.schema(COMMIT_DDL).json(f"{path}/commits/{snapshot}").first()
+    except (FileNotFoundError, PySparkException):
         return None
     return row.asDict() if row is not None and row["n_rows"] is not None else None
 
 
 def fact_covers(spark: SparkSession, path: str, params: Params) -> bool:
-    """True when the fact at ``path`` has all rows that ``params`` would fetch and all
-    its files can be read (their footers' row counts add up to the recorded one)."""
+    """True when the fact at ``path`` has all rows that ``params`` would fetch and the
+    files of the report's months are there as the manifest says.
+
+    Names and sizes are compared with a listing of those months; no file is opened.
+    """
+    path = path.rstrip("/")
     info = fact_info(spark, path)
     if info is None or info["packed_status"] != params.packed_status:
         return False
     if info["fetch_start"] > params.fetch_start or info["fetch_end"] < params.fetch_end:
         return False
     try:
-        return _stored_rows(spark, path) == info["n_rows"]
-    except Exception as e:  # whatever a broken file raises in its reader
+        manifest = _manifest(spark, path, info["snapshot"])
+        for table in TABLES:
+            bounds = (None, None) if table == "customers" else (params.start, params.end)
+            folders = _folders(spark, path, info["snapshot"], table, *bounds)
+            if not folders:
+                continue
+            wanted = manifest.where(F.regexp_extract("file", "(.*)/", 1).isin(folders)).select("file", "n_bytes")
+            if not wanted.join(_listed(spark, path, table, folders, False), ["file", "n_bytes"], "left_anti").isEmpty():
+                log.warning("the stored fact at %s lacks files of its manifest", path)
+                return False
+    except Exception as e:  # whatever a broken folder raises in its reader
         log.warning("cannot read the stored fact at %s: %s", path, type(e).__name__)
         return False
+    return True
+
+
+def require_covered(spark: SparkSession, path: str, params: Params) -> None:
+    """Raises unless the stored fact holds all rows of the request."""
+    if not fact_covers(spark, path, params):
+        info = fact_info(spark, path)
+        have = "no complete snapshot" if info is None else (
+            f"orders '{info['packed_status']}' fetched from {info['fetch_start']} to {info['fetch_end']}")
+        raise ValueError(f"the fact at {path} holds {have}; the request needs '{params.packed_status}' from "
+                         f"{params.fetch_start} to {params.fetch_end}; give a source to rebuild it")
 
 
 def load_or_build(spark: SparkSession, path: str, build, params: Params, rebuild: bool = False) -> DataFrame:
     """Read the persisted fact if it covers ``params``, else build, write, read back.
 
     A fact that was built for a narrower fetch range or another order status, or whose
-    files are incomplete or unreadable, is rebuilt; a wider one is read.  The months of
-    the report range bound what is read.
+    files are incomplete, is rebuilt; a wider one is read.  The months of the report range
+    bound what is read.
     """
+    ensure_fact(spark, path, build, params, rebuild)
+    return read_fact(spark, path, params.start, params.end)
+
+
+def ensure_fact(spark: SparkSession, path: str, build, params: Params, rebuild: bool = False) -> None:
+    """Builds and writes the fact unless the stored one covers ``params``."""
     if rebuild or not fact_covers(spark, path, params):
         write_fact(build(), path, params)
-    return read_fact(spark, path, params.start, params.end)
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Export sink (CSV with header, or Parquet); replaces the workbook export."""
+def affected_months(raw: dict[str, DataFrame], info: dict, params: Params) -> list[dt.date]:
+    """Months of orders that rows outside the stored fetch range belong to.
+
+    A line fetched for the first time can belong to an order of a month stored long ago;
+    orders and lines are both compared with the stored range.  One row per month comes back.
+    """
+    old = params.replace(fetch_start=info["fetch_start"], fetch_end=info["fetch_end"])
+
+    def key(df):
+        return normalize_key(F.col("OrderId"), df.schema["OrderId"].dataType).alias("k")
+
+    def fresh(df, created):
+        bounds = [F.lit(d.isoformat()).cast("timestamp_ntz") for d in (old.fetch_start, old.fetch_end)]
+        return df.where(~F.col(created).between(*bounds))
+
+    month = month_start(F.to_date("CreatedAt_order")).alias("m")
+    orders = scan_orders(raw["orders"], params)
+    lines = scan_order_lines(fresh(raw["order_lines"], "CreatedAt"), params)
+    by_line = orders.select(key(orders), month).join(lines.select(key(lines)), "k", "left_semi").select("m")
+    by_order = fresh(orders, "CreatedAt_order").select(month)
+    return sorted(r["m"] for r in by_line.unionByName(by_order).distinct().collect())
+
+
+def refresh_fact(spark: SparkSession, path: str, raw: dict[str, DataFrame], params: Params, build,
+                 since: dt.date | None = None, options: dict[str, str] | None = None) -> list[dt.date]:
+    """Extends the stored fact to the fetch range of ``params``; returns the months written.
+
+    Only months with rows from outside the stored range are built (``build(raw)`` on
+    sources whose orders are cut to these months) and written; the others' files are
+    taken over.  Rows that changed inside the stored range are not noticed, neither a late
+    change of an order's status nor of a lookup: ``since`` rewrites all months from that
+    date on, a new :func:`write_fact` all.  Without a stored fact, with another status or
+    with a range that does not hold the stored one, everything is built.
+    """
+    path = path.rstrip("/")
+    info = fact_info(spark, path)
+    whole = info is None or info["packed_status"] != params.packed_status or (
+        info["fetch_start"] < params.fetch_start or info["fetch_end"] > params.fetch_end)
+    if whole:
+        snapshot = write_fact(build(raw), path, params, options)
+        found = _manifest(spark, path, snapshot).where(F.col(PARTITION_COLUMN).isNotNull())
+        return sorted(r[0] for r in found.select(PARTITION_COLUMN).distinct().collect())
+    months = affected_months(raw, info, params)
+    if since is not None:
+        later = month_start(F.to_date("CreatedAt_order"))
+        orders = scan_orders(raw["orders"], params).select(later.alias("m")).where(F.col("m") >= F.lit(since.replace(day=1)))
+        months = sorted({*months, *(r["m"] for r in orders.distinct().collect())})
+    old = _manifest(spark, path, info["snapshot"])
+    kept = old.where(F.col(PARTITION_COLUMN).isNull() | ~F.col(PARTITION_COLUMN).isin(months)) if months else old
+    kept = kept.where(~F.col("file").contains("/customers/"))
+    if not months:
+        write = f"data/{uuid.uuid4().hex}"
+        _finish(spark, path, write, kept, params, 0)
+        return []
+    created = F.col("CreatedAt_order")
+    first, last = min(months), (max(months).replace(day=28) + dt.timedelta(days=4)).replace(day=1)
+    orders = raw["orders"].where(  # the bounds reach the scan
+        (created >= F.lit(first.isoformat()).cast("timestamp_ntz")) & (created < F.lit(last.isoformat()).cast("timestamp_ntz"))
+        & month_start(F.to_date(created)).isin(months))
+    write, new = _new_write(spark, path, build({**raw, "orders": orders}), options or {})
+    _finish(spark, path, write, kept.unionByName(new), params, len(months))
+    return months
+
+
+def expire_snapshots(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Removes all but the last ``keep`` snapshots and the data that only they use,
+    leftovers of killed writes included; returns the number of data folders removed.
+    No write may run meanwhile, and no reader of an older snapshot."""
+    path = path.rstrip("/")
+    kept = _commits(spark, path)[-keep:] if keep > 0 else []
+    if not kept:
+        return 0
+    used = set()
+    for n in kept:
+        rows = _manifest(spark, path, n).select(F.regexp_extract("file", "data/([^/]+)/", 1).alias("w")).distinct().collect()
+        used |= {r["w"] for r in rows}
+    gone = [w for w in files.names(spark, f"{path}/data") if w not in used]
+    for kind in ("commits", "manifests"):
+        for n in files.names(spark, f"{path}/{kind}"):
+            if int(n) not in kept:
+                files.remove(spark, f"{path}/{kind}/{n}")
+    for w in gone:
+        files.remove(spark, f"{path}/data/{w}")
+    return len(gone)
+
+
+# The CSV dialect of exports.  Null is \N and the empty text "", quotes are doubled, line
+# breaks stay inside quotes, spaces are kept, times keep their microseconds.
+CSV_DIALECT = {
+    "header": "true", "nullValue": "\\N", "quote": '"', "escape": '"',
+    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "encoding": "UTF-8",
+    "dateFormat": "yyyy-MM-dd", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
+def read_export(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
+    """An exported table with the schema it was written from."""
+    reader = spark.read.schema(schema)
+    return reader.options(**CSV_DIALECT, multiLine="true").csv(path) if fmt == "csv" else reader.parquet(path)
+
+
+def _fingerprint(df: DataFrame) -> tuple:
+    """Rows and an order-independent checksum of all values."""
+    hashed = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in df.columns])
+    return tuple(df.agg(F.count(F.lit(1)), F.sum(hashed.cast("decimal(38,0)"))).first())
+
+
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", check: bool = False) -> None:
+    """Export sink (CSV in the declared dialect, or Parquet); replaces the workbook export.
+
+    ``check`` reads the export back and compares rows and values, so a text that the
+    dialect cannot hold (one equal to the null mark) is reported, not changed silently.
+    """
     writer = df.write.mode("overwrite")
     if fmt == "csv":
-        writer.option("header", "true").csv(path)
+        writer.options(**CSV_DIALECT).csv(path)
     elif fmt == "parquet":
         writer.parquet(path)
     else:
         raise ValueError(f"unsupported export format: {fmt}")
+    if check:
+        wrote, back = _fingerprint(df), _fingerprint(read_export(df.sparkSession, path, df.schema, fmt))
+        if wrote != back:
+            raise ValueError(f"the export at {path} reads back as {back}, not {wrote}")

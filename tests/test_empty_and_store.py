@@ -88,7 +88,7 @@ def test_damaged_fact_is_rebuilt(spark, scratch, damage):
         return _fact_rows(spark, dt.date(2001, 2, 3), dt.date(2001, 7, 1))
 
     load_or_build(spark, path, build, STORED)
-    part = sorted(glob.glob(f"{path}/OrderMonth=*/*.parquet"))[0]
+    part = sorted(glob.glob(f"{path}/data/*/lines/OrderMonth=*/*.parquet"))[0]
     if damage == "corrupt":
         with open(part, "wb") as f:
             f.write(b"not parquet at all")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import pytest
+
 from custlens import jobs
+from custlens.sources.store import read_fact
 
 SF = "/root/testdata/sf0.001"
 ARGS = ["--fetch-start", "1996-01-01", "--fetch-end", "2001-06-30", "--start", "1996-01-01",
@@ -51,10 +54,23 @@ def test_report_with_a_source_reads_only_its_months(spark, scratch, monkeypatch)
     assert "PartitionFilters: [isnotnull(OrderMonth" in plan and "1998-03-01" in plan
 
 
+def test_report_without_a_source_needs_a_covering_fact(spark, scratch):
+    fact = f"{scratch}/fact"
+    short = [*ARGS[:2], "--fetch-end", "1999-12-31", *ARGS[4:]]
+    jobs.main(["build-fact", "--fixture-dir", SF, "--fact", fact, *short], spark=spark)
+    with pytest.raises(ValueError, match="1999-12-31"):
+        jobs.main(["report", "weekday_revenue", "--fact", fact, "--out", f"{scratch}/out", *ARGS], spark=spark)
+    with pytest.raises(ValueError, match="no complete snapshot"):
+        jobs.main(["report", "weekday_revenue", "--fact", f"{scratch}/none", "--out", f"{scratch}/out", *ARGS], spark=spark)
+    months = jobs.main(["refresh-fact", "--fixture-dir", SF, "--fact", fact, *ARGS], spark=spark)
+    assert "2000-01-01" in months and max(months) == "2001-06-01"
+    jobs.main(["report", "weekday_revenue", "--fact", fact, "--out", f"{scratch}/out", "--format", "csv", "--check", *ARGS], spark=spark)
+
+
 def test_drilldown_job(spark, scratch):
     fact = f"{scratch}/fact"
     jobs.main(["build-fact", "--fixture-dir", SF, "--fact", fact, *ARGS], spark=spark)
-    name = spark.read.parquet(fact).where("CustomerName is not null").first()["CustomerName"]
+    name = read_fact(spark, fact).where("CustomerName is not null").first()["CustomerName"]
     out = jobs.main(["report", "top10_revenue", "--drilldown", name, "--fact", fact, "--out", f"{scratch}/out", *ARGS], spark=spark)
     assert [p.rsplit("/", 1)[1] for p in out] == [
         "top10_revenue", "drilldown_profile", "drilldown_monthly_history", "drilldown_category_mix"]
@@ -68,8 +84,6 @@ def _args(*more):
 
 
 def test_jdbc_options(monkeypatch):
-    import pytest
-
     from custlens.sources.scans import jdbc_sources
 
     monkeypatch.setenv("DB_SECRET", "s3cret")

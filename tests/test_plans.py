@@ -7,10 +7,11 @@ import re
 
 import pytest
 
-from custlens.catalog import QUERIES
+from custlens.catalog import QUERIES, REPORTS
 from custlens.config import DRIVER_PARAMS
 from custlens.operators.fact import build_fact
 from custlens.plans.context import Analysis
+from custlens.sources.store import read_fact, write_fact
 from tests.helpers import plan_text
 
 SF = "/root/testdata/sf0.001"
@@ -22,8 +23,8 @@ FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "
 # regions, cohort months, N rows per region).
 BOUNDED_SINGLE = {
     "customer_kpis": 1, "load_sources": 9, "monthly_churn_trend": 2, "monthly_trend": 2,
-    "monthly_trend_long": 2, "new_vs_returning": 1, "pareto": 1, "rfm_scores": 1,
-    "rfm_segments": 2, "top10_rfm": 1, "churn_by_region": 1, "cohort_retention": 1,
+    "monthly_trend_long": 2, "new_vs_returning": 1, "pareto": 1,
+    "rfm_segments": 1, "churn_by_region": 1, "cohort_retention": 1,
     "weekday_revenue": 1, "top_customers_per_region": 1, "churn_by_region_180": 1,
     "churn_by_region_365": 1,
 }
@@ -78,7 +79,7 @@ def test_lines_move_at_most_once_per_large_join(spark, conf):
     conf(_without_broadcasts(spark, **{"spark.sql.adaptive.enabled": "false"}))
     plan = plan_text(Analysis.from_fixture(spark, SF, DRIVER_PARAMS).fact)
     tree = plan.split("\n\n")[0]
-    assert tree.count("SortMergeJoin") == 10 and "BroadcastHashJoin" not in tree
+    assert tree.count("SortMergeJoin") == 9 and "BroadcastHashJoin" not in tree
     # Exchanges of rows that hold a line's price (SalePrice) and its packs' weight.
     moved = [x for x in re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", plan) if "SalePrice" in x and "WeightLb" in x]
     assert len(moved) <= 3
@@ -130,10 +131,95 @@ def test_report_inputs_before_their_checkpoint(spark, key):
     assert not any(op in plan for op in FORBIDDEN) and "SinglePartition" not in plan
 
 
+def _scans(plan, table):
+    """Scans of a table in a physical plan, reused exchanges not counted twice."""
+    return len(re.findall(rf"Location: [^\n]*/{table}\b", plan))
+
+
+def test_fact_build_reads_order_lines_and_packs_once(spark, scratch):
+    from custlens.sources.fixture import fixture_sources
+    from custlens.sources.scans import parquet_sources
+
+    for name, df in fixture_sources(spark, SF).items():
+        df.write.parquet(f"{scratch}/sources/{name}")
+    plan = plan_text(Analysis(spark, DRIVER_PARAMS, raw=parquet_sources(spark, f"{scratch}/sources")).fact)
+    assert [_scans(plan, t) for t in ("order_lines", "packs", "orders")] == [1, 1, 1]
+
+
+def test_lines_meet_orders_before_packs(spark, conf):
+    conf(_without_broadcasts(spark, **{"spark.sql.adaptive.enabled": "false"}))
+    plan = plan_text(Analysis.from_fixture(spark, SF, DRIVER_PARAMS).fact)
+    exchanged = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\nArguments: hashpartitioning\((\w+)#", plan)
+    lines = [key for columns, key in exchanged if "SalePrice" in columns]
+    assert lines.index("OrderId") < lines.index("OrderLineId")
+    by_pack = next(columns for columns, key in exchanged if "SalePrice" in columns and key == "OrderLineId")
+    assert "CustomerId" in by_pack  # the order is attached already
+
+
+ROLLUP_REPORTS = ["customer_aggregates", "customer_kpis", "top10_revenue", "monthly_trend", "cohort_retention", "churn_by_region",
+                  "monthly_churn_trend", "new_vs_returning", "top10_clv", "weekday_revenue", "top_customers_per_region",
+                  "customer_profile", "customer_monthly_history", "filter_options", "export_customer_details"]
+
+
+@pytest.fixture(scope="module")
+def stored(spark):
+    import tempfile
+
+    path = tempfile.mkdtemp(prefix="custlens-test-", dir="/tmp") + "/fact"
+    write_fact(Analysis.from_fixture(spark, SF, DRIVER_PARAMS).fact, path, DRIVER_PARAMS)
+    return path
+
+
+@pytest.mark.parametrize("key", ROLLUP_REPORTS)
+def test_report_reads_the_stored_rollup_once_and_no_line(spark, stored, key):
+    a = Analysis.from_store(spark, stored, DRIVER_PARAMS)
+    plan = plan_text(REPORTS[key](a))
+    assert _scans(plan, "lines") == 0
+    # KPIs unite orders and customers, the monthly churn trend bounds and counts: two passes over the rollup.
+    assert _scans(plan, "orders") <= (2 if key in ("customer_kpis", "monthly_churn_trend") else 1)
+
+
+def test_reports_from_store_equal_those_from_lines(spark, stored):
+    """Every report that reads the rollup, against the same report over the stored lines."""
+    params = DRIVER_PARAMS.replace(start="1998-03-05", end="2000-02-20", regions=("ASIA", "EUROPE"))
+    lines = read_fact(spark, stored).checkpoint()
+    whole = Analysis(spark, params, fact=lines).store_customers()
+    rolled = Analysis.from_store(spark, stored, params).store_customers()
+    for key in ("customer_aggregates", "customer_kpis", "filter_options", "monthly_trend", "new_vs_returning",
+                "weekday_revenue", "top_customers_per_region", "customer_monthly_history"):
+        assert sorted(map(repr, REPORTS[key](rolled).collect())) == sorted(map(repr, REPORTS[key](whole).collect())), key
+
+
+@pytest.mark.parametrize("key", ["customer_kpis", "pareto"])
+def test_digits_do_not_depend_on_the_partitions(spark, conf, key):
+    """Odd amounts, summed under other partition counts: equal to the last bit."""
+    from pyspark.sql import functions as F
+
+    fact = Analysis.from_fixture(spark, SF, DRIVER_PARAMS).fact
+    fact = fact.withColumns({"Revenue": F.col("Revenue") * F.rand(3) / 7, "Cost": F.col("Cost") / 3}).checkpoint()
+    seen = []
+    for n in (1, 7):
+        conf({"spark.sql.shuffle.partitions": str(n), "spark.sql.adaptive.enabled": "false"})
+        a = Analysis(spark, DRIVER_PARAMS, fact=fact.repartition(n))
+        seen.append(sorted(map(repr, REPORTS[key](a).collect())))
+    assert seen[0] == seen[1]
+
+
+def test_rfm_orders_nobody(spark, monkeypatch):
+    """No range exchange, no sort, no stored customers; the cache is given back."""
+    a = Analysis.from_fixture(spark, SF, DRIVER_PARAMS)
+    a.customers
+    stored = []
+    monkeypatch.setattr(type(a.customers), "checkpoint", lambda self, *x, **k: stored.append(self) or self)
+    plan = plan_text(REPORTS["rfm_scores"](a))
+    assert "rangepartitioning" not in plan and "InMemoryTableScan" not in plan and not stored
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
 def test_rank_inputs_are_slim(spark, monkeypatch):
     import importlib
 
-    for module, call in (("rfm", "rfm_scores"), ("pareto", "pareto")):
+    for module, call in (("pareto", "pareto"),):
         m = importlib.import_module(f"custlens.plans.{module}")
         seen, real = [], m.global_rank
 
