@@ -126,7 +126,8 @@ def parser() -> argparse.ArgumentParser:
 
 def _tidy(spark: SparkSession, args: argparse.Namespace) -> None:
     """Shows what the fact holds and removes old snapshots."""
-    log.info("the fact at %s: %s", args.fact, fact_info(spark, args.fact))
+    held = {k: str(v) for k, v in (fact_info(spark, args.fact) or {}).items() if k != "folders"}
+    log.info("the fact at %s: %s", args.fact, held)
     expire_snapshots(spark, args.fact, args.keep_snapshots)
 
 

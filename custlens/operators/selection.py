@@ -10,6 +10,7 @@ once, for all rows of a bucket then agree on it.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -17,19 +18,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Buckets of one pass, and rows that may be brought to the driver at the end of a search.
-BUCKETS = 1024
-FEW = 1024
-# Classes of a number in descending order: NaN (which Spark orders above all), infinity,
-# finite numbers, minus infinity, null.
-_FINITE = 2
+BUCKETS = 4096
+FEW = 8192
+_MOST = sys.float_info.max
 
 
 def descending(col: str) -> list[Column]:
-    """A number as two ascending columns (class, value): descending, nulls last."""
+    """A number as two ascending columns (value, class): descending, nulls last.
+
+    Numbers that are not finite share the extreme finite values; the class orders NaN
+    (which Spark orders above all), infinity and the finite number there, and the finite
+    number, minus infinity and null at the other end.
+    """
     x = F.col(col).cast("double")
     finite = F.abs(x) < F.lit(float("inf"))
-    kind = (F.when(x.isNull(), 4).when(F.isnan(x), 0).when(finite, _FINITE).when(x > 0, 1).otherwise(3))
-    return [kind, F.when(finite, -x).otherwise(F.lit(0.0))]
+    kind = F.when(x.isNull(), 4).when(F.isnan(x), 0).when(finite, 2).when(x > 0, 1).otherwise(3)
+    return [F.when(finite, 0.0 - x).otherwise(F.when(kind < 2, -_MOST).otherwise(_MOST)), kind]
 
 
 def ascending_text(col: str) -> list[Column]:
@@ -98,43 +102,48 @@ def keys_at_ranks(df: DataFrame, orders: Sequence[list[Column]], kinds: Sequence
         live = [s for s in searches if s.found is None]
         if not live:
             break
-        states = {s.state(): s for s in live}
         # The last rows of a search are fetched, all others counted in one pass.
-        for state, s in states.items():
-            if 0 < s.count <= FEW:
-                columns = orders[s.order]
-                rows = sorted(tuple(r) for r in df.where(_inside(columns, s)).select(
-                    *[c.alias(f"k{i}") for i, c in enumerate(columns)]).collect())
-                for t in live:
-                    if t.state() == state:
-                        t.found = rows[t.rank - 1]
-        live = [s for s in live if s.found is None]
-        states = {s.state(): s for s in live}
-        if not states:
-            continue
-        _pass(df, list(states), states, live, orders, kinds)
+        last = {s.state(): s for s in live if 0 < s.count <= FEW}
+        if last:
+            _fetch(df, last, live, orders)
+        states = {s.state(): s for s in live if s.found is None}
+        if states:
+            _pass(df, list(states), states, [s for s in live if s.found is None], orders, kinds)
     done: list[list[tuple]] = [[] for _ in orders]
     for s in searches:
         done[s.order].append(s.found)
     return done
 
 
+def _fetch(df, last, live, orders) -> None:
+    """The few rows left of some searches, in one job."""
+    flags = [F.when(_inside(orders[s.order], s), F.lit(i)) for i, s in enumerate(last.values())]
+    columns = [c.alias(f"k{o}_{i}") for o, order in enumerate(orders) for i, c in enumerate(order)]
+    hit = F.filter(F.array(*flags), lambda x: x.isNotNull()).alias("hit")
+    rows = df.select(hit, *columns).where(F.size("hit") > 0).collect()
+    for i, state in enumerate(last):
+        o = state[0]
+        mine = sorted(tuple(r[f"k{o}_{j}"] for j in range(len(orders[o]))) for r in rows if i in r["hit"])
+        for s in live:
+            if s.state() == state:
+                s.found = mine[s.rank - 1]
+
+
 def _pass(df, names, states, live, orders, kinds) -> None:
     """One aggregation: every search's rows per bucket, with the extremes of the bucket's
-    own column and of the next one."""
+    own column and of the next two."""
     entries = []
     for i, name in enumerate(names):
         s = states[name]
         columns, kind, at = orders[s.order], kinds[s.order], len(s.fixed)
-        own = columns[at] if kind[at] == "double" else F.lit(0.0)
-        after = columns[at + 1] if at + 1 < len(columns) and kind[at + 1] == "double" else F.lit(0.0)
-        entry = F.struct(F.lit(i).alias("s"), _bucket(columns, kind, s).alias("b"), own.cast("double").alias("v"),
-                         after.cast("double").alias("w"))
+        numbers = [columns[i] if i < len(columns) and kind[i] != "text" else F.lit(0.0) for i in (at, at + 1, at + 2)]
+        entry = F.struct(F.lit(i).alias("s"), _bucket(columns, kind, s).alias("b"),
+                         *[x.cast("double").alias(f"v{j}") for j, x in enumerate(numbers)])
         entries.append(F.when(_inside(columns, s), entry))
     rows = (
         df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).groupBy("e.s", "e.b")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("e.v").alias("v0"), F.max("e.v").alias("v1"),
-             F.min("e.w").alias("w0"), F.max("e.w").alias("w1")).collect()
+        .agg(F.count(F.lit(1)).alias("n"), *[f(f"e.v{j}").alias(f"{n}{j}") for j in range(3) for f, n in ((F.min, "low"), (F.max, "high"))])
+        .collect()
     )
     for i, name in enumerate(names):
         mine = sorted((r for r in rows if r["s"] == i), key=lambda r: (r["b"]["number"], r["b"]["text"].encode()))
@@ -153,20 +162,25 @@ def _narrow(s: _Search, r, before: int, kinds: list[str]) -> None:
     """Moves a search into the bucket row ``r``, with ``before`` rows in front of it."""
     at = len(s.fixed)
     s.rank, s.count = s.rank - before, r["n"]
-    if kinds[at] == "double" and r["v0"] < r["v1"]:
-        s.low, s.high = r["v0"], r["v1"]
-        return
     text = r["b"]["text"]
-    if kinds[at] == "text" and text != s.prefix:
-        s.prefix = text  # of the texts that go on from here, the one that ends sorts first
+    if kinds[at] == "text":
+        if text != s.prefix:
+            s.prefix = text  # of the texts that go on from here, the one that ends sorts first
+            return
+        s.fixed += (text,)
+    elif r["low0"] < r["high0"]:
+        s.low, s.high = r["low0"], r["high0"]
         return
-    s.fixed += ({"double": r["v0"], "int": int(r["b"]["number"]), "text": text}[kinds[at]],)
     s.low, s.high, s.prefix = None, None, ""
-    if at + 1 < len(kinds) and kinds[at + 1] == "double":
-        if r["w0"] < r["w1"]:
-            s.low, s.high = r["w0"], r["w1"]
-        else:
-            s.fixed += (r["w0"],)
+    # The column is known, and those after it too as far as all rows agree.
+    for j in range(3):
+        if at + j >= len(kinds) or kinds[at + j] == "text":
+            return
+        if r[f"low{j}"] < r[f"high{j}"]:
+            if kinds[at + j] == "double":
+                s.low, s.high = r[f"low{j}"], r[f"high{j}"]
+            return
+        s.fixed += (int(r[f"low{j}"]) if kinds[at + j] == "int" else r[f"low{j}"],)
 
 
 def at_or_before(columns: list[Column], key: tuple) -> Column:

@@ -14,7 +14,7 @@ from custlens.operators.filters import apply_filters, filter_date_range, filter_
 from custlens.operators.rollup import ATTRIBUTES
 from custlens.sources.fixture import fixture_sources
 from custlens.sources.scans import scan_sources
-from custlens.sources.store import read_table
+from custlens.sources.store import open_snapshot, read_table
 
 
 class Analysis:
@@ -53,7 +53,8 @@ class Analysis:
     @classmethod
     def from_store(cls, spark: SparkSession, path: str, params: Params) -> "Analysis":
         """The stored fact at ``path`` with the months of the report range."""
-        tables = {t: read_table(spark, path, t, params.start, params.end) for t in ("lines", "orders", "customers")}
+        info = open_snapshot(spark, path)
+        tables = {t: read_table(spark, path, t, params.start, params.end, info=info) for t in ("lines", "orders", "customers")}
         return cls(spark, params, fact=tables["lines"], rollup=tables["orders"], attribute_table=tables["customers"])
 
     @cached_property

@@ -59,7 +59,7 @@ def rfm_scores(customers: DataFrame, fm_direction: str = "as_reference", stored:
         F.col("TotalOrders").alias("Frequency"), F.col("TotalRevenue").alias("Monetary"))
     money, who = descending("Monetary"), ascending_text("CustomerId")
     orders = [[*descending("Frequency"), *money, *who], [*money, *who]]
-    kinds = [["int", "double"] * 2 + ["int", "text"], ["int", "double", "int", "text"]]
+    kinds = [["double", "int"] * 2 + ["int", "text"], ["double", "int", "int", "text"]]
     slim = base.select("CustomerId", "Recency", "Frequency", "Monetary")
     if not stored:
         slim = slim.persist(StorageLevel.MEMORY_AND_DISK)

@@ -6,7 +6,8 @@ A stored fact is a folder:
     data/<write>/orders/OrderMonth=2001-03-01/*.parquet   their order-level rollup
     data/<write>/customers/*.parquet                      customer attribute rows of the snapshot
     manifests/<n>/                                        the files of snapshot n, with rows and bytes
-    commits/<n>/                                          one row, written last: snapshot n is complete
+    commits/<n>/                                          one row, written last: snapshot n is complete;
+                                                          what it holds and the folders of its months
 
 Every write goes to a folder of its own name, so nothing that a reader uses is touched;
 the commit row makes it visible.  A write that is killed leaves the last snapshot as it
@@ -49,10 +50,11 @@ TABLES = {
 }
 MANIFEST_DDL = f"file string, folder string, {PARTITION_COLUMN} date, n_rows bigint, n_bytes bigint"
 COMMIT_DDL = ("snapshot int, fetch_start date, fetch_end date, packed_status string, n_rows bigint, "
-              "first_month date, last_month date, written_months int")
+              "first_month date, last_month date, written_months int, "
+              "folders array<struct<tbl:string,folder:string,month:date>>")
 # Rows of a month lie sorted by customer, and the files carry Bloom filters of the ids, so
 # a drilldown into one customer skips files, row groups and pages.
-BLOOM_OPTIONS = {"parquet.bloom.filter.enabled#CustomerId": "true", "parquet.bloom.filter.max.bytes": str(1 << 20)}
+BLOOM_OPTIONS = {"parquet.bloom.filter.enabled#CustomerId": "true", "parquet.bloom.filter.expected.ndv#CustomerId": "20000"}
 
 
 def _write(df: DataFrame, folder: str, options: dict[str, str]) -> None:
@@ -94,40 +96,54 @@ def _manifest(spark: SparkSession, path: str, snapshot: int) -> DataFrame:
     return spark.read.schema(MANIFEST_DDL).parquet(f"{path}/manifests/{snapshot}")
 
 
-def _commit(spark: SparkSession, path: str, manifest: DataFrame, params: Params, written: int) -> int:
+def _commit(spark: SparkSession, path: str, manifest: DataFrame, folders: list[tuple], params: Params, written: int) -> int:
     """The next snapshot; fails if another writer took its number."""
     taken = files.names(spark, f"{path}/manifests") + files.names(spark, f"{path}/commits")
     snapshot = max((int(n) for n in taken), default=0) + 1
-    manifest.write.parquet(f"{path}/manifests/{snapshot}")
+    manifest.coalesce(8).write.parquet(f"{path}/manifests/{snapshot}")
     lines = F.col("file").contains("/lines/")
-    month = F.when(lines, F.col(PARTITION_COLUMN))
-    t = _manifest(spark, path, snapshot).agg(
-        F.coalesce(F.sum(F.when(lines, F.col("n_rows"))), F.lit(0)).alias("n"), F.min(month).alias("a"), F.max(month).alias("b")).first()
-    row = (snapshot, params.fetch_start, params.fetch_end, params.packed_status, t["n"], t["a"], t["b"], written)
+    n_rows = _manifest(spark, path, snapshot).agg(F.coalesce(F.sum(F.when(lines, F.col("n_rows"))), F.lit(0))).first()[0]
+    months = sorted(m for t, _, m in folders if t == "lines" and m is not None)
+    span = (months[0], months[-1]) if months else (None, None)
+    row = (snapshot, params.fetch_start, params.fetch_end, params.packed_status, n_rows, *span, written, sorted(folders, key=str))
     spark.createDataFrame([row], COMMIT_DDL).coalesce(1).write.json(f"{path}/commits/{snapshot}")
-    log.info("snapshot %d of %s: %d rows, months %s to %s, %d months written", snapshot, path, t["n"], t["a"], t["b"], written)
+    log.info("snapshot %d of %s: %d rows, months %s to %s, %d months written", snapshot, path, n_rows, *span, written)
     return snapshot
 
 
+def _written_folders(spark: SparkSession, path: str, write: str) -> list[tuple]:
+    """(table, folder, month) of a write: one per table and month."""
+    out = []
+    for table in ("lines", "orders"):
+        for name in files.names(spark, f"{path}/{write}/{table}"):
+            if name.startswith(f"{PARTITION_COLUMN}="):
+                value = name.split("=", 1)[1]
+                month = None if value.startswith("__") else dt.date.fromisoformat(value)
+                out.append((table, f"{write}/{table}/{name}", month))
+    return out
+
+
 def _new_write(spark: SparkSession, path: str, fact: DataFrame, options: dict[str, str]) -> tuple[str, DataFrame]:
     """Lines and their rollup in a new data folder; returns it with the files' rows."""
     write = f"data/{uuid.uuid4().hex}"
     _write(fact.select(FACT.fieldNames()), f"{path}/{write}/lines", {**BLOOM_OPTIONS, **options})
     # The rollup is made from the lines just written: the fact's joins run once.
     lines = spark.read.schema(TABLES["lines"]).parquet(f"{path}/{write}/lines").drop(PARTITION_COLUMN)
-    _write(order_rollup(conform_fact(lines)), f"{path}/{write}/orders", {**BLOOM_OPTIONS, **options})
+    _write(order_rollup(conform_fact(lines)), f"{path}/{write}/orders", options)
     new = _listed(spark, path, "lines", [f"{write}/lines"], True).unionByName(
         _listed(spark, path, "orders", [f"{write}/orders"], True))
     return write, new
 
 
-def _finish(spark: SparkSession, path: str, write: str, manifest: DataFrame, params: Params, written: int) -> int:
-    """Adds the snapshot's customer attributes, from its rollup, and commits."""
-    folders = [r["f"] for r in manifest.where("file LIKE '%/orders/%'").select(F.regexp_extract("file", "(.*)/", 1).alias("f")).distinct().collect()]
-    orders = _read(spark, path, "orders", folders)
+def _finish(spark: SparkSession, path: str, write: str, manifest: DataFrame, folders: list[tuple], params: Params, written: int) -> int:
+    """Adds the snapshot's customer attributes, from its rollup, and commits.
+
+    ``folders`` are the (table, folder, month) of lines and rollup in the snapshot.
+    """
+    orders = _read(spark, path, "orders", [f for t, f, _ in folders if t == "orders"])
     attribute_rows(orders).write.parquet(f"{path}/{write}/customers")
     whole = manifest.unionByName(_listed(spark, path, "customers", [f"{write}/customers"], True))
-    return _commit(spark, path, whole, params, written)
+    return _commit(spark, path, whole, [*folders, ("customers", f"{write}/customers", None)], params, written)
 
 
 def write_fact(fact: DataFrame, path: str, params: Params | None = None, options: dict[str, str] | None = None) -> int:
@@ -139,8 +155,9 @@ def write_fact(fact: DataFrame, path: str, params: Params | None = None, options
     path = path.rstrip("/")
     spark = fact.sparkSession
     write, new = _new_write(spark, path, fact, options or {})
-    months = new.where("file LIKE '%/lines/%'").select(PARTITION_COLUMN).distinct().count()
-    return _finish(spark, path, write, new, params or Params(packed_status=None), months)
+    folders = _written_folders(spark, path, write)
+    months = sum(t == "lines" for t, _, _ in folders)
+    return _finish(spark, path, write, new, folders, params or Params(packed_status=None), months)
 
 
 def _read(spark: SparkSession, path: str, table: str, folders: list[str]) -> DataFrame:
@@ -158,14 +175,19 @@ def _read(spark: SparkSession, path: str, table: str, folders: list[str]) -> Dat
     return out
 
 
-def _folders(spark: SparkSession, path: str, snapshot: int, table: str, start: dt.date | None, end: dt.date | None) -> list[str]:
-    """Folders of a table's months in the range: at most one per month of the calendar."""
-    rows = _manifest(spark, path, snapshot).where(F.col("file").contains(f"/{table}/"))
-    if start is not None:
-        rows = rows.where(F.col(PARTITION_COLUMN) >= F.lit(start.replace(day=1)))
-    if end is not None:
-        rows = rows.where(F.col(PARTITION_COLUMN) <= F.lit(end.replace(day=1)))
-    return [r["f"] for r in rows.select(F.regexp_extract("file", "(.*)/", 1).alias("f")).distinct().collect()]
+def _folders(info: dict, table: str, start: dt.date | None, end: dt.date | None) -> list[str]:
+    """Folders of a table's months in the range."""
+    out = []
+    for f in info["folders"]:
+        if f["tbl"] != table:
+            continue
+        if f["month"] is None:
+            inside = table == "customers" or (start is None and end is None)
+        else:
+            inside = (start is None or f["month"] >= start.replace(day=1)) and (end is None or f["month"] <= end.replace(day=1))
+        if inside:
+            out.append(f["folder"])
+    return sorted(out)
 
 
 def _in_range(df: DataFrame, start: dt.date | None, end: dt.date | None) -> DataFrame:
@@ -183,17 +205,24 @@ def last_snapshot(spark: SparkSession, path: str) -> int:
     return max(commits)
 
 
+def open_snapshot(spark: SparkSession, path: str, snapshot: int | None = None) -> dict:
+    """The commit row of a snapshot (the last one by default); raises if there is none."""
+    path = path.rstrip("/")
+    snapshot = snapshot or last_snapshot(spark, path)
+    return spark.read.schema(COMMIT_DDL).json(f"{path}/commits/{snapshot}").first().asDict()
+
+
 def read_table(spark: SparkSession, path: str, table: str, start: dt.date | None = None, end: dt.date | None = None,
-               snapshot: int | None = None) -> DataFrame:
+               snapshot: int | None = None, info: dict | None = None) -> DataFrame:
     """``lines``, ``orders`` or ``customers`` of a snapshot (the last one by default).
 
-    A date range opens only the folders of its months.
+    A date range opens only the folders of its months.  ``info`` is the snapshot's row
+    where the caller has it already.
     """
     path = path.rstrip("/")
-    snapshot = snapshot or last_snapshot(spark, path)
-    if table == "customers":
-        return _read(spark, path, table, _folders(spark, path, snapshot, table, None, None))
-    return _in_range(_read(spark, path, table, _folders(spark, path, snapshot, table, start, end)), start, end)
+    info = info or open_snapshot(spark, path, snapshot)
+    df = _read(spark, path, table, _folders(info, table, start, end))
+    return df if table == "customers" else _in_range(df, start, end)
 
 
 def read_fact(spark: SparkSession, path: str, start: dt.date | None = None, end: dt.date | None = None,
@@ -204,13 +233,10 @@ def read_fact(spark: SparkSession, path: str, start: dt.date | None = None, end:
 
 def fact_info(spark: SparkSession, path: str, snapshot: int | None = None) -> dict | None:
     """What the fact at ``path`` holds; None without a complete snapshot."""
-    path = path.rstrip("/")
     try:
-        snapshot = snapshot or last_snapshot(spark, path)
-        row = spark.read.schema(COMMIT_DDL).json(f"{path}/commits/{snapshot}").first()
+        return open_snapshot(spark, path, snapshot)
     except (FileNotFoundError, PySparkException):
         return None
-    return row.asDict() if row is not None and row["n_rows"] is not None else None
 
 
 def fact_covers(spark: SparkSession, path: str, params: Params) -> bool:
@@ -228,8 +254,7 @@ def fact_covers(spark: SparkSession, path: str, params: Params) -> bool:
     try:
         manifest = _manifest(spark, path, info["snapshot"])
         for table in TABLES:
-            bounds = (None, None) if table == "customers" else (params.start, params.end)
-            folders = _folders(spark, path, info["snapshot"], table, *bounds)
+            folders = _folders(info, table, params.start, params.end)
             if not folders:
                 continue
             wanted = manifest.where(F.regexp_extract("file", "(.*)/", 1).isin(folders)).select("file", "n_bytes")
@@ -309,8 +334,7 @@ def refresh_fact(spark: SparkSession, path: str, raw: dict[str, DataFrame], para
         info["fetch_start"] < params.fetch_start or info["fetch_end"] > params.fetch_end)
     if whole:
         snapshot = write_fact(build(raw), path, params, options)
-        found = _manifest(spark, path, snapshot).where(F.col(PARTITION_COLUMN).isNotNull())
-        return sorted(r[0] for r in found.select(PARTITION_COLUMN).distinct().collect())
+        return sorted({f["month"] for f in open_snapshot(spark, path, snapshot)["folders"] if f["month"] is not None})
     months = affected_months(raw, info, params)
     if since is not None:
         later = month_start(F.to_date("CreatedAt_order"))
@@ -319,9 +343,9 @@ def refresh_fact(spark: SparkSession, path: str, raw: dict[str, DataFrame], para
     old = _manifest(spark, path, info["snapshot"])
     kept = old.where(F.col(PARTITION_COLUMN).isNull() | ~F.col(PARTITION_COLUMN).isin(months)) if months else old
     kept = kept.where(~F.col("file").contains("/customers/"))
+    folders = [(f["tbl"], f["folder"], f["month"]) for f in info["folders"] if f["tbl"] != "customers" and f["month"] not in months]
     if not months:
-        write = f"data/{uuid.uuid4().hex}"
-        _finish(spark, path, write, kept, params, 0)
+        _finish(spark, path, f"data/{uuid.uuid4().hex}", kept, folders, params, 0)
         return []
     created = F.col("CreatedAt_order")
     first, last = min(months), (max(months).replace(day=28) + dt.timedelta(days=4)).replace(day=1)
@@ -329,7 +353,8 @@ def refresh_fact(spark: SparkSession, path: str, raw: dict[str, DataFrame], para
         (created >= F.lit(first.isoformat()).cast("timestamp_ntz")) & (created < F.lit(last.isoformat()).cast("timestamp_ntz"))
         & month_start(F.to_date(created)).isin(months))
     write, new = _new_write(spark, path, build({**raw, "orders": orders}), options or {})
-    _finish(spark, path, write, kept.unionByName(new), params, len(months))
+    folders += _written_folders(spark, path, write)
+    _finish(spark, path, write, kept.unionByName(new), folders, params, len(months))
     return months
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import sys
 
 import pytest
 
@@ -13,18 +14,19 @@ def order():
     return [*sel.descending("f"), *sel.descending("m"), *sel.ascending_text("id")]
 
 
-KINDS = ["int", "double", "int", "double", "int", "text"]
+KINDS = ["double", "int", "double", "int", "int", "text"]
 
 
 def plain(rows):
     def down(x):
+        most = sys.float_info.max
         if x is None:
-            return 4, 0.0
+            return most, 4
         if math.isnan(x):
-            return 0, 0.0
+            return -most, 0
         if math.isinf(x):
-            return (1 if x > 0 else 3), 0.0
-        return 2, -x
+            return (-most, 1) if x > 0 else (most, 3)
+        return 0.0 - x, 2
 
     def key(r):
         i, f, m = r
@@ -44,7 +46,7 @@ def check(spark, rows, ranks):
         assert df.where(sel.at_or_before(order(), key)).count() == want.index(key) + 1
 
 
-@pytest.mark.parametrize("few", [1, 3, 1024])
+@pytest.mark.parametrize("few", [1, 1024])
 def test_odd_values_and_ties(spark, monkeypatch, few):
     monkeypatch.setattr(sel, "FEW", few)
     rng = random.Random(few)
