@@ -12,8 +12,8 @@ same kind of root and its fused ratio reaches a share of the best.
 Boilerplate is never content: scripts, styles, heads, forms, navigation, asides,
 footers, page headers, hidden parts, and elements whose class, id or role names a menu,
 banner, notice, advert, comment section or the like.  A whole class, id or role has to
-name it (``menu``, ``site-nav``), not a state of the page (``has-sidebar``,
-``menu-open``).  Names do not mark what holds an article or main or most of the page's
+name it (``menu``, ``site-nav``), not another thing (``related-work``, ``social-science``)
+or a state of the page (``has-sidebar``, ``menu-open``); other attributes name nothing.  Names do not mark what holds an article or main or most of the page's
 fused text, nor headers inside an article or main.
 
 White space inside a block becomes one space; blocks (cut at block-level tags and line
@@ -52,6 +52,13 @@ BOILER_WORDS = frozenset(
     "modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted "
     "promotion related recommended reply replies respond search share sharing sidebar sidenav signup skip social "
     "sponsor sponsored subscribe subscription toolbar widget".split())
+# Words that may stand beside them in a name that marks (site-nav, share-buttons); any other
+# word makes it a name of something else (related-work, social-science).
+NEUTRAL_WORDS = frozenset(
+    "all area bar block body bottom box bs btn button buttons col column container content desktop div el floating fixed "
+    "global group holder icon icons inner item items js left link links list lists main message mobile outer overlay page "
+    "pages panel post posts primary right row secondary section site slot sticky tab text title toggle top ui unit widget "
+    "widgets wrap wrapper zone".split())
 # First and last words of names that tell a state of the page (has-sidebar, menu-open).
 STATE_FIRST = frozenset("has have with without no not is hide hides show shows".split())
 STATE_LAST = frozenset("open opened closed active inactive enabled disabled visible collapsed expanded on off".split())
@@ -68,7 +75,8 @@ ENDS_PARAGRAPH = BLOCK - frozenset(["br", "html", "body", "head", "title", "opti
 STOPS = frozenset("ul ol dl table div section article main body td th aside nav header footer form blockquote".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
-_MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+# One attribute: its whole name, and its value if it has one.
+_ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _PUNCT = re.compile(r"[.,;:!?…。，、！？；：]")
 
@@ -80,9 +88,9 @@ def _marked(name: str, attrs: str, inside_content: bool) -> int:
     if not attrs or "=" not in attrs and "hidden" not in attrs:
         return 0
     named = 0
-    for m in _MARK.finditer(attrs):
+    for m in _ATTRIBUTE.finditer(attrs):
         key, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
-        if key == "hidden" and m.group(2) is None or key == "aria-hidden" and value.lower() == "true":
+        if key == "hidden" and value.lower() in ("", "hidden") or key == "aria-hidden" and value.lower() == "true":
             return 2
         if key == "style":
             if "display:none" in value.replace(" ", "").lower():
@@ -92,8 +100,9 @@ def _marked(name: str, attrs: str, inside_content: bool) -> int:
                 words = [w.lower() for w in _WORD.findall(token)]
                 if not words or words[0] in STATE_FIRST or words[-1] in STATE_LAST:
                     continue
-                ends = {words[0], words[-1]} - (OWN_HEADS if inside_content else frozenset())
-                if not BOILER_WORDS.isdisjoint(ends):
+                marking = [w for w in words if w in BOILER_WORDS and not (inside_content and w in OWN_HEADS)]
+                others = [w for w in words if w not in BOILER_WORDS and not w.isdigit()]
+                if marking and NEUTRAL_WORDS.issuperset(others):
                     named = 1
     return named
 

@@ -3,17 +3,21 @@
 * Rules.  A rule (host, path) fits a url whose host is the rule's or a subdomain of it
   and whose path starts with the rule's; the longest fitting rule decides.  Urls that a
   rule decides are the labelled ones.
-* Tree.  Per host, paths are cut into segments with digit runs written as ``#``; the
-  segments beyond the fifth form one tail ``**``.  Going down from the root, a node with
-  at least ``MIN_CHILDREN`` different children is variable: its children with less than a
-  tenth of its urls become the wildcard ``*``.  A path's template is the list of its
-  generalised segments.
+* Tree.  Per host, paths are cut into segments with digit runs written as ``#``.  Going
+  down from the root through ``DEPTH`` levels, a node with at least ``MIN_CHILDREN``
+  different children is variable: its children with less than a tenth of its urls become
+  the wildcard ``*``.  A path's template is the list of its generalised segments; what
+  lies deeper stays as it is, so templates of any depth are told apart.
 * Merging.  A labelled branch whose share of blocked urls does not differ from that of
   its labelled siblings together (two-proportion z below 1.96) is pooled with the
   siblings for which the same holds.
-* Purity.  A template is rejected when its blocked share, smoothed by ``PRIOR_WEIGHT``
-  urls of which a fifth is blocked, is at least one half; a template without a labelled
-  url is therefore allowed.
+* Purity.  A template is rejected when the blocked share of its labelled urls, smoothed by
+  ``PRIOR_WEIGHT`` urls of its parent branch's share, is at least one half.  A branch's
+  share is that of blocked urls among all its urls, labelled or not, smoothed in turn by
+  its host's, the host's by its parent domain's, the domain's by ``PRIOR_BLOCKED``.  So a
+  template without a labelled url is judged by its nearest ancestors: a host whose
+  labelled urls are mostly blocked loses its others too, one blocked folder among many
+  does not speak for the rest.
 
 Urls are first reduced to counts per (host, shape), by partial aggregation, so the tree
 works on distinct shapes and a host with a third of all pages weighs no more than its
@@ -64,17 +68,15 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def shape(path: Column) -> Column:
-    """Segments of a path with digit runs as ``#``, joined by ``/``; at most DEPTH and a tail."""
+    """Segments of a path with digit runs as ``#``, joined by ``/``."""
     trimmed = F.regexp_replace(F.regexp_replace(path, "^/+|/+$", ""), "/+", "/")
-    parts = F.split(F.regexp_replace(trimmed, "[0-9]+", "#"), "/")
-    short = F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))).otherwise(parts)
-    return F.array_join(short, "/")
+    return F.regexp_replace(trimmed, "[0-9]+", "#")
 
 
 def templates(shapes: DataFrame) -> DataFrame:
     """(host, shape, template) from the counted shapes (host, shape, n, ...)."""
     tree = shapes.select("host", "shape", "n", F.lit("").alias("template"))
-    for depth in range(DEPTH + 1):
+    for depth in range(DEPTH):
         segment = F.when(F.col("shape") == "", F.lit(None)).otherwise(F.get(F.split("shape", "/"), F.lit(depth)))
         tree = tree.withColumn("segment", segment)
         children = tree.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(F.sum("n").alias("own"))
@@ -88,18 +90,23 @@ def templates(shapes: DataFrame) -> DataFrame:
             "host", "shape", "n",
             F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), step)).alias("template"))
         tree = persisted(tree)
-    return tree.select("host", "shape", "template")
+    parts = F.split("shape", "/")
+    deeper = F.when(F.size(parts) > DEPTH, F.concat(F.lit("/"), F.array_join(F.slice(parts, DEPTH + 1, F.size(parts)), "/")))
+    return tree.select("host", "shape", F.concat("template", F.coalesce(deeper, F.lit(""))).alias("template"))
 
 
 def judged_templates(shapes: DataFrame, placed: DataFrame) -> DataFrame:
     """(host, template, purity, template_verdict) with similar branches pooled."""
     own = (
         shapes.join(placed, ["host", "shape"]).groupBy("host", "template")
-        .agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
-        .withColumn("parent", F.regexp_replace("template", "/[^/]*$", ""))
+        .agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"), F.sum("n").alias("n"))
+        .withColumns({"parent": F.regexp_replace("template", "/[^/]*$", ""), "domain": F.regexp_replace("host", r"^[^.]*\.", "")})
     )
     own = persisted(own)
-    siblings = own.groupBy("host", "parent").agg(F.sum("blocked").alias("all_blocked"), F.sum("labelled").alias("all_labelled"))
+    siblings = own.groupBy("host", "parent").agg(
+        F.sum("blocked").alias("all_blocked"), F.sum("labelled").alias("all_labelled"), F.sum("n").alias("all_n"))
+    hosts = own.groupBy("host").agg(F.sum("blocked").alias("host_blocked"), F.sum("n").alias("host_n"))
+    domains = own.groupBy("domain").agg(F.sum("blocked").alias("domain_blocked"), F.sum("n").alias("domain_n"))
     rest = F.col("all_labelled") - F.col("labelled")
     middle = (F.col("all_blocked") + 1.0) / (F.col("all_labelled") + 2.0)
     spread = F.sqrt(middle * (1.0 - middle) * (1.0 / F.col("labelled") + 1.0 / rest))
@@ -109,10 +116,13 @@ def judged_templates(shapes: DataFrame, placed: DataFrame) -> DataFrame:
         "alike", F.when(both, F.try_divide(apart, spread) < MERGE_Z).otherwise(False))
     pooled = tested.where("alike").groupBy("host", "parent").agg(
         F.sum("blocked").alias("pool_blocked"), F.sum("labelled").alias("pool_labelled"))
-    used = tested.join(pooled, ["host", "parent"], "left")
+    used = tested.join(pooled, ["host", "parent"], "left").join(hosts, "host").join(domains, "domain")
     blocked = F.when(F.col("alike"), F.col("pool_blocked")).otherwise(F.col("blocked"))
     labelled = F.when(F.col("alike"), F.col("pool_labelled")).otherwise(F.col("labelled"))
-    purity = (blocked + PRIOR_WEIGHT * PRIOR_BLOCKED) / (labelled + PRIOR_WEIGHT)
+    share = F.lit(PRIOR_BLOCKED)
+    for level in ("domain", "host", "all"):
+        share = (F.col(f"{level}_blocked") + PRIOR_WEIGHT * share) / (F.col(f"{level}_n") + PRIOR_WEIGHT)
+    purity = (blocked + PRIOR_WEIGHT * share) / (labelled + PRIOR_WEIGHT)
     return used.select("host", "template", purity.alias("purity")).withColumn(
         "template_verdict", F.when(F.col("purity") >= 0.5, "block").otherwise("allow"))
 
@@ -151,13 +161,12 @@ def oracle_sql(rules=RULES) -> str:
         "regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM cut)",
         f"ruled AS (SELECT *, {pick(lambda w, t: t)} AS rule, {pick(lambda w, t: w)} AS given, "
         "string_split(regexp_replace(regexp_replace(trim(path, '/'), '/+', '/', 'g'), '[0-9]+', '#', 'g'), '/') AS parts FROM split)",
-        f"shaped AS (SELECT page_id, host, path, rule, given, array_to_string(CASE WHEN len(parts) > {DEPTH} "
-        f"THEN list_concat(parts[1:{DEPTH}], ['**']) ELSE parts END, '/') AS shape FROM ruled)",
+        "shaped AS (SELECT page_id, host, path, rule, given, array_to_string(parts, '/') AS shape FROM ruled)",
         "shapes AS (SELECT host, shape, count(*) AS n, count(given) AS labelled, count(*) FILTER (given = 'block') AS blocked "
         "FROM shaped GROUP BY ALL)",
         "tree0 AS (SELECT host, shape, n, '' AS template FROM shapes)",
     ]
-    for d in range(DEPTH + 1):
+    for d in range(DEPTH):
         ctes += [
             f"seg{d} AS (SELECT *, CASE WHEN shape = '' THEN NULL ELSE string_split(shape, '/')[{d + 1}] END AS segment FROM tree{d})",
             f"kids{d} AS (SELECT host, template, segment, sum(n) AS own FROM seg{d} WHERE segment IS NOT NULL GROUP BY ALL)",
@@ -167,20 +176,27 @@ def oracle_sql(rules=RULES) -> str:
             f"CASE WHEN r.segment IS NULL THEN s.segment ELSE '*' END END AS template FROM seg{d} s "
             f"LEFT JOIN rare{d} r ON s.host = r.host AND s.template = r.template AND s.segment = r.segment)",
         ]
+    w = PRIOR_WEIGHT
     ctes += [
-        f"own AS (SELECT t.host, t.template, regexp_replace(t.template, '/[^/]*$', '') AS parent, sum(blocked) AS b, sum(labelled) AS l "
-        f"FROM tree{DEPTH + 1} t JOIN shapes s ON t.host = s.host AND t.shape = s.shape GROUP BY ALL)",
-        "sib AS (SELECT *, sum(b) OVER w AS ab, sum(l) OVER w AS al FROM own WINDOW w AS (PARTITION BY host, parent))",
+        f"placed AS (SELECT host, shape, template || CASE WHEN len(string_split(shape, '/')) > {DEPTH} "
+        f"THEN '/' || array_to_string(string_split(shape, '/')[{DEPTH + 1}:], '/') ELSE '' END AS template FROM tree{DEPTH})",
+        "own AS (SELECT t.host, t.template, regexp_replace(t.template, '/[^/]*$', '') AS parent, regexp_replace(t.host, '^[^.]*\\.', '') AS domain, "
+        "sum(blocked) AS b, sum(labelled) AS l, sum(n) AS n FROM placed t JOIN shapes s ON t.host = s.host AND t.shape = s.shape GROUP BY ALL)",
+        "shares AS (SELECT *, sum(b) OVER w AS ab, sum(l) OVER w AS al, sum(n) OVER w AS an, sum(b) OVER h AS hb, sum(n) OVER h AS hn, "
+        "sum(b) OVER d AS db, sum(n) OVER d AS dn FROM own "
+        "WINDOW w AS (PARTITION BY host, parent), h AS (PARTITION BY host), d AS (PARTITION BY domain))",
+        f"sib AS (SELECT *, (ab + {w}::DOUBLE * ((hb + {w}::DOUBLE * ((db + {w}::DOUBLE * {PRIOR_BLOCKED}::DOUBLE) / (dn + {w}::DOUBLE))) "
+        f"/ (hn + {w}::DOUBLE))) / (an + {w}::DOUBLE) AS share FROM shares)",
         "test AS (SELECT *, CASE WHEN l > 0 AND al > l THEN coalesce(abs(b / l - (ab - b) / (al - l)) "
         "/ nullif(sqrt((ab + 1.0::DOUBLE) / (al + 2.0::DOUBLE) * (1.0::DOUBLE - (ab + 1.0::DOUBLE) / (al + 2.0::DOUBLE)) "
         f"* (1.0::DOUBLE / l + 1.0::DOUBLE / (al - l))), 0) < {MERGE_Z}::DOUBLE, false) ELSE false END AS alike FROM sib)",
         "pool AS (SELECT *, sum(CASE WHEN alike THEN b END) OVER w AS pb, sum(CASE WHEN alike THEN l END) OVER w AS pl "
         "FROM test WINDOW w AS (PARTITION BY host, parent))",
-        f"verdicts AS (SELECT host, template, CASE WHEN ((CASE WHEN alike THEN pb ELSE b END) + {PRIOR_WEIGHT * PRIOR_BLOCKED}::DOUBLE) "
-        f"/ ((CASE WHEN alike THEN pl ELSE l END) + {PRIOR_WEIGHT}::DOUBLE) >= 0.5 THEN 'block' ELSE 'allow' END AS v FROM pool)",
+        f"verdicts AS (SELECT host, template, CASE WHEN ((CASE WHEN alike THEN pb ELSE b END) + {w}::DOUBLE * share) "
+        f"/ ((CASE WHEN alike THEN pl ELSE l END) + {w}::DOUBLE) >= 0.5 THEN 'block' ELSE 'allow' END AS v FROM pool)",
     ]
     return (
         "WITH " + ",\n".join(ctes) + "\nSELECT p.page_id, p.host, p.path, p.rule, coalesce(p.given, v.v) AS verdict, t.template "
-        f"FROM shaped p JOIN tree{DEPTH + 1} t ON p.host = t.host AND p.shape = t.shape "
+        "FROM shaped p JOIN placed t ON p.host = t.host AND p.shape = t.shape "
         "JOIN verdicts v ON v.host = t.host AND v.template = t.template"
     )

@@ -181,6 +181,26 @@ def test_names_and_open_elements_do_not_hide_the_content(page):
     assert hx.main_text(page) == ARTICLE_TEXT
 
 
+@pytest.mark.parametrize("open_, close", [
+    ("<p title='the hidden cost'>", "</p>"), ("<p data-id=share>", "</p>"), ("<div data-role='menu'>", "</div>"),
+    ('<section id="related-work">', "</section>"), ("<div class='social-science'>", "</div>"), ("<p hidden-by='x' data-hidden>", "</p>"),
+    ("<p aria-hidden=false>", "</p>"), ("<div class='search-results'>", "</div>"),
+])
+def test_other_attributes_and_names_of_other_things_hide_nothing(open_, close):
+    page = f"<body><article><h1>Title</h1>{PARAGRAPHS}{open_}This belongs to it, of course.{close}</article></body>"
+    assert hx.main_text(page) == ARTICLE_TEXT + " This belongs to it, of course."
+
+
+@pytest.mark.parametrize("open_, close", [
+    ("<p hidden>", "</p>"), ("<p hidden=''>", "</p>"), ("<p data-x='1' hidden>", "</p>"), ("<div class='wide share-buttons'>", "</div>"),
+    ("<div id=site-nav>", "</div>"), ("<div role='navigation'>", "</div>"), ("<div class='newsletter_signup'>", "</div>"),
+    ("<div class='ad-slot-2'>", "</div>"), ("<div class='relatedPosts'>", "</div>"), ("<div aria-hidden='true'>", "</div>"),
+])
+def test_named_boilerplate_goes(open_, close):
+    page = f"<body><article><h1>Title</h1>{PARAGRAPHS}{open_}Not part of it, really.{close}</article></body>"
+    assert hx.main_text(page) == ARTICLE_TEXT
+
+
 def test_broken_markup_and_empty_tables(spark):
     rng = random.Random(5)
     bits = ["<p>", "</p>", "<", ">", "<div class='", "\"", "<!--", "-->", "<script>", "</script>", "&amp;", "&", "word ", "<a href=\"x>", "<br/>"]

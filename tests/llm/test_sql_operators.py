@@ -119,7 +119,28 @@ def test_unlabelled_url_of_a_blocked_template(spark):
     rows += [(100, "http://h.org/x/zz"), (101, "http://h.org/w/zz")]
     out = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
     assert out[100]["template"] == "/x/*" and out[100]["rule"] is None and out[100]["verdict"] == "block"
-    assert out[101]["verdict"] == "allow"
+    # Nothing is known of /w, but nearly all urls of its host are blocked.
+    assert out[101]["verdict"] == "block"
+
+
+def test_urls_without_labels_are_judged_by_their_ancestors(spark):
+    rules = (("block", "a.org/x/"), ("block", "b.org/x/"), ("allow", "c.org/"))
+    rows = [f"http://s{i % 3}.a.org/x/{i}" for i in range(60)] + ["http://s0.a.org/y/1", "http://new.a.org/z"]
+    # One folder of three is blocked: the others stay.
+    rows += [f"http://b.org/{d}/{i}" for d in "xyz" for i in range(20)] + ["http://c.org/x/1", "http://d.c.org/x/2", "http://q.org/x/3"]
+    out = {r["host"] + r["path"]: r["verdict"] for r in url_filter.judge(
+        spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), rules).where("rule IS NULL").collect()}
+    assert {k for k, v in out.items() if v == "block"} == {"s0.a.org/y/1", "new.a.org/z"}
+    assert len(out) == 43
+
+
+def test_templates_deeper_than_the_tree_are_told_apart(spark):
+    rules = (("block", "h.org/a/b/c/d/e/f/bad/x"), ("allow", "h.org/a/b/c/d/e/f/good/x"))
+    deep = "http://h.org/a/b/c/d/e/f"
+    rows = [f"{deep}/{kind}/x{i}" for kind in ("bad", "good") for i in range(30)]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    out = url_filter.judge(pages, rules).select("template").distinct().collect()
+    assert {r["template"] for r in out} == {"/a/b/c/d/e/f/bad/x#", "/a/b/c/d/e/f/good/x#"}
 
 
 def test_native_plan(spark):
