@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,12 +52,36 @@ def sample_by_hash(docs: DataFrame, n: int, *columns: str) -> DataFrame:
     """``columns`` of the ``n`` rows of ``docs`` with the least hashed ids, in that order.
 
     The ids are chosen first; only the chosen rows' texts leave their tasks.  Rows with
-    the same id come or stay away together.
+    the same id follow each other by the hash of their text; never more than ``n`` rows
+    are returned, whatever an id holds.
     """
     order = F.xxhash64("doc_id")
     ids = docs.select("doc_id").distinct().orderBy(order, "doc_id").limit(n).withColumnRenamed("doc_id", "chosen_id")
     chosen = docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi")  # n ids at most
-    return chosen.orderBy(order, "doc_id").select(*columns)
+    return chosen.orderBy(order, "doc_id", F.xxhash64("text")).limit(n).select(*columns)
+
+
+def hashed_place(span: int, *salt: Column) -> Column:
+    """A place in ``text`` (from 1) by hash from which ``span`` characters can be read:
+    fits that take a bounded part of a sampled text take it anywhere in the whole text."""
+    room = F.greatest(F.length("text") - span + 1, F.lit(1))
+    return (1 + F.pmod(F.xxhash64("doc_id", "text", *salt), room)).cast("int")
+
+
+def with_free_names(docs: DataFrame, reserved: tuple[str, ...], apply: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``apply(docs)`` where columns of ``docs`` named as one that ``apply`` adds on its way
+    get other names meanwhile, and their own ones back in the result."""
+    taken = {c.lower() for c in docs.columns} | {r.lower() for r in reserved}
+    away = {}
+    for c in docs.columns:
+        if c.lower() in {r.lower() for r in reserved}:
+            name = f"{c}_of_input"
+            while name.lower() in taken:
+                name += "_"
+            taken.add(name.lower())
+            away[c] = name
+    out = apply(docs.withColumnsRenamed(away) if away else docs)
+    return out.withColumnsRenamed({v: k for k, v in away.items()}) if away else out
 
 
 # Rows of a narrow table (an id and a flag) that may be broadcast: some tens of MB.

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from custlens.llm import textkernel as tk
 from custlens.llm.common import persisted
@@ -209,16 +210,18 @@ def _scan_shard(texts: pa.Array, block: BenchmarkBlock):
     return n_words, (doc, pos, block.lengths[window], window), longest
 
 
-_OUT = pa.schema([
-    ("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())),
-    ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.int64())), ("longest", pa.int64()),
-    ("longest_at", pa.int64()), ("longest_item", pa.int64()), ("longest_item_at", pa.int64()),
-])
-_OUT_DDL = ("doc_id long, row long, n_words long, starts array<long>, ends array<long>, items array<long>, "
-            "longest long, longest_at long, longest_item long, longest_item_at long")
+# After doc_id; documents and items keep the types of their ids.
+_OUT = ["row", "n_words", "starts", "ends", "items", "longest", "longest_at", "longest_item", "longest_item_at"]
 
 
-def _scan_batch(shared):
+def _out_ddl(docs: DataFrame, benchmark: DataFrame) -> str:
+    doc, item = (df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (benchmark, "item_id")))
+    return (f"doc_id {doc}, row long, n_words long, starts array<long>, ends array<long>, items array<{item}>, "
+            f"longest long, longest_at long, longest_item {item}, longest_item_at long")
+
+
+
+def _scan_batch(shared, kind: pa.DataType):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         block = shared.value
         n_words, (doc, pos, length, window), longest = _scan_shard(batch.column("text"), block)
@@ -227,9 +230,8 @@ def _scan_batch(shared):
         best = [np.zeros(n, np.int64)] + [np.full(n, -1, np.int64) for _ in range(3)]
         if longest is not None:
             d, size, at, source = longest
-            ids = np.array([-1 if i is None else i for i in block.ids], np.int64)
             best[0][d], best[1][d] = size, at
-            best[2][d], best[3][d] = ids[block.place_item[source]], block.place_pos[source]
+            best[2][d], best[3][d] = block.place_item[source], block.place_pos[source]
             order = np.lexsort((pos, doc))
             doc, pos, length, window = doc[order], pos[order], length[order], window[order]
             heads = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
@@ -245,12 +247,13 @@ def _scan_batch(shared):
                     found.update(block.item_lists[w])
                 items[i] = sorted(x for x in found if x is not None)
         miss = best[1] < 0
+        named = [None if m else block.ids[k] for m, k in zip(miss, best[2])]
         return pa.RecordBatch.from_arrays([
-            batch.column("doc_id").cast(pa.int64()), batch.column("row"), pa.array(n_words),
+            batch.column("doc_id"), batch.column("row"), pa.array(n_words),
             pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())),
-            pa.array(items, pa.list_(pa.int64())), pa.array(best[0]),
-            *(pa.array(x, mask=miss) for x in best[1:]),
-        ], schema=_OUT)
+            pa.array(items, pa.list_(kind)), pa.array(best[0]), pa.array(best[1], mask=miss),
+            pa.array(named, kind), pa.array(best[3], mask=miss),
+        ], names=["doc_id", *_OUT])
 
     return run
 
@@ -287,6 +290,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS)
     """
     rows = docs.select("doc_id", F.lit(0).cast("long").alias("row"), "text")
     sc = docs.sparkSession.sparkContext
+    ddl, kind = _out_ddl(docs, benchmark), to_arrow_type(benchmark.schema["item_id"].dataType)
     parts = []
     blocks = benchmark_blocks(benchmark, block_words)
     first = next(blocks, None)
@@ -294,9 +298,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS)
     if second is not None:  # rows are numbered once, so that blocks can be united
         rows = persisted(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text"))
     for block in filter(None, (first, second)):
-        parts.append(rows.mapInArrow(tk.map_slices(_scan_batch(sc.broadcast(block))), _OUT_DDL))
+        parts.append(rows.mapInArrow(tk.map_slices(_scan_batch(sc.broadcast(block), kind)), ddl))
     for block in blocks:
-        parts.append(rows.mapInArrow(tk.map_slices(_scan_batch(sc.broadcast(block))), _OUT_DDL))
+        parts.append(rows.mapInArrow(tk.map_slices(_scan_batch(sc.broadcast(block), kind)), ddl))
     if len(parts) == 1:
         return parts[0]
     hit = None

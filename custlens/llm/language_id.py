@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custlens.llm import textkernel as tk
-from custlens.llm.common import held_out, persisted, sample_by_hash
+from custlens.llm.common import hashed_place, held_out, persisted, sample_by_hash
 
 MAX_FIT_DOCS = 1500
 FIT_CHARS = 3000       # characters of a sampled document that segments are drawn from
@@ -316,7 +316,7 @@ def fit(docs: DataFrame, max_fit_docs: int = MAX_FIT_DOCS) -> Field | None:
     share -= share.mean(axis=1, keepdims=True)
     field = Field(langs, share.astype(np.float32), np.zeros((1 << FEATURE_BITS, len(langs)), np.float32), 1.0,
                   np.zeros(len(langs)), np.eye(len(langs)))
-    sample = sample_by_hash(train, max_fit_docs, F.substring("text", 1, FIT_CHARS).alias("text"), "lang").toArrow()
+    sample = sample_by_hash(train, max_fit_docs, F.substring("text", hashed_place(FIT_CHARS), F.lit(FIT_CHARS)).alias("text"), "lang").toArrow()
     w = split_words(sample["text"].combine_chunks())
     if len(w.of):
         _train(field, w, np.array([langs.index(l) for l in sample["lang"].to_pylist()]))

@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from custlens.llm.common import persisted
+from custlens.llm.common import persisted, with_free_names
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET_SHARE = 1.5
@@ -144,8 +144,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents the mix takes, with their columns and ``taken`` words.
 
     Rows equal in doc_id, source and text share the words taken from them evenly
-    (rounded down).
+    (rounded down, so their source may miss its target by less than a word a row).  A
+    column ``taken`` of the input is replaced, all others are kept, whatever their names.
     """
+    reserved = ("mix_doc_id", "mix_source", "mix_digest", "mix_taken")
+    return with_free_names(docs, reserved, lambda rows: _mixed(rows, **options))
+
+
+def _mixed(docs: DataFrame, **options) -> DataFrame:
     key = ["doc_id", "source", "digest"]
     taken = mix(docs, **options).groupBy(*key).agg((F.sum("taken") / F.count(F.lit(1))).cast("long").alias("mix_taken"))
     taken = taken.where("mix_taken > 0").select(*[F.col(c).alias(f"mix_{c}") for c in key], "mix_taken")

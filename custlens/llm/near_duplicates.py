@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custlens.llm import textkernel as tk
-from custlens.llm.common import broadcast_if_small, persisted
+from custlens.llm.common import broadcast_if_small, persisted, with_free_names
 
 SHINGLE = 5
 MIN_SIMILARITY = 0.8
@@ -158,8 +158,6 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_docs:
 
 
 def _signature_batch(coords: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("_row", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("sig", pa.binary())])
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         doc, shingle, counts, content = _shingles(batch.column("text"))
         n_docs = batch.num_rows
@@ -180,7 +178,8 @@ def _signature_batch(coords: int):
         node = pa.array(content.view(np.int64), mask=none)
         row = batch.column("_row") if "_row" in batch.schema.names else pa.nulls(n_docs, pa.int64())
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), row, node, pa.array(counts), pa.array(sigs, pa.binary())], schema=schema)
+            [batch.column("doc_id"), row, node, pa.array(counts), pa.array(sigs, pa.binary())],
+            names=["doc_id", "_row", "node", "size", "sig"])
 
     return run
 
@@ -188,7 +187,8 @@ def _signature_batch(coords: int):
 def sign(docs: DataFrame, coords: int = BANDS * BAND_ROWS) -> DataFrame:
     """doc_id, _row (if ``docs`` has it), node (content hash; null without words), size (shingles), sig (binary)."""
     return docs.select("doc_id", "text", *[c for c in docs.columns if c == "_row"]).mapInArrow(
-        tk.map_slices(_signature_batch(coords)), "doc_id long, _row long, node long, size long, sig binary")
+        tk.map_slices(_signature_batch(coords)),
+        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _row long, node long, size long, sig binary")
 
 
 def _multiset_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -510,7 +510,14 @@ def near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) ->
 
 
 def drop_near_duplicates(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each class: the first by (doc_id, nulls last, row number)."""
+    """``docs`` with one row of each class: the first by (doc_id, nulls last, row number).
+
+    All columns are kept, whatever their names.
+    """
+    return with_free_names(docs, ("_row", "shared_id", "gone_id", "gone_row"), lambda rows: _dropped(rows, min_similarity))
+
+
+def _dropped(docs: DataFrame, min_similarity: float) -> DataFrame:
     rows = _numbered(docs)
     gone = persisted(_classed(rows, min_similarity).where("NOT keep")
                      .select(F.col("doc_id").alias("gone_id"), F.col("_row").alias("gone_row")))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custlens.llm import textkernel as tk
-from custlens.llm.common import held_out, sample_by_hash
+from custlens.llm.common import hashed_place, held_out, sample_by_hash
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_FIT_DOCS = 400
@@ -342,11 +342,14 @@ def training_windows(texts: list[str], seed: int = 5) -> tuple[np.ndarray, np.nd
 def fit(docs: DataFrame, max_fit_docs: int = MAX_FIT_DOCS) -> Tagger | None:
     """A tagger trained on at most ``max_fit_docs`` documents that hold a digit or ``@``.
 
-    The documents are those with the least hashed ids that are not held out; of each
-    text the part around its first spans is enough, so a text gives at most 4000
-    characters to training (prediction reads whole texts).
+    The documents are those with the least hashed ids that are not held out.  A text gives
+    4000 characters to training, around the first digits or ``@`` after a hashed place
+    anywhere in it (prediction reads whole texts).
     """
-    near = F.greatest(F.regexp_instr("text", F.lit(r"[0-9]{3}|@")) - 2000, F.lit(1))
+    place = hashed_place(1)
+    after = F.regexp_instr(F.substring("text", place, F.length("text")), F.lit(r"[0-9]{3}|@"))
+    found = F.when(after > 0, place + after - 1).otherwise(F.regexp_instr("text", F.lit(r"[0-9]{3}|@")))
+    near = F.greatest(found - 2000, F.lit(1))
     marked = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")) & F.col("text").rlike(r"[0-9]{3}|@"))
     sample = sample_by_hash(marked, max_fit_docs, F.substring("text", near, F.lit(4000)).alias("text"))
     ids, y = training_windows(sorted(r["text"] for r in sample.collect()))
@@ -441,11 +444,12 @@ def personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
         counts = [pa.array([sum(k == kind for _, _, k in b) for b, _ in found], pa.int64()) for kind in KINDS]
         digest = [hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found]
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), *counts, pa.array(digest), pa.array([joined(s) for _, s in found]),
+            [batch.column("doc_id"), *counts, pa.array(digest), pa.array([joined(s) for _, s in found]),
              pa.array([len(s) - len(b) for b, s in found], pa.int64())], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(
-        tk.map_slices(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, "
+        tk.map_slices(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, "
+        "n_email long, n_ip long, n_card long, n_phone long, "
         "base_sha256 string, spans string, n_added long")
 
 

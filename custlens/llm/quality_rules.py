@@ -113,10 +113,16 @@ def _count_batches(batches):
     yield from emit()
 
 
+def lang_key():
+    """A row's language as a key that is never null: no language is one of its own, other
+    than the empty text."""
+    return F.when(F.col("lang").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("lang")))
+
+
 def count_ngrams(docs: DataFrame) -> DataFrame:
     """(lang, high, gram, n): all character 4-grams of all texts."""
     return (
-        docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").mapInArrow(
+        docs.select(lang_key().alias("lang"), "text").mapInArrow(
             _count_batches, "lang string, high long, gram long, n long")
         .groupBy("lang", "high", "gram").agg(F.sum("n").alias("n"))
     )
@@ -340,7 +346,7 @@ def quality(docs: DataFrame, fence: float = FENCE) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     many = len(shards) > 1
     row = F.monotonically_increasing_id() if many else F.lit(0).cast("long")
-    rows = docs.select("doc_id", row.alias("row"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    rows = docs.select("doc_id", row.alias("row"), lang_key().alias("lang"), "text")
     if many:  # rows are numbered once, so that the shards' sums can be added
         rows = persisted(rows)
     scored = persisted(rows.mapInArrow(tk.map_slices(_score_batch(sc.broadcast(load(shards[0])))), _SCORED.format(kind=kind)))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custlens.llm import textkernel as tk
-from custlens.llm.common import broadcast_if_small, held_out, persisted
+from custlens.llm.common import broadcast_if_small, held_out, persisted, with_free_names
 
 BITS = 18
 ORDERS = (3, 4, 5)
@@ -172,9 +172,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = MAX_FIT_DOCS) ->
         known.where("toxic").orderBy(order, "doc_id").limit(half)
         .unionByName(known.where("NOT toxic").orderBy(order, "doc_id").limit(half)).distinct()
     )
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_fit_docs ids
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    # An id may hold many rows: the classes are cut again, to half of the bound each.
     sample = (
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_fit_docs rows
-        .orderBy(order, "doc_id").select("text", "toxic").toArrow()
+        rows.where("toxic").orderBy(order, "doc_id", "h").limit(half)
+        .unionByName(rows.where("NOT toxic").orderBy(order, "doc_id", "h").limit(half))
+        .orderBy(order, "doc_id", "h").select("text", "toxic").toArrow()
     )
     del table
     y = sample["toxic"].to_numpy().astype(np.float64)
@@ -216,5 +220,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows scored 0.5 or more."""
-    return score(docs, fit(docs, labels), tuple(docs.columns)).where("toxicity < 0.5").select(*docs.columns)
+    """``docs`` without the rows scored 0.5 or more, with all their columns, whatever they
+    are called."""
+    model = fit(docs, labels)
+
+    def kept(rows: DataFrame) -> DataFrame:
+        return score(rows, model, tuple(rows.columns)).where("toxicity < 0.5").drop("toxicity")
+
+    return with_free_names(docs, ("toxicity",), kept)
