@@ -15,18 +15,17 @@ components of the links.
   rank.  Two documents agree on a coordinate with probability equal to their weighted
   Jaccard similarity.
 * Candidates.  Each band of 5 coordinates is a bucket key (24 bands: a pair at 0.8
-  shares no band with probability 7e-5).  Inside a bucket every member is compared
-  with a fixed number of representatives only, so work is linear in the bucket.
-  While a bucket holds more than one class, its members (without the representatives,
-  which have been compared with all) are split by eight further coordinates in eight
-  alternative ways, and representatives are then taken from the smallest classes.  So
-  a common passage that fills one bucket with unlike texts, or a large group of texts
-  around the threshold, neither hides a link nor causes all pairs.
+  shares no band with probability 7e-5).  In a bucket every member is compared with two
+  representatives; after the links found so far are merged into classes, buckets that
+  still hold more than one class compare theirs with the member of most links and the
+  one of fewest.  Work is linear in the bucket, and no row is copied into finer ones.
 * Rest.  Texts in buckets of three or more that still hold more than one class go through an
-  exact join: a text's tokens (shingle, occurrence) are put in one global order, by
-  counted frequency, and two texts at 0.8 share a token among the first
-  ``n - ceil(0.8 n) + 1`` of each.  Only classes that share such a token meet, and sizes
-  and places bound the pairs; so no pair that meets in a bucket is lost to the splits.
+  exact join, so a pair that met in a bucket is not lost because neither represented it.
+  A text's tokens (shingle, occurrence) are put in one global order, rare ones first, and two
+  texts at 0.8 share a token among the first ``n - ceil(0.8 n) + 1`` of each.  What two texts
+  share lies at or after their first common token, so only token pairs whose places leave
+  room for the similarity are joined: a text whose rare part is too long has no partner,
+  and a passage that many unlike texts share lies behind every prefix.
 * Check.  Each candidate pair is verified on the full shingle multisets.
 
 Results for special rows: texts without a word (null, empty, punctuation only) form
@@ -42,24 +41,23 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custlens.llm import textkernel as tk
-from custlens.llm.common import broadcast_if_small, persisted, with_free_names
+from custlens.llm.common import broadcast_if_small, discard, persisted, with_free_names, written
 
 SHINGLE = 5
 MIN_SIMILARITY = 0.8
 BANDS = 24
 BAND_ROWS = 5
-REFINEMENTS = 8
-REFINEMENT_ROWS = 8
-# Bucket representatives follow this many independent document orders, and after the
-# first level there are this many of them in a bucket.
+# First representatives follow this many independent document orders.
 ORDERS = 3
-LATER_REPS = 3
 # Token frequencies are counted in this many buckets; they only order the tokens.
-FREQUENCY_BITS = 20
+FREQUENCY_BITS = 18
+# Shingles of both sides that one step of the verification holds.
+VERIFY_GRAMS = 1 << 20
 
 _U = np.uint64
 _LOW48 = _U((1 << 48) - 1)
@@ -200,14 +198,26 @@ def _multiset_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         schema=pa.schema([("node", pa.int64()), ("grams", pa.binary())]))
 
 
-def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """sum(min)/sum(max) of two sorted multisets."""
-    ua, ca = np.unique(a, return_counts=True)
-    ub, cb = np.unique(b, return_counts=True)
-    _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-    both = int(np.minimum(ca[ia], cb[ib]).sum())
-    whole = len(a) + len(b) - both
-    return both / whole if whole else 0.0
+def weighted_jaccard(a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
+    """sum(min)/sum(max) per pair of multisets of 32-bit shingles.
+
+    Pair ``i`` has the parts of ``a`` and ``b`` up to its entries in ``ends_a`` and ``ends_b``.
+    """
+    def counted(grams, ends):
+        pair = np.repeat(np.arange(len(ends), dtype=np.uint64), np.diff(np.concatenate([[0], ends])))
+        return np.unique(pair << _U(32) | grams.astype(np.uint64), return_counts=True)
+
+    (ua, ca), (ub, cb) = counted(a, ends_a), counted(b, ends_b)
+    shared, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+    both = np.bincount((shared >> _U(32)).astype(np.int64), weights=np.minimum(ca[ia], cb[ib]), minlength=len(ends_a))
+    whole = np.diff(np.concatenate([[0], ends_a])) + np.diff(np.concatenate([[0], ends_b])) - both
+    return np.where(whole > 0, both / np.maximum(whole, 1), 0.0)
+
+
+def _blobs(column: pa.Array):
+    """The shingles of a binary column, and where each row's end."""
+    parts = [np.frombuffer(x.as_buffer(), np.uint32) for x in column]
+    return np.concatenate([np.zeros(0, np.uint32), *parts]), np.cumsum([len(p) for p in parts], dtype=np.int64)
 
 
 def _verify_batches(min_similarity: float):
@@ -215,13 +225,13 @@ def _verify_batches(min_similarity: float):
 
     def run(batches):
         for batch in batches:
-            left, right = batch.column("grams_a"), batch.column("grams_b")
-            ok = [
-                weighted_jaccard(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32))
-                >= min_similarity
-                for x, y in zip(left, right)
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], schema=schema)
+            sizes = sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False) // 4 for c in ("grams_a", "grams_b"))
+            step = np.cumsum(sizes) // VERIFY_GRAMS
+            cuts = [0, *(np.flatnonzero(np.diff(step)) + 1), batch.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                part = batch.slice(lo, hi - lo)
+                ok = weighted_jaccard(*_blobs(part.column("grams_a")), *_blobs(part.column("grams_b"))) >= min_similarity
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(ok)], schema=schema)
 
     return run
 
@@ -232,66 +242,55 @@ def _band_key(band: int):
     return F.xxhash64(F.lit(band), *parts)
 
 
-def _refined_key(choice: int):
-    """Bucket key that splits a bucket by coordinates drawn from its own key.
-
-    Each bucket draws anew, so a pair that several buckets hold is not separated in
-    all of them by the same coordinates.
-    """
-    parts = [
-        F.expr(f"substring(sig, cast(4 * pmod(xxhash64(key, {choice}, {k}), {BANDS * BAND_ROWS}) + 1 as int), 4)")
-        for k in range(REFINEMENT_ROWS)
-    ]
-    return F.xxhash64("key", F.lit(choice), *parts)
-
-
-def _mixed_buckets(buckets: DataFrame, n_reps: int) -> DataFrame:
-    """Members of buckets (key, ord, node, size, root, n) that hold more than one class,
-    each with its bucket's representatives.
-
-    Representatives come from the smallest classes found so far, in ``n_reps`` hashed
-    orders; per bucket they are minima, so a hot bucket is combined before the shuffle.
-    """
-    def least(j):
-        return F.min(F.struct("n", F.xxhash64(F.lit(j), "ord", "node").alias("p"), "node", "size", "root"))
-
-    reps = (
-        buckets.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                   F.array_distinct(F.array(*[least(j) for j in range(n_reps)])).alias("reps"))
-        .where("lo <> hi")
-        .select("key", F.transform("reps", lambda r: F.struct(r["node"], r["size"], r["root"])).alias("reps"))
-    )
-    return buckets.join(reps, "key")
-
-
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): one row (node, root) per linked node.
 
     Alternates large-star and small-star steps (each node's larger, then smaller,
-    neighbours are attached to its least neighbour); every step is a min per node
-    with partial aggregation and a join back, so a hub's links stay spread out.
+    neighbours are attached to its least neighbour).  The least neighbours are a table of
+    their own, broadcast if few; else their join has plain shuffles on both sides, whose
+    hot keys Spark splits.  Each step's table is removed when the next one is written.
     """
-    state = persisted(links.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-                      .where("lo <> hi").distinct())
+    state = written(links.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+                    .where("lo <> hi").distinct(), "links")
     digest = None
     while True:
         both = state.selectExpr("lo as u", "hi as v").unionByName(state.selectExpr("hi as u", "lo as v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = (
-            large.join(least, "hi")
+        near = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = written(both.where("v > u").join(broadcast_if_small(near), "u")
+                        .select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct(), "large")
+        below = written(large.groupBy("hi").agg(F.min("lo").alias("m")), "below")
+        small = written(
+            large.join(broadcast_if_small(below), "hi")
             .select(F.explode(F.array(F.struct(F.col("m").alias("lo"), F.col("lo").alias("hi")),
                                       F.struct(F.col("m").alias("lo"), F.col("hi").alias("hi")))).alias("e"))
-            .select("e.lo", "e.hi").where("lo <> hi").distinct()
-        )
-        state = persisted(small)
-        now = tuple(state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi") % 1_000_003)).first())
+            .select("e.lo", "e.hi").where("lo <> hi").distinct(), "links")
+        now = tuple(small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi") % 1_000_003)).first())
+        for old in (state, near, large, below):
+            discard(old)
+        state = small
         if now == digest:
             break
         digest = now
     roots = state.groupBy("hi").agg(F.min("lo").alias("root")).withColumnRenamed("hi", "node")
-    return roots.unionByName(state.selectExpr("lo as node", "lo as root").distinct())
+    found = written(roots.unionByName(state.selectExpr("lo as node", "lo as root").distinct()), "roots")
+    discard(state)
+    return found
+
+
+def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` (node, root) with the classes that ``links`` (a, b) of nodes connect merged."""
+    few = broadcast_if_small(classes)
+    ends = (
+        links.join(few.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
+        .join(few.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+        .where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    )
+    moved = components(ends)
+    out = written(
+        classes.join(broadcast_if_small(moved.select(F.col("node").alias("root"), F.col("root").alias("onto"))), "root", "left")
+        .select("node", F.coalesce("onto", "root").alias("root")), "classes")
+    discard(moved)
+    return out
 
 
 def _broadcast_if_light(grams: DataFrame, max_bytes: int = 16 << 20) -> DataFrame:
@@ -351,112 +350,126 @@ def _prefix_batches(shared, min_similarity: float):
     return run
 
 
-def _remaining_pairs(nodes: DataFrame, classes: DataFrame, grams: DataFrame, min_similarity: float) -> DataFrame:
-    """Pairs (a, b) of different classes that can be similar, among the members of buckets
-    that still hold more than one class."""
-    owned = nodes.join(classes.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    keys = F.explode(F.array(*[_band_key(i) for i in range(BANDS)])).alias("key")
-    spread = owned.select("node", "size", "root", keys)
+def _remaining_pairs(members: DataFrame, grams: DataFrame, min_similarity: float) -> DataFrame:
+    """Pairs (a, b) of different classes that can be similar, among the ``members`` (key, node,
+    size, root) of buckets that still hold more than one class."""
+    spark = members.sparkSession
     # Two members have met: one of them represented the bucket.
-    still = (spread.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"))
-             .where("lo <> hi AND m > 2").select("key"))
-    members = spread.join(broadcast_if_small(persisted(still)), "key", "left_semi").select("node", "size", "root").distinct()
-    texts = persisted(grams.join(members, "node"))
+    still = written(members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"))
+                    .where("lo <> hi AND m > 2").select("key"), "mixed")
+    left = members.join(broadcast_if_small(still), "key", "left_semi").select("node", "size", "root").distinct()
+    texts = written(grams.join(left, "node"), "texts")
     counted = texts.select("grams").mapInArrow(_count_grams, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     table = counted.toArrow()  # 2^FREQUENCY_BITS rows at most
     frequency = np.zeros(1 << FREQUENCY_BITS, np.int64)
     frequency[table["bucket"].to_numpy()] = table["n"].to_numpy()
-    shared = nodes.sparkSession.sparkContext.broadcast(frequency)
-    tokens = persisted(texts.mapInArrow(
-        _prefix_batches(shared, min_similarity), "token long, node long, root long, size long, place long"))
-    split = tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    tokens = persisted(tokens.join(broadcast_if_small(persisted(split)), "token", "left_semi")
-                       .withColumn("after", F.col("size") - F.col("place") - 1))
+    shared = spark.sparkContext.broadcast(frequency)
+    spread = written(texts.mapInArrow(
+        _prefix_batches(shared, min_similarity), "token long, node long, root long, size long, place long"), "prefixes")
+    split = written(spread.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+                    .where("lo <> hi").select("token"), "shared")
+    tokens = written(spread.join(broadcast_if_small(split), "token", "left_semi")
+                     .select("token", "node", "root", "size", (F.col("size") - F.col("place")).alias("room")), "tokens")
 
     def can(a, b):
-        """Whether sizes and places (of texts, or the widest of classes) allow the similarity."""
-        both = F.least(a["place"], b["place"]) + 1 + F.least(a["after"], b["after"])
+        """Whether sizes and places (of texts, or the widest of classes) allow the similarity.
+
+        At the first token that two texts share, ``room`` is an upper bound of what they share.
+        """
         return (F.least(a["most"], b["most"]) >= min_similarity * F.greatest(a["size"], b["size"])) & (
-            both * (1 + min_similarity) + 1e-6 >= min_similarity * (a["size"] + b["size"]))
+            F.least(a["room"], b["room"]) * (1 + min_similarity) + 1e-6 >= min_similarity * (a["size"] + b["size"]))
 
     # Classes meet first, so a large class costs nothing where it is alone.
-    groups = persisted(tokens.groupBy("token", "root").agg(
-        F.min("size").alias("size"), F.max("size").alias("most"), F.max("place").alias("place"), F.max("after").alias("after")))
+    groups = written(tokens.groupBy("token", "root").agg(
+        F.min("size").alias("size"), F.max("size").alias("most"), F.max("room").alias("room")), "groups")
     x, y = groups.alias("x"), groups.alias("y")
-    fields = ("size", "most", "place", "after")
-    left, right = ({c: F.col(f"{t}.{c}") for c in fields} for t in "xy")
-    meet = persisted(x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & can(left, right))
-                     .select("x.token", F.col("x.root").alias("root"), F.col("y.root").alias("other")))
-    tokens = tokens.withColumn("most", F.col("size"))
-    one = persisted(tokens.join(broadcast_if_small(meet), ["token", "root"]))
-    x, y = broadcast_if_small(one).alias("x"), tokens.alias("y")
-    met = y.join(x, (F.col("x.token") == F.col("y.token")) & (F.col("x.other") == F.col("y.root")) & can(left, right))
-    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-
-
-def find_links(docs: DataFrame, signed: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """Verified links (a, b) between nodes (distinct texts)."""
-    reps = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rid"))
-    nodes = (
-        signed.where("node IS NOT NULL").join(reps, "node").where("doc_id <=> rid")
-        .select("node", "rid", "size", "sig").dropDuplicates(["node"])
-    )
-    nodes = persisted(nodes)
-    bands = F.array(*[
-        F.struct(_band_key(i).alias("key"), F.lit(i % ORDERS).alias("ord"))
-        for i in range(BANDS)
-    ])
-    buckets = nodes.select("node", "size", F.explode(bands).alias("k")).select("node", "size", "k.key", "k.ord")
-    level, grams, tested, classes = 0, None, None, None
-    while True:
-        if classes is None:
-            buckets = buckets.withColumns({"root": F.col("node"), "n": F.lit(1).cast("long")})
+    fields = ("size", "most", "room")
+    first, second = ({c: F.col(f"{t}.{c}") for c in fields} for t in "xy")
+    meet = written(x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & can(first, second))
+                   .select("x.token", F.col("x.root").alias("root"), F.col("y.root").alias("other")), "meet")
+    tokens_of = tokens.withColumn("most", F.col("size"))
+    one = written(tokens_of.join(broadcast_if_small(meet), ["token", "root"]), "one")
+    x, y = broadcast_if_small(one).alias("x"), tokens_of.alias("y")
+    met = y.join(x, (F.col("x.token") == F.col("y.token")) & (F.col("x.other") == F.col("y.root")) & can(first, second))
+    pairs = written(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
+    for old in (still, texts, spread, split, tokens, groups, meet, one):
+        discard(old)
+    return pairs
+
+
+def _degrees(links: DataFrame) -> DataFrame:
+    """(node, n_links) of the nodes that ``links`` (a, b) hold."""
+    return links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+
+
+def _grams_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, grams): the shingle multisets of the ``wanted`` nodes, of one text each."""
+    ids = written(nodes.join(wanted, "node", "left_semi").select("rid").distinct(), "ids")
+    texts = docs.select("doc_id", "text").join(broadcast_if_small(ids), F.col("doc_id").eqNullSafe(F.col("rid")), "left_semi")
+    grams = written(texts.mapInArrow(tk.map_slices(_multiset_batch), "node long, grams binary")
+                    .join(wanted, "node", "left_semi").dropDuplicates(["node"]), "grams")
+    discard(ids)
+    return grams
+
+
+def find_links(docs: DataFrame, signed: DataFrame, min_similarity: float = MIN_SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) between nodes (distinct texts), and (node, root) of the linked ones'
+    classes; ``signed`` holds doc_id, node, size and the bucket ``keys``."""
+    nodes = written(signed.where("node IS NOT NULL").groupBy("node").agg(
+        F.min("doc_id").alias("rid"), F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
+    spread = nodes.select("node", "size", F.posexplode("keys").alias("band", "key"))
+    shared = written(spread.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+                     .where("lo <> hi").select("key"), "buckets")
+    members = written(spread.join(broadcast_if_small(shared), "key", "left_semi"), "members")
+    discard(shared)
+    wanted = written(members.select("node").distinct(), "wanted")
+    grams = _grams_of(docs, nodes, wanted)
+    discard(nodes)
+    light = _broadcast_if_light(grams)
+    classes, tested = wanted.select("node", F.col("node").alias("root")), None
+    used = [members, wanted, grams]
+
+    def checked(pairs):
+        """``pairs`` not tested yet, verified; the classes after it."""
+        nonlocal tested, classes
+        fresh = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        done = written(_verified(fresh, light, min_similarity), "tested")
+        tested = done if tested is None else tested.unionByName(done)
+        classes = _merged(classes, done.where("similar").select("a", "b"))
+        used.extend([done, classes])
+
+    for turn in range(2):
+        rows = members
+        if turn:
+            rows = rows.join(broadcast_if_small(classes), "node")
+            rows = rows.join(broadcast_if_small(_degrees(tested.where("similar"))), "node", "left")
         else:
-            buckets = buckets.join(classes, "node", "left").withColumns(
-                {"root": F.coalesce("root", "node"), "n": F.coalesce("n", F.lit(1))})
-        mixed = persisted(_mixed_buckets(buckets, 1 if level == 0 else LATER_REPS))
-        if mixed.isEmpty():
-            break
-        if grams is None:  # members of later buckets are members of these
-            wanted = mixed.select("node").distinct()
-            ids = persisted(nodes.join(wanted, "node", "left_semi").select(F.col("rid").alias("doc_id")).distinct())
-            ids = broadcast_if_small(ids).withColumnRenamed("doc_id", "rid")
-            texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("rid")), "left_semi")
-            grams = persisted(texts.mapInArrow(tk.map_slices(_multiset_batch), "node long, grams binary")
-                              .join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-            grams = _broadcast_if_light(grams)
+            rows = rows.withColumns({"root": F.col("node"), "n_links": F.lit(None).cast("long")})
+        # Turn 0: the least by two hashed orders.  Then the members of fewest and of most links.
+        degree = F.coalesce("n_links", F.lit(0))
+        rows = rows.withColumn("order", F.xxhash64(F.col("band") % ORDERS, "node"))
+        who = F.struct("order", "node", "size", "root")
+        picks = (F.min(F.struct(degree.alias("d"), who.alias("w"))), F.max(F.struct(degree.alias("d"), who.alias("w"))))
+        reps = written(
+            rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.array(*picks).alias("reps"))
+            .where("lo <> hi").select("key", F.transform("reps", lambda r: r["w"]).alias("reps")), "reps")
         # Representatives of another class whose size allows the similarity.
         apt = F.filter("reps", lambda r: (r["root"] != F.col("root")) & (
             F.least("size", r["size"]) >= min_similarity * F.greatest("size", r["size"])))
-        fresh = (
-            mixed.select("node", F.explode(apt).alias("r")).select(F.least("node", "r.node").alias("a"), F.greatest("node", "r.node").alias("b")).distinct()
-        )
-        if tested is not None:
-            fresh = fresh.join(tested, ["a", "b"], "left_anti")
-        checked = persisted(_verified(fresh, grams, min_similarity))
-        tested = checked if tested is None else tested.unionByName(checked)
-        links = tested.where("similar").select("a", "b")
-        roots = components(links)
-        classes = persisted(roots.join(roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root"))
-        # A representative is done with its bucket; the others are split by further coordinates.
-        rest = (
-            mixed.where(~F.exists("reps", lambda r: r["node"] == F.col("node")))
-            .select("key", "ord", "node").join(nodes.select("node", "size", "sig"), "node")
-        )
-        more = F.array(*[
-            F.struct(_refined_key(j).alias("key2"), ((F.col("ord") + j + 1) % ORDERS).alias("ord2"))
-            for j in range(REFINEMENTS)
-        ])
-        buckets = (
-            rest.select("node", "size", F.explode(more).alias("k"))
-            .select("node", "size", F.col("k.key2").alias("key"), F.col("k.ord2").alias("ord"))
-        )
-        level += 1
-    if tested is None:
-        return docs.sparkSession.createDataFrame([], "a long, b long")
-    fresh = _remaining_pairs(nodes, classes, grams, min_similarity).join(tested, ["a", "b"], "left_anti")
-    tested = tested.unionByName(persisted(_verified(persisted(fresh), grams, min_similarity)))
-    return tested.where("similar").select("a", "b")
+        pairs = written(
+            rows.join(broadcast_if_small(reps), "key").select("node", F.explode(apt).alias("r"))
+            .select(F.least("node", "r.node").alias("a"), F.greatest("node", "r.node").alias("b")).distinct(), "pairs")
+        checked(pairs)
+        discard(reps)
+        discard(pairs)
+    pairs = _remaining_pairs(members.join(broadcast_if_small(classes), "node"), grams, min_similarity)
+    checked(pairs)
+    discard(pairs)
+    links = written(tested.where("similar").select("a", "b"), "links")
+    roots = written(classes.join(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), "roots")
+    for old in used:
+        discard(old)
+    return links, roots
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -476,22 +489,23 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def _classed(docs: DataFrame, min_similarity: float) -> DataFrame:
     """doc_id, _row, class_id, class_size, n_links, keep per row of numbered ``docs``."""
-    signed = persisted(sign(docs))
-    links = persisted(find_links(docs, signed, min_similarity))
-    degree = (
-        links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    )
-    roots = persisted(components(links).join(degree, "node", "left"))
-    rows = signed.select("doc_id", "_row", "node").join(roots, "node", "left")
+    keys = F.when(F.col("sig").isNotNull(), F.array(*[_band_key(i) for i in range(BANDS)]))
+    signed = written(sign(docs).select("doc_id", "_row", "node", "size", keys.alias("keys")), "signed")
+    links, roots = find_links(docs, signed, min_similarity)
+    linked = written(roots.join(_degrees(links), "node"), "linked")
+    rows = signed.select("doc_id", "_row", "node").join(broadcast_if_small(linked), "node", "left")
     # A text without words is alone: its key is its own row.
     own = F.struct(F.coalesce("root", "node").alias("root"),
                    F.when(F.col("node").isNull(), F.monotonically_increasing_id()).alias("alone"))
-    rows = persisted(rows.select("doc_id", "_row", own.alias("k"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-                     .select("doc_id", "_row", "k.root", "k.alone", "n_links"))
+    rows = written(rows.select("doc_id", "_row", own.alias("k"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+                   .select("doc_id", "_row", "k.root", "k.alone", "n_links"), "rows")
+    for old in (signed, links, roots, linked):
+        discard(old)
     with_words = rows.where("alone IS NULL")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
-    classes = with_words.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("class_size"))
-    joined = with_words.join(classes, "root").select(
+    # Stored first, so that a hot class's rows are split in the join.
+    classes = written(with_words.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("class_size")), "classes")
+    joined = with_words.join(broadcast_if_small(classes), "root").select(
         "doc_id", "_row", F.col("first.doc_id").alias("class_id"), "class_size", "n_links",
         place.eqNullSafe(F.col("first")).alias("keep"))
     alone = rows.where("alone IS NOT NULL").select("doc_id", "_row", F.col("doc_id").alias("class_id"),

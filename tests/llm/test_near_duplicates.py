@@ -123,10 +123,8 @@ def test_large_groups_of_copies_and_odd_rows(spark):
     assert kept.where("doc_id >= 100").count() == 1
 
 
-def test_pairs_that_every_split_separates_are_found(spark, monkeypatch):
+def test_pairs_that_no_representative_joins_are_found(spark, monkeypatch):
     monkeypatch.setattr(nd, "BAND_ROWS", 1)  # large mixed buckets
-    monkeypatch.setattr(nd, "REFINEMENTS", 1)
-    monkeypatch.setattr(nd, "REFINEMENT_ROWS", 60)  # splits that part every pair short of a copy
     rng = random.Random(11)
     blocks = [[f"b{i}w{j}" for j in range(12)] for i in range(40)]
     text = lambda chosen: " ".join(w for i in sorted(chosen) for w in blocks[i])
@@ -149,8 +147,30 @@ def test_similar_texts_share_a_prefix_token():
         b = np.where(rng.random(n) < 0.1, rng.integers(0, 40, n).astype(np.uint32) << np.uint32(20), a)
         a, b = np.sort(a), np.sort(b)
         frequency = rng.integers(0, 5, 1 << nd.FREQUENCY_BITS)
-        if nd.weighted_jaccard(a, b) >= 0.8:
-            assert set(nd.prefix(a, frequency, 0.8)) & set(nd.prefix(b, frequency, 0.8))
+        end = np.array([n])
+        if nd.weighted_jaccard(a, end, b, end)[0] >= 0.8:
+            x, y = list(nd.prefix(a, frequency, 0.8)), list(nd.prefix(b, frequency, 0.8))
+            first = next(t for t in x if t in set(y))
+            # At the first shared token the places leave room for what the two share.
+            assert (n - max(x.index(first), y.index(first))) * 1.8 + 1e-6 >= 0.8 * 2 * n
+
+
+def test_similarity_of_many_pairs_at_once(monkeypatch):
+    rng = np.random.default_rng(8)
+    sides = [[np.sort(rng.integers(0, 9, rng.integers(0, 30))).astype(np.uint32) for _ in range(60)] for _ in "ab"]
+    want = []
+    for a, b in zip(*sides):
+        x, y = Counter(a.tolist()), Counter(b.tolist())
+        whole = sum((x | y).values())
+        want.append(sum((x & y).values()) / whole if whole else 0.0)
+    got = nd.weighted_jaccard(*(f(side) for side in sides for f in (np.concatenate, lambda s: np.cumsum([len(p) for p in s]))))
+    assert np.allclose(got, want)
+    monkeypatch.setattr(nd, "VERIFY_GRAMS", 100)  # many steps a batch
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(60)), pa.array(range(60)), *(pa.array([p.tobytes() for p in side], pa.binary()) for side in sides)],
+        names=["a", "b", "grams_a", "grams_b"])
+    out = [x for part in nd._verify_batches(0.5)([batch]) for x in part.to_pylist()]
+    assert [x["a"] for x in out] == list(range(60)) and [x["similar"] for x in out] == [w >= 0.5 for w in want]
 
 
 def test_one_row_of_each_class_stays_whatever_the_ids(spark):
