@@ -379,14 +379,17 @@ def _remaining_pairs(members: DataFrame, grams: DataFrame, min_similarity: float
         return (F.least(a["most"], b["most"]) >= min_similarity * F.greatest(a["size"], b["size"])) & (
             F.least(a["room"], b["room"]) * (1 + min_similarity) + 1e-6 >= min_similarity * (a["size"] + b["size"]))
 
-    # Classes meet first, so a large class costs nothing where it is alone.
+    # Classes meet first, so a large class costs nothing where it is alone; of two that meet, the one
+    # with fewer texts at the token is copied.
     groups = written(tokens.groupBy("token", "root").agg(
-        F.min("size").alias("size"), F.max("size").alias("most"), F.max("room").alias("room")), "groups")
+        F.min("size").alias("size"), F.max("size").alias("most"), F.max("room").alias("room"), F.count(F.lit(1)).alias("n")), "groups")
     x, y = groups.alias("x"), groups.alias("y")
     fields = ("size", "most", "room")
     first, second = ({c: F.col(f"{t}.{c}") for c in fields} for t in "xy")
     meet = written(x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & can(first, second))
-                   .select("x.token", F.col("x.root").alias("root"), F.col("y.root").alias("other")), "meet")
+                   .select("x.token", F.when(F.col("x.n") <= F.col("y.n"), F.struct(F.col("x.root").alias("root"), F.col("y.root").alias("other")))
+                           .otherwise(F.struct(F.col("y.root").alias("root"), F.col("x.root").alias("other"))).alias("e"))
+                   .select("token", "e.root", "e.other"), "meet")
     tokens_of = tokens.withColumn("most", F.col("size"))
     one = written(tokens_of.join(broadcast_if_small(meet), ["token", "root"]), "one")
     x, y = broadcast_if_small(one).alias("x"), tokens_of.alias("y")
