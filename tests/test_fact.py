@@ -259,3 +259,49 @@ def test_cent_prices_agree_with_decimals(spark):
     df = report_rows(spark, [dict(OrderId=f"o{i}", Revenue=c / 100, Cost=c / 300) for i, c in enumerate(cents)])
     total = customer_aggregates(df.repartition(7), dt.date(2002, 1, 1)).first().TotalRevenue
     assert abs(total - float(sum(Decimal(c) / 100 for c in cents))) < 1e-6
+
+
+def test_lines_are_looked_for_among_few_orders_first(spark):
+    from pyspark.sql import functions as F
+
+    from custlens.operators.fact import has_lines
+
+    few = F.pmod(F.xxhash64("OrderId"), F.lit(1024)) == 0
+    ids = spark.range(20_000).select(F.col("id").cast("string").alias("OrderId"))
+    inside, outside = ids.where(few), ids.where(~few)
+    assert has_lines(inside) and has_lines(outside) and has_lines(ids)
+    assert has_lines(spark.createDataFrame([(None,)], "OrderId string"))
+    assert not has_lines(ids.limit(0))
+
+
+def test_lines_without_an_order_are_dropped_at_the_scan(spark):
+    from custlens.config import RUNTIME_FILTERS, use_runtime_filters
+
+    _fact(spark)
+    assert all(spark.conf.get(k) is not None for k in RUNTIME_FILTERS)
+    key, value = next(iter(RUNTIME_FILTERS.items()))
+    spark.conf.set(key, "5g")
+    try:
+        use_runtime_filters(spark)
+        assert spark.conf.get(key) in ("5g", str(5 * 2 ** 30), f"{5 * 2 ** 30}b")  # the session's own value stays
+    finally:
+        spark.conf.set(key, value)
+
+
+def test_exact_sum_makes_no_decimal_of_a_small_amount(spark):
+    import decimal
+
+    from pyspark.sql import functions as F
+
+    from custlens.functions.numeric import exact_sum
+
+    rows = [(g, s * v) for g, vs in enumerate([[0.1] * 7, [8.9e6] * 3000, [9e6, 0.1, 1e-9], [-1e16, 0.5], [1e300, 1.5], [None]])
+            for s in (1, -1, -1) for v in vs if v is not None] + [(5, None)]
+    df = spark.createDataFrame(rows, "g int, x double").repartition(3)
+    got = {r.g: r.t for r in df.groupBy("g").agg(exact_sum(F.col("x")).alias("t")).collect()}
+    for g in range(4):
+        units = sum(decimal.Decimal(repr(x)) * 10 ** 9 for k, x in rows if k == g)
+        assert got[g] == float(units) / 1e9
+    assert got[4] == -1e300 and got[5] is None
+    plan = plan_text(df.groupBy("g").agg(exact_sum(F.col("x")).alias("t")))
+    assert "sum(cast((" in plan or "as bigint" in plan
