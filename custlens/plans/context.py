@@ -73,6 +73,11 @@ class Analysis:
             return self._fact
         return build_fact(self.scanned, self.params)
 
+    @cached_property
+    def fact_by_month(self) -> DataFrame:
+        """The fact as it is stored, clustered by order month."""
+        return self.fact if self._fact is not None else build_fact(self.scanned, self.params, by_month=True)
+
     @cached_property
     def report_input(self) -> DataFrame:
         return conform_fact(self.fact)

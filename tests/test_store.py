@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import glob
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,3 +205,38 @@ def test_exact_sums(spark):
     for values, want in (([None], None), ([], None), ([1e300, 1.0], 1e300), ([float("inf"), 1.0], float("inf"))):
         got = spark.createDataFrame([(v,) for v in values], "x double").agg(exact_sum(F.col("x"))).first()[0]
         assert got == want
+
+
+def test_a_stored_fact_moves_wide_rows_once(spark, scratch, monkeypatch):
+    """The shuffle that joins orders and customers to the lines clusters them by month too;
+    an order held twice, in two months, and one without lines or packs keep their rows."""
+    raw = _raw(spark)
+    T = dt.datetime
+    fields = raw["orders"].schema.fields
+    twice = dict(SalesRepId="r", OrderStatus="packed", ShippingMethodRequested="G", CustomerId="c2", OrderId="1")
+    more = [dict(twice, CreatedAt_order=T(2001, 4, 9)), dict(twice, CreatedAt_order=T(2001, 3, 9)), dict(twice, OrderId="none", CreatedAt_order=T(2001, 3, 9))]
+    raw["orders"] = raw["orders"].unionByName(spark.createDataFrame([tuple(r.get(f.name) for f in fields) for r in more], raw["orders"].schema))
+    raw["order_lines"] = raw["order_lines"].unionByName(raw["order_lines"].limit(1))
+    want = Analysis(spark, PARAMS, raw=raw).fact
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "24"}
+    before = {k: spark.conf.get(k) for k in [*keys, store.CO_PARTITION]}
+    plans = []
+    listed = store._listed
+    monkeypatch.setattr(store, "_listed", lambda *a: plans.append(spark.conf.get(store.CO_PARTITION)) or listed(*a))
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        clustered = Analysis(spark, PARAMS, raw=raw).fact_by_month
+        spark.conf.set(store.CO_PARTITION, "false")
+        from tests.helpers import plan_text
+        wide = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\nArguments: hashpartitioning\((\w+)#", plan_text(clustered))
+        assert [k for columns, k in wide if "SalePrice" in columns and "CustomerName" in columns] == []
+        assert wide and [k for columns, k in wide if "SalePrice" in columns][-1] == "OrderMonth"
+        spark.conf.set(store.CO_PARTITION, before[store.CO_PARTITION])
+        store.write_fact(clustered, f"{scratch}/clustered", PARAMS)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plans and set(plans) == {before[store.CO_PARTITION]}  # given back
+    got = store.read_fact(spark, f"{scratch}/clustered")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(got.columns).collect()))
