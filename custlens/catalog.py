@@ -87,7 +87,7 @@ def q_delivery_metrics(spark, sf_dir):
 def q_fact_roundtrip(spark, sf_dir):
     """Write the fact partitioned by month under the shared checkpoint folder and read it back."""
     path = _shared_path(spark, "fact_roundtrip")
-    write_fact(_analysis(spark, sf_dir).fact_by_month, path)
+    write_fact(_analysis(spark, sf_dir), path)
     return read_fact(spark, path)
 
 
@@ -97,7 +97,7 @@ def q_load_or_build_fact(spark, sf_dir):
     path = _shared_path(spark, "load_or_build")
     narrow = DRIVER_PARAMS.replace(fetch_start="2000-01-01", start="2000-01-01")
     for params in (narrow, DRIVER_PARAMS):
-        fact = load_or_build(spark, path, lambda p=params: _analysis(spark, sf_dir, p).fact_by_month, params)
+        fact = load_or_build(spark, path, lambda p=params: _analysis(spark, sf_dir, p), params)
     return fact
 
 
@@ -106,16 +106,16 @@ def q_fact_refresh(spark, sf_dir):
     fall into are built and written; the result equals a full build."""
     path = _shared_path(spark, "fact_refresh")
     short = DRIVER_PARAMS.replace(fetch_end="2000-12-31", end="2000-12-31")
-    write_fact(_analysis(spark, sf_dir, short).fact_by_month, path, short)
+    write_fact(_analysis(spark, sf_dir, short), path, short)
     refresh_fact(spark, path, _raw(spark, sf_dir), DRIVER_PARAMS,
-                 lambda raw: Analysis(spark, DRIVER_PARAMS, raw=raw).fact_by_month)
+                 lambda raw: Analysis(spark, DRIVER_PARAMS, raw=raw))
     return read_fact(spark, path)
 
 
 def q_rollup_customers(spark, sf_dir):
     """The customer table from the stored order-level rollup and attribute rows."""
     path = _shared_path(spark, "rollup")
-    write_fact(_analysis(spark, sf_dir).fact_by_month, path, DRIVER_PARAMS)
+    write_fact(_analysis(spark, sf_dir), path, DRIVER_PARAMS)
     return Analysis.from_store(spark, path, DRIVER_PARAMS).customers
 
 

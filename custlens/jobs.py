@@ -138,20 +138,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
         spark.sparkContext.setCheckpointDir(args.checkpoint_dir)
     params = _params(args)
     if args.command == "build-fact":
-        write_fact(Analysis(spark, params, raw=_raw(spark, args)).fact_by_month, args.fact, params)
+        write_fact(Analysis(spark, params, raw=_raw(spark, args)), args.fact, params)
         _tidy(spark, args)
         return [args.fact]
     if args.command == "refresh-fact":
         since = dt.date.fromisoformat(args.since) if args.since else None
         months = refresh_fact(spark, args.fact, _raw(spark, args), params,
-                              lambda raw: Analysis(spark, params, raw=raw).fact_by_month, since)
+                              lambda raw: Analysis(spark, params, raw=raw), since)
         _tidy(spark, args)
         return [m.isoformat() for m in months]
     if not args.out:
         raise SystemExit("report needs --out")
     if args.sources or args.jdbc_url or args.fixture_dir:
         ensure_fact(
-            spark, args.fact, lambda: Analysis(spark, params, raw=_raw(spark, args)).fact_by_month, params, rebuild=args.rebuild
+            spark, args.fact, lambda: Analysis(spark, params, raw=_raw(spark, args)), params, rebuild=args.rebuild
         )
     else:
         require_covered(spark, args.fact, params)

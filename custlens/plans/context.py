@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,6 +79,11 @@ class Analysis:
         """The fact as it is stored, clustered by order month."""
         return self.fact if self._fact is not None else build_fact(self.scanned, self.params, by_month=True)
 
+    def staged_fact(self, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """As ``fact_by_month``, by way of lines that ``stage`` stores: what
+        :func:`~custlens.sources.store.write_fact` makes of an analysis."""
+        return self.fact if self._fact is not None else build_fact(self.scanned, self.params, by_month=True, stage=stage)
+
     @cached_property
     def report_input(self) -> DataFrame:
         return conform_fact(self.fact)

@@ -240,3 +240,38 @@ def test_a_stored_fact_moves_wide_rows_once(spark, scratch, monkeypatch):
     assert plans and set(plans) == {before[store.CO_PARTITION]}  # given back
     got = store.read_fact(spark, f"{scratch}/clustered")
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(got.columns).collect()))
+
+
+def test_packs_of_other_lines_are_not_shuffled(spark, scratch):
+    """Lines that have an order are stored before packs are attached; Spark filters the scan
+    of the packs by their ids.  An analysis is written so, and nothing staged is left."""
+    for name, df in _raw(spark).items():
+        df.write.parquet(f"{scratch}/sources/{name}")
+    raw = parquet_sources(spark, f"{scratch}/sources")
+    raw["order_lines"] = raw["order_lines"].distinct()  # no plain scan, whose filter alone would do
+    want = Analysis(spark, PARAMS, raw=raw).fact
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1b"}
+    before = {k: spark.conf.get(k) for k in keys}
+    from tests.helpers import plan_text
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        a = Analysis(spark, PARAMS, raw=raw)
+        filters = [re.findall(r"might_contain\(.*?xxhash64\((.*)", plan_text(f))
+                   for f in (a.fact_by_month, a.staged_fact(lambda df: store._stage(df, f"{scratch}/staged")))]
+        assert ["PickedForOrderLine" in " ".join(f) for f in filters] == [False, True]
+        assert "BroadcastExchange" in plan_text(a.fact_by_month)  # the shipping methods, whatever the threshold
+        store.write_fact(a, f"{scratch}/fact", PARAMS)
+        assert store.load_or_build(spark, f"{scratch}/built", lambda: a, PARAMS).count() == want.count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = store.read_fact(spark, f"{scratch}/fact")
+    assert got.count() and sorted(map(repr, got.collect())) == sorted(map(repr, want.select(got.columns).collect()))
+    assert not glob.glob(f"{scratch}/fact/data/*/staged")
+    (write,) = os.listdir(f"{scratch}/fact/data")
+    assert sorted(os.listdir(f"{scratch}/fact/data/{write}")) == ["customers", "lines", "orders"]
+    bare = Analysis(spark, PARAMS, fact=want)
+    store.write_fact(bare, f"{scratch}/bare", PARAMS)
+    assert store.read_fact(spark, f"{scratch}/bare").count() == want.count()
